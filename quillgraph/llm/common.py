@@ -57,7 +57,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(bounds: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(bounds: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about `most` bytes together; every text stays whole."""
     row, n = 0, len(bounds) - 1
     while row < n:

@@ -41,6 +41,8 @@ SAMPLE = 10_000
 HOT_SHARE, HOT_DOCS = 0.05, 200_000
 #: Bytes of text for each bucket of anchors, and of pieces for each shard.
 BUCKET_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
+#: Bytes of text that are combined before items leave a task.
+PART_BYTES = 6 << 20
 COVERED = 0x80
 
 
@@ -136,6 +138,42 @@ def _firsts(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.nda
     return order, first
 
 
+def _bodies(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    parts = []
+    for row, end in chunks(bounds):
+        b = bounds[row : end + 1]
+        texts = Texts(data[b[0] : b[-1]], b - b[0])
+        h, text, start, size = texts.pieces()
+        content = texts.hash(start, start + size)
+        common = _in_sorted(h, hot)
+        if common.any():
+            count = size[common] - LENGTH + 1
+            own = np.repeat(start[common], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            each, rest = texts.hash(own, own + LENGTH), ~common
+            h, content = np.concatenate([h[rest], each]), np.concatenate([content[rest], each])
+            text, size = np.concatenate([text[rest], np.repeat(text[common], count)]), np.concatenate([size[rest], np.full(len(own), LENGTH)])
+            start = np.concatenate([start[rest], own])
+        parts.append((h, content, ids[row + text], start - texts.bounds[text], size))
+    if not any(len(x[0]) for x in parts):
+        return
+    h, content, doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, first = _firsts(h, content, doc, start)
+    h, content, doc, start, size = (x[order] for x in (h, content, doc, start, size))
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    short = (h // np.uint64(buckets)).astype(np.uint32)
+    size = size - LENGTH + np.where(first, 0, COVERED)
+    bucket[~first] = doc[~first] % buckets
+    content[~first], short[~first] = 0, 0
+    order = np.argsort(bucket, kind="stable")
+    bucket, short, content, doc, start, size = (x[order] for x in (bucket, short, content, doc, start, size))
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    bodies = [
+        short[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].astype("<i8").tobytes() + start[a:b].astype("<u4").tobytes() + size[a:b].astype(np.uint8).tobytes()
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)])
+    ]
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge]), "body": pa.array(bodies, pa.binary())})
+
+
 def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, body: packed items of a batch. Later equals within a batch are only passed on as covered."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -143,41 +181,10 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, all_bounds = utf8(batch.column("text"))
-            parts = []
-            for row, stop in chunks(all_bounds):
-                b = all_bounds[row : stop + 1]
-                texts = Texts(data[b[0] : b[-1]], b - b[0])
-                h, text, start, size = texts.pieces()
-                common = _in_sorted(h, shared.value)
-                content = texts.hash(start, start + size)
-                if common.any():
-                    count = size[common] - LENGTH + 1
-                    own = np.repeat(start[common], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    each = texts.hash(own, own + LENGTH)
-                    rest = ~common
-                    h, content = np.concatenate([h[rest], each]), np.concatenate([content[rest], each])
-                    text, size = np.concatenate([text[rest], np.repeat(text[common], count)]), np.concatenate([size[rest], np.full(len(own), LENGTH)])
-                    start = np.concatenate([start[rest], own])
-                parts.append((h, content, ids[row + text], start - texts.bounds[text], size))
-            h, content, doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
-            if not len(h):
-                continue
-            order, first = _firsts(h, content, doc, start)
-            h, content, doc, start, size = (x[order] for x in (h, content, doc, start, size))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            short = (h // np.uint64(buckets)).astype(np.uint32)
-            size = size - LENGTH + np.where(first, 0, COVERED)
-            bucket[~first] = doc[~first] % buckets
-            content[~first], short[~first] = 0, 0
-            order = np.argsort(bucket, kind="stable")
-            bucket, short, content, doc, start, size = (x[order] for x in (bucket, short, content, doc, start, size))
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-            bodies = [
-                short[a:b].tobytes() + content[a:b].tobytes() + doc[a:b].astype("<i8").tobytes() + start[a:b].astype("<u4").tobytes() + size[a:b].astype(np.uint8).tobytes()
-                for a, b in zip(edge, [*edge[1:], len(bucket)])
-            ]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[edge]), "body": pa.array(bodies, pa.binary())})
+            data, bounds = utf8(batch.column("text"))
+            for row, end in chunks(bounds, PART_BYTES):
+                b = bounds[row : end + 1]
+                yield from _bodies(ids[row:end], data[b[0] : b[-1]], b - b[0], buckets, shared.value)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "bucket long, body binary")
 
