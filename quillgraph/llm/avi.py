@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, utf8
+from .common import chunks, give_back, utf8
 
 WIDTH, HEIGHT = 64, 16
 FRAME = WIDTH * HEIGHT
@@ -219,6 +219,7 @@ def media_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, end - row), *[pa.array(v, kinds.get(k)) for k, v in out.items()]], ["doc_id", *out]
                 )
+            give_back()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return rows.mapInArrow(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, utf8
+from .common import chunks, give_back, utf8
 
 ORDER = 3
 #: Texts start as if after white space.
@@ -173,6 +173,7 @@ def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFra
             for name, values in (("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(best)), ("bits_per_byte", pa.array(rate))):
                 out = out.append_column(name, values)
             yield out
+            give_back()
 
     rows = docs.select("doc_id", held_out().alias("held_out"), *extra, F.col("text").alias("_text"), has_letter().alias("_ok"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]

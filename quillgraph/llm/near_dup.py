@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, saved, utf8
+from .common import chunks, give_back, mix64, saved, utf8
 
 SHINGLE = 5
 BANDS = 40
@@ -126,6 +126,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("doc_id").slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists],
                 ["doc_id", "n_shingles", "f1", "f2", "bands"],
             )
+        give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +138,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = sets.tobytes()
             held = [raw[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(held, pa.binary())], ["id", "hashes"])
+        give_back()
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -154,6 +156,7 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         ok = [similar(a, b) for a, b in zip(f["sa"], f["sb"], strict=True)]
         yield f.loc[ok, ["a", "b"]]
+    give_back()
 
 
 def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -209,6 +212,7 @@ def _blocks(frame: pd.DataFrame) -> pd.DataFrame:
     block = frame["block"].to_numpy()
     i, j = frame["i"].iloc[0], frame["j"].iloc[0]
     links = block_links(ids, comps, sets, np.flatnonzero(block == i), np.flatnonzero(block == j))
+    give_back()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 

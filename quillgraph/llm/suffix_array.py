@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, saved, utf8
+from .common import chunks, give_back, mix64, saved, utf8
 from .near_dup import powers
 
 LENGTH = 100
@@ -40,9 +40,9 @@ SPAN = LENGTH - GRAM + 1
 SAMPLE = 10_000
 HOT_SHARE, HOT_DOCS = 0.05, 200_000
 #: Bytes of text for each bucket of anchors, and of pieces for each shard.
-BUCKET_BYTES, SHARD_BYTES = 8 << 20, 3 << 20
+BUCKET_BYTES, SHARD_BYTES = 6 << 20, 2 << 20
 #: Bytes of text that are combined before items leave a task.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 COVERED = 0x80
 
 
@@ -185,6 +185,7 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             for row, end in chunks(bounds, PART_BYTES):
                 b = bounds[row : end + 1]
                 yield from _bodies(ids[row:end], data[b[0] : b[-1]], b - b[0], buckets, shared.value)
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "bucket long, body binary")
 
@@ -216,6 +217,7 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
     doc, start, size = (np.concatenate(x) for x in zip(*gone, strict=True))
     gram = pd.array(np.concatenate([np.zeros(len(doc) - several.sum(), np.int64), short[several].astype(np.int64) * 0x100003 + int(frame["bucket"].iloc[0])]), dtype="Int64")
     gram[: len(doc) - int(several.sum())] = pd.NA
+    give_back()
     return pd.DataFrame({"doc": doc, "start": start.astype(np.int64), "size": size.astype(np.int64) + LENGTH, "gram": gram})
 
 
@@ -397,6 +399,7 @@ def _cut(shards: int):
                 bodies.append(data[at].tobytes())
             list_of = lambda x: pa.ListArray.from_arrays(pa.array(np.append(edge, len(shard)).astype(np.int32)), pa.array(x))
             yield pa.RecordBatch.from_arrays([pa.array(shard[edge]), list_of(doc), list_of(start), list_of(size), pa.array(bodies, pa.binary())], ["shard", "docs", "starts", "sizes", "body"])
+            give_back()
 
     return cut
 
@@ -406,6 +409,7 @@ def _sorted_shard(frame: pd.DataFrame) -> pd.DataFrame:
     docs, starts = np.concatenate(frame["docs"].to_list()), np.concatenate(frame["starts"].to_list())
     data = np.frombuffer(b"".join(frame["body"]), np.uint8)
     piece, offset, size = covered_strings(data, np.concatenate([[0], np.cumsum(sizes)]), docs, starts)
+    give_back()
     return pd.DataFrame({"doc": docs[piece], "start": starts[piece] + offset, "size": size.astype(np.int64)})
 
 
@@ -434,6 +438,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(own.tobytes())
         columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        give_back()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
