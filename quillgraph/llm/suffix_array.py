@@ -40,7 +40,7 @@ SPAN = LENGTH - GRAM + 1
 SAMPLE = 10_000
 HOT_SHARE, HOT_DOCS = 0.05, 200_000
 #: Bytes of text for each bucket of anchors, and of pieces for each shard.
-BUCKET_BYTES, SHARD_BYTES = 6 << 20, 2 << 20
+BUCKET_BYTES, SHARD_BYTES = 6 << 20, 1 << 20
 #: Bytes of text that are combined before items leave a task.
 PART_BYTES = 4 << 20
 COVERED = 0x80
