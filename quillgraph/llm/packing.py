@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,50 +24,94 @@ CAPACITY = 1024
 END = 2
 PACKER = 50_000
 #: Distinct chunks of text whose ids a worker keeps at once.
-CACHE = 300_000
+CACHE = 800_000
+#: Marks that are tokens by themselves after a letter or between lines; FIRST marks what has no space before.
+CUTS = ("\n", ",", ".", ";", ":", "!", "?")
+FIRST = "\x00"
 
 _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer, and ids (as little-endian bytes) of chunks that it has met, kept while the worker lives."""
+    """The tokenizer, ids (as little-endian bytes) of chunks that it has met, and those of what chunks are cut
+    at; kept while the worker lives."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _encoders[path] = (tokenizer, {}, dict(zip(CUTS, _ids(tokenizer, list(CUTS)), strict=True)))
     return _encoders[path]
 
 
+def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+    return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _units(chunk: str) -> list[str] | None:
+    """A chunk as lines and the marks that end or part them, each of which is tokenized by itself; None for a
+    chunk that is not cut off rightly, as white space meets white space at its ends."""
+    body = chunk[1:] if chunk[:1] == FIRST else chunk
+    if not body:
+        return [] if chunk else None
+    if body[-1].isspace() or (body is chunk and body[0].isspace()):
+        return None
+    units = []
+    for k, line in enumerate(body.split("\n")):
+        if not line or line[0].isspace() or line[-1].isspace():
+            return [chunk]
+        key = FIRST + line if k or body is not chunk else line
+        if k:
+            units.append("\n")
+        units += [key[:-1], line[-1]] if line[-1] in CUTS and line[-2:-1].isalpha() else [key]
+    return units
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of every text as little-endian unsigned 32-bit numbers.
 
     The byte-level pre-tokenizer starts a new token at every space between two characters that are not white
-    space, so text is cut there and each distinct chunk is encoded once. Texts with other white space beside
-    a space are encoded whole.
+    space, so texts are cut there and each distinct chunk is encoded once; likewise at single line breaks and
+    before a closing mark after a letter. Texts with other white space beside a space are encoded whole.
     """
-    import re
-
-    odd = re.compile(r"\s |\s$| \s")
-    tokenizer, known = _encoder(path)
+    tokenizer, known, cuts = _encoder(path)
     if len(known) > CACHE:
         known.clear()
-    split = [None if odd.search(t) else t.split(" ") for t in texts]
-    parts = set()
-    for p in split:
-        if p is not None:
-            parts.update(p[1:])
-    for t, p in zip(texts, split, strict=True):
-        if p is not None:
-            p[0] = "\n" + p[0]  # a first chunk has no space before it; no other chunk starts with a line break
-            parts.add(p[0])
-    new = [x for x in parts if x not in known]
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        made = tokenizer.encode_batch_fast([x[1:] if x[:1] == "\n" else " " + x for x in some], add_special_tokens=False)
-        known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, made, strict=True))
-    whole = iter(tokenizer.encode_batch_fast([t for t, p in zip(texts, split, strict=True) if p is None], add_special_tokens=False))
-    return [np.array(next(whole).ids, "<u4").tobytes() if p is None else b"".join([known[x] for x in p]) for p in split]
+    split, new = [], set()
+    for t in texts:
+        p = t.split(" ")
+        p[0] = FIRST + p[0]  # it has no space before it
+        new.update(set(p).difference(known))
+        split.append(p)
+    plain, ended, made = set(), [], {}
+    for x in new:  # most are a word, or a word and a mark
+        if x.isalpha():
+            plain.add(x)
+        elif x[-1:] in cuts and x[:-1].isalpha():
+            ended.append(x)
+            if x[:-1] not in known:
+                plain.add(x[:-1])
+        else:
+            made[x] = _units(x)
+    plain.update([u for units in made.values() for u in units or () if u not in cuts and u not in known])
+    base = list(plain)
+    for i in range(0, len(base), 20_000):
+        some = base[i : i + 20_000]
+        known.update(zip(some, _ids(tokenizer, [x[1:] if x[0] == FIRST else " " + x for x in some]), strict=True))
+    for x in ended:
+        known[x] = known[x[:-1]] + cuts[x[-1]]
+    for x, units in made.items():
+        known[x] = None if units is None else b"".join([cuts[u] if u in cuts else known[u] for u in units])
+    out, odd = [], []
+    for k, p in enumerate(split):
+        try:
+            out.append(b"".join(map(known.__getitem__, p)))
+        except TypeError:
+            odd.append(k)
+            out.append(b"")
+    for k, ids in zip(odd, _ids(tokenizer, [texts[k] for k in odd]), strict=True):
+        out[k] = ids
+    return out
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
