@@ -1,9 +1,177 @@
-"""All queries over graphs, questions and replies, and their SQL."""
+"""All queries over graphs, questions and replies on whole tables, by name."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions.text import clean, domains, keywords, norm_key, score, signature
+from ..operators import display, graph, paths, questions, rank, replies, validate
+from ..sources import annotations, tables
+from .sql import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
+
+ALL_TYPES = {
+    "q_presence": "presence", "q_absence": "absence", "q_successor_abstain": "successor_abstain", "q_successor_multi": "successor_multi", "q_containment_abstain": "containment_abstain",
+    "q_containment_multi": "containment_multi", "q_edge_label": "edge_label", "q_multihop": "multihop", "q_conflict": "conflict", "q_summary": "summary",
+}
+
+
+def _orders(build: Callable[[annotations.Graphs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(tables.order_graphs(spark, sf_dir))
+
+
+def _replies(build: Callable[[DataFrame], DataFrame], source=tables.replies) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(source(spark, sf_dir))
+
+
+def _path(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.array_join("path", ">"))
+
+
+def _signatures(g: annotations.Graphs) -> DataFrame:
+    x = graph.node_pool(g).withColumn("s", signature(F.col("text")))
+    return x.select("text", "s.token_count", "s.char_length", "s.has_hyphen", "s.suffix_type", F.array_join(F.array_sort("s.keywords"), " ").alias("keywords"), F.array_join(F.array_sort(domains(keywords(F.col("text")))), " ").alias("domains"))
+
+
+def _scores(g: annotations.Graphs) -> DataFrame:
+    e = g.entities.select("image_id", "id", clean(F.col("text")).alias("text"))
+    two = e.join(e.withColumnsRenamed({"id": "candidate_id", "text": "candidate"}), "image_id").filter("id <> candidate_id").join(graph.domain_hints(g), "image_id")
+    own = score(signature(F.col("text")), signature(F.col("candidate")), F.col("domains"), domains(keywords(F.col("candidate"))))
+    return two.select("image_id", "id", "candidate_id", own.alias("score"))
+
+
+def _targets(g: annotations.Graphs) -> DataFrame:
+    """Every entity with the ranking of the other texts of its graph."""
+    texts = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_set(clean(F.col("text")))).alias("texts"))
+    rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(texts, "image_id").join(graph.domain_hints(g), "image_id")
+    return rows.withColumn("order", rank.ranked(F.col("text"), F.col("texts"), F.col("domains"), F.array(norm_key(F.col("text")))))
+
+
+def _ranked(g: annotations.Graphs) -> DataFrame:
+    return _targets(g).select("image_id", "id", F.array_join("order", "|").alias("ranking"))
+
+
+def _diverse(g: annotations.Graphs) -> DataFrame:
+    return _targets(g).select("image_id", "id", F.array_join(rank.diverse(F.col("order"), 3, F.col("text")), "|").alias("picked"))
+
+
+def _display(g: annotations.Graphs) -> DataFrame:
+    return display.display_map(g).select("image_id", "id", "display_text", "usable", "used_disambiguation", F.array_join(F.array_sort("referenced_ids"), ",").alias("referenced_ids"))
+
+
+def _questions(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q = getattr(questions.Generator(tables.order_graphs(spark, sf_dir)), method)()
+        return q.withColumn("metadata", F.to_json("metadata"))
+
+    return query
+
+
+def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
+    made = questions.Generator(g)
+    return made.generate(["element_presence_mcq", "element_absence_mcq", "relation_successor_multiselect", "relation_multihop_multiselect", "function_summary_open"]), made.context
+
+
+def _verdicts(g: annotations.Graphs) -> DataFrame:
+    return validate.verdicts(*_every_question(g)).groupBy("question_type", "ok", "reason").agg(F.count("*").alias("n"))
+
+
+def _negative(g: annotations.Graphs) -> DataFrame:
+    """Ordered pairs of a graph's nodes without any edge, conflicts included."""
+    e = g.entities.filter("type = 'Node'").select("image_id", F.col("id").alias("subject_id")).distinct()
+    two = e.join(e.withColumnRenamed("subject_id", "object_id"), "image_id").filter("subject_id <> object_id")
+    return two.join(g.relations, ["image_id", "subject_id", "object_id"], "left_anti")
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return replies.parse(rows).select("sample_id", "parse_action", F.array_join("parse_letters", ",").alias("letters"), "parse_stage")
+
+
+def _scored(rows: DataFrame) -> DataFrame:
+    return replies.score(replies.parse(rows))
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as cache lines of users: the last one of a key counts."""
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.struct("ts", "event_id").alias("ord"), F.col("event_type").alias("value"))
+    return annotations.last_wins(e)
+
+
+def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without orders, as work without a cached reply."""
+    work = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    cached = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "F", '{"error": "x"}').otherwise("{}").alias("value"))
+    return annotations.pending(work, cached)
+
+
+def _prompts(rows: DataFrame) -> DataFrame:
+    return replies.prompts(rows.withColumn("question", F.concat(F.lit("Which one is "), "sample_id", F.lit("?")))).select("sample_id", "prompt")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    g = graph
+    relations = ["image_id", "ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"]
+    found = {
+        "entities_normalized": _orders(lambda x: x.entities.select("image_id", "ord", "id", "text", "type", "norm_text")),
+        "relations_clean": _orders(lambda x: x.relations.select(*relations)),
+        "event_relations": lambda spark, d: tables.event_graphs(spark, d).relations.select("image_id", "ord", "subject_id", "object_id"),
+        "hierarchy_children": lambda spark, d: g.neighbours(tables.hierarchy_graphs(spark, d), "contains").select("image_id", "id", "neighbour"),
+        "relation_filters": _orders(lambda x: g.select_relations(x, "flows_to", False).select("image_id", "subject_id", "object_id")),
+        "edges_with_text": _orders(lambda x: g.edges_with_text(x).select("image_id", "subject_id", "object_id", "edge_text")),
+        "conflict_relations": _orders(lambda x: g.conflict_relations(x).select("image_id", "subject_id", "object_id")),
+        "entity_lookup_last_wins": _orders(g.entity_lookup),
+        "find_ids_exact": _orders(lambda x: g.find_ids(x, " Brand#11 ").select("image_id", "id")),
+        "find_ids_substring": _orders(lambda x: g.find_ids(x, "and#2", exact=False).select("image_id", "id")),
+        "edge_exists": lambda spark, d: (lambda x: g.edge_exists(x, x.relations.select("image_id", F.col("object_id").alias("subject_id"), F.col("subject_id").alias("object_id")).distinct()))(tables.event_graphs(spark, d)),
+        "edge_text_first": _orders(g.first_edge_text),
+        "successors": _orders(lambda x: g.neighbours(x).select("image_id", "id", "neighbour")),
+        "predecessors": _orders(lambda x: g.neighbours(x, forward=False).select("image_id", "id", "neighbour")),
+        "children": _orders(lambda x: g.neighbours(x, "contains").select("image_id", "id", "neighbour")),
+        "parents": _orders(lambda x: g.neighbours(x, "contains", forward=False).select("image_id", "id", "neighbour")),
+        "connected_neighbors": _orders(lambda x: g.neighbours(x, "connects_to").select("image_id", "id", "neighbour")),
+        "pairs_by_predicate": _orders(lambda x: g.pairs(x, "flows_to", include_conflict=True)),
+        "unique_successor": _orders(g.unique_neighbour),
+        "unique_predecessor": _orders(lambda x: g.unique_neighbour(x, forward=False)),
+        "unique_parent": _orders(lambda x: g.unique_neighbour(x, "contains", forward=False)),
+        "text_counts": _orders(g.text_counts),
+        "duplicate_texts": _orders(lambda x: g.duplicate_texts(x).withColumn("ids", F.array_join("ids", ","))),
+        "graph_keywords_top12": _orders(lambda x: g.keyword_counts(x).withColumn("rank", F.col("rank").cast("long"))),
+        "domain_hint": _orders(lambda x: g.domain_hints(x).withColumn("domains", F.array_join("domains", ","))),
+        "node_pool": _orders(g.node_pool),
+        "edge_label_pool": _orders(g.edge_label_pool),
+        "top_level": _orders(lambda x: g.top_level(x).select("image_id", "id")),
+        "root_flow": _orders(lambda x: g.root_flow(x).select("image_id", "id")),
+        "shortest_path_le4": _orders(lambda x: _path(paths.shortest(x)).withColumn("hops", F.col("hops").cast("long"))),
+        "has_path": _orders(lambda x: paths.shortest(x).groupBy("image_id").agg(F.count("*").alias("pairs"))),
+        "unique_multihop_pairs": _orders(lambda x: _path(paths.unique_multihop(x)).select("image_id", "src", "tgt", "path")),
+        "main_flow": _orders(lambda x: paths.main_flow(x).withColumn("flow", F.array_join("flow", ">"))),
+        "text_signature": _orders(_signatures),
+        "candidate_scores": _orders(_scores),
+        "ranked_candidates": _orders(_ranked),
+        "diverse_top_k": _orders(_diverse),
+        "display_map": _orders(_display),
+        "validation_verdicts": _orders(_verdicts),
+        "summary_grouping_sets": _orders(lambda x: questions.summarize(_every_question(x)[0])),
+        "negative_relation_pairs": _orders(_negative),
+        "split_assignment": _orders(g.splits),
+        "prompts": _replies(_prompts),
+        "parse_abstain": _replies(lambda r: r.select("sample_id", replies.abstains(F.col("raw_output")).alias("abstains"))),
+        "parse_stage1_single": _replies(lambda r: r.select("sample_id", replies.stated_letter(F.col("raw_output")).alias("letter"))),
+        "parse_stage2_substring": _replies(lambda r: r.select("sample_id", replies.option_hit(F.col("raw_output"), F.col("options")).alias("letter"))),
+        "parse_cascade": _replies(_parsed),
+        "parse_multi": _replies(_parsed, tables.multi_replies),
+        "parse_multi_fixed": _replies(lambda r: replies.parse(r, compat=False).select("sample_id", "parse_action", F.array_join("parse_letters", ",").alias("letters"), "parse_stage"), tables.multi_replies),
+        "score_single": _replies(lambda r: _scored(r).select("sample_id", "correct")),
+        "score_multi_f1": _replies(lambda r: _scored(r).select("sample_id", "correct", "f1_units"), tables.multi_replies),
+        "metrics_by_model": _replies(lambda r: replies.metrics_by_model(_scored(r))),
+        "metrics_by_level": _replies(lambda r: replies.metrics_by(_scored(r), "level")),
+        "metrics_by_qtype": _replies(lambda r: replies.metrics_by(_scored(r), "question_type")),
+        "stage_counts": _replies(lambda r: replies.stage_counts(_scored(r))),
+        "cache_last_wins": _cache,
+        "pending_work": _pending,
+    }
+    return found | {name: _questions(method) for name, method in ALL_TYPES.items()}
