@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean, norm_key
 from ..sources.annotations import Graphs
+from ..sources.shared import materialized
 from .display import display_map
 from .graph import domain_hints, edge_label_pool, edges_with_text, neighbours, node_pool, top_level
 from .paths import unique_multihop
-from .rank import diverse, ranked
+from .rank import diverse, prepared, ranked
 
 ATTEMPTS = 8
 SLICE = 50_000
@@ -45,32 +46,34 @@ def key(seed: int, *parts: Column | str) -> Column:
 
 
 def context(g: Graphs) -> DataFrame:
-    """image_id, shown (ord, id, text, told, refs of the usable entities), texts, keys (of all texts), hint."""
+    """image_id, shown (ord, id, text, told, refs of the usable entities), texts, ready (as candidates), keys (of
+    all texts), hint."""
     d = display_map(g)
     shown = F.array_sort(F.collect_list(F.when(F.col("usable"), F.struct("ord", "id", F.col("display_text").alias("text"), F.col("used_disambiguation").alias("told"), F.col("referenced_ids").alias("refs")))))
     rows = d.groupBy("image_id").agg(shown.alias("shown"), F.collect_set(F.lower("raw_text")).alias("keys"))
-    return rows.join(domain_hints(g).withColumnRenamed("domains", "hint"), "image_id").withColumn("texts", F.array_distinct(F.transform("shown", lambda s: s["text"])))
+    rows = rows.withColumn("texts", F.array_distinct(F.transform("shown", lambda s: s["text"]))).withColumn("ready", prepared(F.col("texts")))
+    return rows.join(domain_hints(g).withColumnRenamed("domains", "hint"), "image_id")
 
 
 def slices(pool: DataFrame) -> DataFrame:
     """A pool (key, text) as rows of texts with about SLICE of them each; one row for small pools."""
     n = max(1, -(-pool.count() // SLICE))
-    return pool.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("slice")).agg(F.array_sort(F.collect_list("text")).alias("pool")).withColumn("slices", F.lit(n))
+    rows = pool.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("slice")).agg(F.array_sort(F.collect_list("text")).alias("texts")).select("slice", "texts", prepared(F.col("texts")).alias("pool"), F.lit(n).alias("slices"))
+    return materialized(rows)
 
 
-def ranked_in_pool(rows: DataFrame, pool: DataFrame, target: str, exclude: Column) -> DataFrame:
-    """rows (with id columns image_id and attempt) and `order`: the pool ranked for each row's target."""
-    s = slices(pool)
+def ranked_in_pool(rows: DataFrame, s: DataFrame, target: str, exclude: Column) -> DataFrame:
+    """rows (with id columns image_id and attempt) and `order`: the slices ranked for each row's target."""
     n = s.select("slices").first()
     if n is None:
         return rows.withColumn("order", F.array().cast("array<string>"))
-    dealt = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1)))).join(s.drop("slices"), "slice")
+    dealt = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1)))).join(s.select("slice", "pool"), "slice")
     dealt = dealt.withColumn("order", ranked(F.col(target), F.col("pool"), F.col("hint"), exclude)).drop("pool", "slice")
     if n[0] == 1:
-        return dealt
+        return materialized(dealt)
     merged = dealt.groupBy("image_id", "attempt").agg(F.array_distinct(F.flatten(F.collect_list("order"))).alias("some"))
     rows = rows.join(merged, ["image_id", "attempt"])
-    return rows.withColumn("order", ranked(F.col(target), F.col("some"), F.col("hint"), exclude)).drop("some")
+    return materialized(rows.withColumn("order", ranked(F.col(target), prepared(F.col("some")), F.col("hint"), exclude)).drop("some"))
 
 
 def tried(rows: DataFrame, seed: int, qtype: str, *parts: str) -> DataFrame:
@@ -90,7 +93,7 @@ def assemble(rows: DataFrame, seed: int, qtype: str, level: str, phrasing: str |
     """Questions from rows (image_id, paper_id, attempt, correct, wrong, a, b, c, metadata); options that are
     too few or not distinct drop a row, and the first `limit` rows of each graph stay."""
     multi = F.lit(multi) if isinstance(multi, bool) else multi
-    rows = rows.withColumn("options", _option_list(seed, qtype, F.col("correct"), F.col("wrong")))
+    rows = materialized(rows.withColumn("options", _option_list(seed, qtype, F.col("correct"), F.col("wrong"))))
     keys = F.array_distinct(F.transform("options", lambda o: norm_key(o["text"])))
     n, distinct = F.size("options"), F.size(keys) == F.size("options")
     one = (n == 4) & (F.size("correct") <= 1)
@@ -125,11 +128,13 @@ class Generator:
     """All types over the graphs of one split."""
 
     def __init__(self, g: Graphs, seed: int = 42, unanswerable: float = 0.5, limit: int = 1):
-        self.g, self.seed, self.limit = g, seed, limit
+        self.g = g = Graphs(*map(materialized, (g.graphs, g.entities, g.relations)))
+        self.seed, self.limit = seed, limit
         self.unanswerable = min(1.0, max(0.0, unanswerable))
-        self.context = context(g).join(g.graphs, "image_id")
-        self.entities = self.context.select("image_id", "paper_id", "texts", "keys", "hint", F.explode("shown").alias("e"))
-        self.entities = self.entities.select("image_id", "paper_id", "texts", "keys", "hint", "e.id", F.col("e.text").alias("text"), F.col("e.told").alias("told"), F.col("e.refs").alias("refs"))
+        self.context = materialized(context(g).join(g.graphs, "image_id"))
+        self.nodes, self.labels = (slices(materialized(pool(g))) for pool in (node_pool, edge_label_pool))
+        self.entities = self.context.select("image_id", "paper_id", "texts", "ready", "keys", "hint", F.explode("shown").alias("e"))
+        self.entities = self.entities.select("image_id", "paper_id", "texts", "ready", "keys", "hint", "e.id", F.col("e.text").alias("text"), F.col("e.told").alias("told"), F.col("e.refs").alias("refs"))
 
     def _answerable(self, qtype: str) -> Column:
         cut = f"{min(int(self.unanswerable * (1 << 32)), (1 << 32) - 1):08x}"
@@ -144,19 +149,19 @@ class Generator:
 
     def presence(self) -> DataFrame:
         q = "element_presence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), node_pool(self.g), "text", F.col("keys"))
+        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), self.nodes, "text", F.col("keys"))
         rows = rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("order"), 3, F.col("text")), "metadata": _meta(used_disambiguation=F.col("told"))})
         return assemble(rows, self.seed, q, "L1", limit=self.limit)
 
     def absence(self) -> DataFrame:
         q = "element_absence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), node_pool(self.g), "text", F.concat("keys", _keys(F.col("text"))))
+        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), self.nodes, "text", F.concat("keys", _keys(F.col("text"))))
         rows = rows.filter(F.size("order") > 0).withColumn("best", F.get("order", F.lit(0)))
-        wrong = diverse(ranked(F.col("best"), F.col("texts"), F.col("hint"), _keys(F.col("best"))), 3, F.col("best"))
+        wrong = diverse(ranked(F.col("best"), F.col("ready"), F.col("hint"), _keys(F.col("best"))), 3, F.col("best"))
         return assemble(rows.withColumns({"correct": F.array("best"), "wrong": wrong, "metadata": F.create_map().cast("map<string,string>")}), self.seed, q, "L1", limit=self.limit)
 
     def _other_nodes(self, target: Column, k: int | Column, exclude: Column) -> Column:
-        return diverse(ranked(target, F.col("texts"), F.col("hint"), exclude), k)
+        return diverse(ranked(target, F.col("ready"), F.col("hint"), exclude), k)
 
     def _linked(self, predicate: str, forward: bool) -> DataFrame:
         """Edges between usable entities: image_id, id, ord, other, other_text, other_told."""
@@ -202,13 +207,12 @@ class Generator:
 
     def edge_label(self) -> DataFrame:
         q = "relation_edge_label_hidden_abstain_mcq"
-        pool = edge_label_pool(self.g)
-        labels = slices(pool).select(F.explode("pool").alias("label"), "slices")
+        labels = self.labels.select(F.explode("texts").alias("label"))
         ends = lambda side: self.entities.select("image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side), F.col("told").alias(f"{side}_told"))
         base = self.context.select("image_id", "paper_id", "hint")
         edge = edges_with_text(self.g).select("image_id", "ord", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"), clean(F.col("edge_text")).alias("label"))
         edge = edge.join(ends("a"), ["image_id", "a_id"]).join(ends("b"), ["image_id", "b_id"]).join(base, "image_id")
-        yes = ranked_in_pool(tried(edge, self.seed, q, "ord"), pool, "label", _keys(F.col("label")))
+        yes = ranked_in_pool(tried(edge, self.seed, q, "ord"), self.labels, "label", _keys(F.col("label")))
         yes = yes.withColumns({"correct": F.array("label"), "wrong": diverse(F.col("order"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("a_told") | F.col("b_told"))})
         # any ordered pair without a label between them; the pairs of a graph come from its own row
         two = self.context.filter(F.size("shown") >= 2).select("image_id", "paper_id", "hint", "shown", F.explode("shown").alias("x"))
@@ -217,7 +221,7 @@ class Generator:
         named = edges_with_text(self.g).select("image_id", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"))
         no = tried(two.join(named, ["image_id", "a_id", "b_id"], "left_anti"), self.seed, q, "a_id", "b_id")
         some = labels.agg(F.max_by("label", key(self.seed, q, F.col("label"))).alias("like"), F.count("*").alias("n"))
-        no = ranked_in_pool(no.join(some.filter("n >= 4"), F.lit(True)), pool, "like", _keys(F.col("like")))
+        no = ranked_in_pool(no.join(some.filter("n >= 4"), F.lit(True)), self.labels, "like", _keys(F.col("like")))
         no = no.withColumns({"correct": F.array().cast("array<string>"), "wrong": diverse(F.col("order"), 4), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=F.col("a_told") | F.col("b_told"))})
         return self._or_unanswerable(q, yes, no)
 
@@ -242,11 +246,12 @@ class Generator:
         rows = rows.withColumn("attempt", F.row_number().over(order) - 1).filter(F.col("attempt") < ATTEMPTS)
         least = F.greatest(F.lit(1), 4 - F.size("between"))
         like, shut = F.get("between", F.lit(0)), F.transform(F.array_union("between", F.array("src_.text", "tgt_.text")), norm_key)
+        of = lambda texts: F.filter("ready", lambda r: F.array_contains(texts, r["text"]))
         near = F.transform(F.filter("shown", lambda s: F.array_contains("members", s["id"]) & ~F.array_contains("path", s["id"])), lambda s: s["text"])
-        rows = rows.withColumn("picked", diverse(ranked(like, near, F.col("hint"), shut), least, like))
+        rows = rows.withColumn("picked", diverse(ranked(like, of(near), F.col("hint"), shut), least, like))
         wide = F.transform(F.filter("shown", lambda s: ~F.array_contains("path", s["id"])), lambda s: s["text"])
-        rows = rows.withColumn("picked", F.concat("picked", diverse(ranked(like, wide, F.col("hint"), F.concat(shut, F.transform("picked", norm_key))), least - F.size("picked"), like)))
-        rows = ranked_in_pool(rows.withColumn("like", like), node_pool(self.g), "like", F.concat(shut, F.col("keys"), F.transform("picked", norm_key)))
+        rows = rows.withColumn("picked", F.concat("picked", diverse(ranked(like, of(wide), F.col("hint"), F.concat(shut, F.transform("picked", norm_key))), least - F.size("picked"), like)))
+        rows = ranked_in_pool(rows.withColumn("like", like), self.nodes, "like", F.concat(shut, F.col("keys"), F.transform("picked", norm_key)))
         rows = rows.withColumn("wrong", F.concat("picked", diverse(F.col("order"), least - F.size("picked"), like)))
         room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("between") + 2)) - F.size("between")
         meta = _meta(

@@ -46,9 +46,9 @@ def _scores(g: annotations.Graphs) -> DataFrame:
 
 def _targets(g: annotations.Graphs) -> DataFrame:
     """Every entity with the ranking of the other texts of its graph."""
-    texts = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_set(clean(F.col("text")))).alias("texts"))
+    texts = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_set(clean(F.col("text")))).alias("texts")).select("image_id", rank.prepared(F.col("texts")).alias("ready"))
     rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(texts, "image_id").join(graph.domain_hints(g), "image_id")
-    return rows.withColumn("order", rank.ranked(F.col("text"), F.col("texts"), F.col("domains"), F.array(norm_key(F.col("text")))))
+    return rows.withColumn("order", rank.ranked(F.col("text"), F.col("ready"), F.col("domains"), F.array(norm_key(F.col("text")))))
 
 
 def _ranked(g: annotations.Graphs) -> DataFrame:
