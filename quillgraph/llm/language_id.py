@@ -103,7 +103,10 @@ def fit(docs: DataFrame, sample_docs: int = 600, max_contexts: int = 8000) -> Pp
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    return build(langs, grams["lang"].to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64), max_contexts)
+    model = build(langs, grams["lang"].to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64), max_contexts)
+    del grams
+    give_back()
+    return model
 
 
 def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int) -> Ppm:
@@ -117,23 +120,25 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, m
     a, count_langs = len(seen) + 1, len(langs)
     c = [classes[x] for x in bytes_]
     which = np.array([langs.index(x) for x in lang], np.int64) if len(lang) else np.zeros(0, np.int64)
-    p = np.full((1, a, count_langs), 1.0 / a)
-    for order in range(3):
-        contexts = a**order
-        ctx = sum((c[3 - k] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(len(gram), np.int64))
-        counts = np.bincount((ctx * a + c[3]) * count_langs + which, weights=n, minlength=contexts * a * count_langs).reshape(contexts, a, count_langs)
-        p = _escape(counts, np.tile(p, (contexts // len(p), 1, 1)))
-    ctx = (c[0] * a + c[1]) * a + c[2]
-    total = np.bincount(ctx, weights=n, minlength=a**3) if len(ctx) else np.zeros(a**3)
+    ctx3 = (c[0] * a + c[1]) * a + c[2]
+    total = np.bincount(ctx3, weights=n, minlength=a**3)
     kept = np.argsort(-total, kind="stable")[:max_contexts]
     kept = np.sort(kept[total[kept] > 0])
     nodes = np.tile(np.arange(a * a, dtype=np.int32), a)
     nodes[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-    at = np.searchsorted(kept, ctx)
-    own = (at < len(kept)) & (kept[np.minimum(at, max(len(kept) - 1, 0))] == ctx) if len(kept) else np.zeros(len(ctx), bool)
-    counts = np.bincount((at[own] * a + c[3][own]) * count_langs + which[own], weights=n[own], minlength=len(kept) * a * count_langs).reshape(len(kept), a, count_langs)
-    p3 = _escape(counts, p[kept % (a * a)])
-    bits = -np.log2(np.concatenate([p, p3]).reshape(-1, count_langs)).astype(np.float32)
+    at = np.minimum(np.searchsorted(kept, ctx3), len(kept) - 1)
+    bits = np.empty(((a * a + len(kept)) * a, count_langs), np.float32)
+    for lang_no in range(count_langs):  # one at a time, to hold one set of dense tables
+        own = which == lang_no
+        p = np.full((1, a), 1.0 / a)
+        for order in range(3):
+            ctx = sum((c[3 - k][own] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(int(own.sum()), np.int64))
+            counts = np.bincount(ctx * a + c[3][own], weights=n[own], minlength=a**order * a).reshape(-1, a)
+            p = _escape(counts, np.tile(p, (a**order // len(p), 1)))
+        own &= kept[at] == ctx3
+        counts = np.bincount(at[own] * a + c[3][own], weights=n[own], minlength=len(kept) * a).reshape(-1, a)
+        bits[: p.size, lang_no] = -np.log2(p.ravel())
+        bits[p.size :, lang_no] = -np.log2(_escape(counts, p[kept % (a * a)]).ravel())
     return Ppm(langs, classes.astype(np.int16), nodes, bits)
 
 
