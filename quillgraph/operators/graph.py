@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import STOPWORDS, clean, domains, tokens
 from ..sources.annotations import Graphs
 
-IN_GRAPH = Window.partitionBy("image_id")
 
 
 def select_relations(g: Graphs, predicate: str | None = None, include_conflict: bool = True) -> DataFrame:
@@ -89,7 +88,7 @@ def keyword_counts(g: Graphs, k: int = 12) -> DataFrame:
     texts = g.graphs.select("image_id", F.lit(-1).cast("long").alias("ord"), F.col("summary_text").alias("text")).unionByName(g.entities.select("image_id", F.col("ord").cast("long").alias("ord"), "text"))
     words = texts.select("image_id", "ord", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).filter((F.length("word") >= 3) & ~F.col("word").isin(*STOPWORDS))
     n = words.groupBy("image_id", "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
-    rank = F.row_number().over(IN_GRAPH.orderBy(F.desc("n"), "first"))
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "first"))
     return n.withColumn("rank", rank).filter(F.col("rank") <= k).select("image_id", "word", "n", "rank")
 
 
