@@ -413,7 +413,8 @@ def _sorted_shard(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": docs[piece], "start": starts[piece] + offset, "size": size.astype(np.int64)})
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """What stays of each text, as bytes or as their SHA-256."""
     for batch in batches:
         data, bounds = utf8(batch.column("text"))
         items = batch.column("items")
@@ -425,7 +426,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([[0], np.cumsum(counts)])
         removed, spans, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), []
         for i in range(n):
-            own = data[bounds[i] : bounds[i + 1]]
+            own = np.ascontiguousarray(data[bounds[i] : bounds[i + 1]])
             if counts[i]:
                 step = np.zeros(len(own) + 1, np.int32)
                 s = start[ends[i] : ends[i + 1]]
@@ -435,14 +436,15 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed[i] = gone.sum()
                 spans[i] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 own = own[~gone]
-            kept.append(own.tobytes())
-        columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            kept.append(hashlib.sha256(own).hexdigest() if digest else own.tobytes())
+        columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed), pa.array(spans), pa.array(kept, pa.string() if digest else pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
         give_back()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs.
+def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs; with
+    digest, kept_sha256 in its place.
 
     Texts are UTF-8 bytes, null is empty; a text under LENGTH bytes keeps all. Rows that share a
     doc_id are one document, so equal rows lose nothing to each other and the same to others; a row without doc_id is taken out
@@ -461,17 +463,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     more = saved(cut.groupBy("shard").applyInPandas(_sorted_shard, "doc long, start long, size long"))
     gone = found.filter("gram is null").select("doc", "start", "size").unionByName(more)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("items"))
-    return rows.join(gone, rows["doc_id"] == gone["doc"], "left").select("doc_id", "text", "items").mapInArrow(
-        _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    )
+    held = rows.join(gone, rows["doc_id"] == gone["doc"], "left").select("doc_id", "text", "items")
+    kind = "kept_sha256 string" if digest else "kept binary"
+    return held.mapInArrow(lambda batches: _removed(batches, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """remove_repeats() with the SHA-256 of what stays in place of the bytes."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()]
-            yield batch.drop_columns(["kept"]).append_column("kept_sha256", pa.array(hashes, pa.string()))
-
-    return remove_repeats(docs).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(docs, digest=True)
