@@ -8,7 +8,7 @@ all bands with probability (1 - 0.75**4) ** 40 = 2.5e-7.
 Documents with equal shingle sets are one class from the start. In a bucket of classes, all are first
 checked, on their full sets, against the bucket's smallest one, which joins most of a group in a linear
 number of checks. Buckets whose members are then still in different components are compared in blocks of
-bounded size, and only links of a spanning forest leave a block. Components are joined by alternating large
+bounded size, but not within a component, and only links of a spanning forest leave a block. Components are joined by alternating large
 and small stars.
 """
 
@@ -209,13 +209,33 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left
 def _blocks(frame: pd.DataFrame) -> pd.DataFrame:
     ids, comps = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
-    block = frame["block"].to_numpy()
-    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-    links = block_links(ids, comps, sets, np.flatnonzero(block == i), np.flatnonzero(block == j))
+    links = block_links(ids, comps, sets, np.flatnonzero(frame["block"] == frame["i"]), np.flatnonzero(frame["block"] == frame["j"]))
     give_back()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
+def _dealt(labelled: DataFrame, size: int) -> DataFrame:
+    """h, id, comp, block, i, j: the rows of each pair of blocks (i, j) to compare, of buckets in several components.
+
+    A component with `size` rows or more in a bucket has blocks of its own there, which are not compared with
+    one another; the rows of the others share blocks. Rows are dealt by a hash of their id, so a bucket of
+    any size needs no order. Buckets of two were compared already.
+    """
+    groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    small = F.sum(F.when(F.col("c") < size, F.col("c")).otherwise(0))
+    mixed = groups.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("m"), small.alias("small")).filter("k > 1 and m > 2").select("h", "small")
+    owner = F.when(F.col("c") >= size, F.col("comp"))
+    parts = F.ceil(F.when(F.col("c") >= size, F.col("c")).otherwise(F.col("small")) / size).cast("int")
+    groups = saved(groups.join(mixed, "h").select("h", "comp", owner.alias("owner"), parts.alias("parts")))
+    name = lambda part: F.concat_ws(":", F.col("owner").cast("string"), part.cast("string"))
+    blocks = groups.select("h", "owner", "parts").distinct().select("h", "owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.select("h", "owner", name(F.col("part")).alias("i"))
+    pairs = blocks.join(blocks.withColumnsRenamed({"i": "j", "owner": "other"}), "h").filter("i <= j and not coalesce(owner = other, false)")
+    sides = pairs.select("h", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    rows = labelled.join(groups, ["h", "comp"]).select("h", "id", "comp", name(F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    return rows.join(sides, ["h", "block"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of the undirected links a - b, by alternating stars."""
     x = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
@@ -248,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     held = saved(some.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"]).selectExpr("doc_id id", "n_shingles n", "bands"))
     keys = held.select("id", "n", F.explode("bands").alias("h"))
     buckets = keys.groupBy("h").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("m")).filter("m > 1")
-    members = saved(keys.join(buckets, "h").select("h", "id", "n", "pivot", "m"))
+    members = saved(keys.join(buckets, "h").select("h", "id", "n", "pivot"))
     fits = F.expr(f"100 * least(n, pivot.n) >= {PERCENT} * greatest(n, pivot.n)")
     pairs = members.filter(fits & (F.col("id") != F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
@@ -257,14 +277,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one, two = sets.selectExpr("id a", "hashes sa"), sets.selectExpr("id b", "hashes sb")
     links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long"))
     first = components(links).withColumnRenamed("node", "id")
-    labelled = members.join(first, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"), "m")
-    mixed = labelled.groupBy("h").agg(F.count_distinct("comp").alias("k"), F.count("*").alias("m")).filter("k > 1 and m > 2").select("h", "m")
-    rank = F.row_number().over(_window())
-    open_ = labelled.drop("m").join(mixed, "h").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-    open_ = open_.withColumn("last", F.floor((F.col("m") - 1) / BLOCK).cast("int"))
-    # a block meets each block from itself on; a bucket of one block, which most are, is a single group
-    dealt = open_.select("h", "id", "comp", "block", F.explode(F.expr("transform(sequence(0, last), o -> struct(least(o, block) as i, greatest(o, block) as j))")).alias("ij"))
-    dealt = dealt.select("h", "id", "comp", "block", "ij.i", "ij.j").join(sets, "id")
+    labelled = members.join(first, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
+    dealt = _dealt(labelled, BLOCK).join(sets, "id")
     more = dealt.groupBy("h", "i", "j").applyInPandas(_blocks, "a long, b long")
     found = components(saved(links.unionByName(more)))
     named = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("class_component"))
@@ -273,12 +287,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("h").orderBy("comp", "id")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that a smaller doc_id of their component represents; columns stay."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()

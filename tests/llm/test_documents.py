@@ -182,8 +182,10 @@ def test_near_duplicates(docs):
     assert sorted(tuple(r) for r in got) == sorted((d, len(shingles(t)), find(d), find(d) == d) for d, t in rows)
 
 
-def test_near_duplicate_chains_in_crowded_buckets(spark):
+@pytest.mark.parametrize("block", [16, 256])
+def test_near_duplicate_chains_in_crowded_buckets(spark, monkeypatch, block):
     """A chain of edits whose ends are far apart, more than a block of members, all in shared buckets."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     w = [f"t{i}" for i in range(100)]
     rows = []
     for k in range(400):
@@ -196,6 +198,22 @@ def test_near_duplicate_chains_in_crowded_buckets(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {d: find(d) for d, _ in rows}
 
 
+def test_blocks_of_a_bucket_skip_pairs_within_a_component(spark):
+    """1000 rows of one component, 40 of a second and 3 single ones: all that differ meet, at a linear cost."""
+    comp = [0] * 1000 + [1000] * 40 + [1040, 1041, 1042]
+    rows = [(7, i, c) for i, c in enumerate(comp)] + [(8, i, 0) for i in range(50)] + [(9, 1, 1), (9, 2, 2)]
+    dealt = near_dup._dealt(spark.createDataFrame(rows, "h long, id long, comp long"), 20).collect()
+    groups = {}
+    for r in dealt:
+        assert r["h"] == 7
+        groups.setdefault((r["i"], r["j"]), {}).setdefault(r["block"], set()).add(r["id"])
+    met = set()
+    for (i, j), held in groups.items():
+        met |= {(min(a, b), max(a, b)) for a in held[i] for b in held[j] if comp[a] != comp[b]}
+    assert met == {(b, a) for a in range(1043) for b in range(a) if comp[a] != comp[b]}
+    assert max(len(x) for held in groups.values() for x in held.values()) < 60 and len(dealt) < 20_000
+
+
 def test_blocks_link_what_pivots_miss():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 60, 100).astype(np.uint64)
