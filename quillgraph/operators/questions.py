@@ -40,6 +40,12 @@ SAY = {
     "function_summary_open": ["Briefly summarize the overall function or purpose of the diagram.", "What does this diagram describe at a high level?", "Provide a short summary of the system or process shown in the figure."],
 }
 
+#: The ten types; the registry's other names are further ways to make some of them.
+TYPES = [
+    "element_presence_mcq", "element_absence_mcq", "relation_successor_hidden_abstain_mcq", "relation_successor_multiselect", "relation_containment_hidden_abstain_mcq",
+    "relation_containment_multiselect", "relation_edge_label_hidden_abstain_mcq", "relation_multihop_multiselect", "relation_conflict_mcq", "function_summary_open",
+]
+
 
 def key(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))

@@ -73,7 +73,7 @@ def _questions(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
     made = questions.Generator(g)
-    return made.generate(["element_presence_mcq", "element_absence_mcq", "relation_successor_multiselect", "relation_multihop_multiselect", "function_summary_open"]), made.context
+    return made.generate(questions.TYPES), made.context
 
 
 def _verdicts(g: annotations.Graphs) -> DataFrame:

@@ -1,5 +1,15 @@
+import pytest
+
 from quillgraph.operators import questions, validate
-from quillgraph.sources import tables
+from quillgraph.plans import catalogue
+from quillgraph.sources import annotations, tables
+
+
+@pytest.fixture(scope="module")
+def few(spark, sf):
+    """Some graphs, two with a multihop question among them."""
+    g = tables.order_graphs(spark, sf)
+    return annotations.Graphs(*(x.filter("image_id in (73, 1192) or image_id % 30 = 0") for x in (g.graphs, g.entities, g.relations)))
 
 
 def test_every_question_is_valid_and_reruns_agree(spark, sf):
@@ -15,3 +25,13 @@ def test_every_question_is_valid_and_reruns_agree(spark, sf):
     first = made.generate(["relation_successor_multiselect"])
     key = lambda df: sorted(map(str, df.select("image_id", "question", "options").collect()))
     assert key(first) == key(again)
+
+
+def test_verdicts_and_summary_hold_all_ten_types(few):
+    made, context = catalogue._every_question(few)
+    made = made.cache()
+    verdicts = validate.verdicts(made, context).groupBy("question_type", "ok").count().collect()
+    assert all(r["ok"] for r in verdicts), verdicts
+    counts = {r["question_type"]: r["n"] for r in questions.summarize(made).collect() if r["question_type"]}
+    assert len(counts) == 10 and set(counts) == set(questions.TYPES)
+    assert counts == {r["question_type"]: r["count"] for r in verdicts}
