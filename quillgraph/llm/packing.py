@@ -72,13 +72,17 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
     The byte-level pre-tokenizer starts a new token at every space between two characters that are not white
     space, so texts are cut there and each distinct chunk is encoded once; likewise at single line breaks and
-    before a closing mark after a letter. Texts with other white space beside a space are encoded whole.
+    before a closing mark after a letter. Texts with other white space beside a space are encoded whole, and so
+    are those that hold the character FIRST themselves.
     """
     tokenizer, known, cuts = _encoder(path)
     if len(known) > CACHE:
         known.clear()
     split, new = [], set()
     for t in texts:
+        if FIRST in t:
+            split.append(None)
+            continue
         p = t.split(" ")
         p[0] = FIRST + p[0]  # it has no space before it
         new.update(set(p).difference(known))
@@ -106,7 +110,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for k, p in enumerate(split):
         try:
             out.append(b"".join(map(known.__getitem__, p)))
-        except TypeError:
+        except TypeError:  # a chunk without ids, or a text without chunks
             odd.append(k)
             out.append(b"")
     for k, ids in zip(odd, _ids(tokenizer, [texts[k] for k in odd]), strict=True):

@@ -104,6 +104,15 @@ def test_encoding_of_odd_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoding_of_texts_with_nul():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a \x00b c", "\x00", "\x00a", "a\x00b", "a \x00", " \x00b", "a\n\x00b c", "a \x00. b", "a b c"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy leaves 600 + 300 with a gap of 100; 250 + 150 fill the gap of 400 that taking out 300 opens
     lengths = np.array([600, 300, 250, 150])
