@@ -1,6 +1,6 @@
 """Questions over graphs, ten types. What chance would decide is decided by the md5 of a key, so results
-do not depend on partitions: candidates are tried in the order of their keys, ATTEMPTS of them at most, and
-the first ones that make a whole question are taken.
+do not depend on partitions: candidates are tried in the order of their keys, attempts() of them at most,
+and the first ones that make a whole question are taken.
 
 Everything a question needs of its graph is in one row of context(); pools of texts of a split come in slices.
 """
@@ -21,7 +21,6 @@ from .graph import domain_hints, edge_label_pool, edges_with_text, neighbours, n
 from .paths import unique_multihop
 from .rank import diverse, prepared, ranked
 
-ATTEMPTS = 8
 SLICE = 50_000
 LABELS = "ABCDEF"
 UNKNOWN = "cannot_be_determined"
@@ -82,10 +81,15 @@ def ranked_in_pool(rows: DataFrame, s: DataFrame, target: str, exclude: Column)
     return materialized(rows.withColumn("order", ranked(F.col(target), prepared(F.col("some")), F.col("hint"), exclude)).drop("some"))
 
 
-def tried(rows: DataFrame, seed: int, qtype: str, *parts: str) -> DataFrame:
-    """The first ATTEMPTS candidates of each graph by key, with attempt from 0."""
+def attempts(limit: int) -> int:
+    """Candidates of a graph that are tried for `limit` questions."""
+    return max(8, 6 * limit)
+
+
+def tried(rows: DataFrame, seed: int, qtype: str, *parts: str, limit: int = 1) -> DataFrame:
+    """The first attempts(limit) candidates of each graph by key, with attempt from 0."""
     order = F.row_number().over(Window.partitionBy("image_id").orderBy(key(seed, qtype, F.col("image_id"), *map(F.col, parts)), *parts))
-    return rows.withColumn("attempt", order - 1).filter(F.col("attempt") < ATTEMPTS)
+    return rows.withColumn("attempt", order - 1).filter(F.col("attempt") < attempts(limit))
 
 
 def _option_list(seed: int, qtype: str, correct: Column, wrong: Column) -> Column:
@@ -155,13 +159,13 @@ class Generator:
 
     def presence(self) -> DataFrame:
         q = "element_presence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), self.nodes, "text", F.col("keys"))
+        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id", limit=self.limit), self.nodes, "text", F.col("keys"))
         rows = rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("order"), 3, F.col("text")), "metadata": _meta(used_disambiguation=F.col("told"))})
         return assemble(rows, self.seed, q, "L1", limit=self.limit)
 
     def absence(self) -> DataFrame:
         q = "element_absence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id"), self.nodes, "text", F.concat("keys", _keys(F.col("text"))))
+        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id", limit=self.limit), self.nodes, "text", F.concat("keys", _keys(F.col("text"))))
         rows = rows.filter(F.size("order") > 0).withColumn("best", F.get("order", F.lit(0)))
         wrong = diverse(ranked(F.col("best"), F.col("ready"), F.col("hint"), _keys(F.col("best"))), 3, F.col("best"))
         return assemble(rows.withColumns({"correct": F.array("best"), "wrong": wrong, "metadata": F.create_map().cast("map<string,string>")}), self.seed, q, "L1", limit=self.limit)
@@ -181,9 +185,9 @@ class Generator:
         degree = neighbours(self.g, predicate, forward).groupBy("image_id", "id").agg(F.count("*").alias("n")).filter("n = 1")
         yes = self._linked(predicate, forward).join(degree, ["image_id", "id"], "left_semi").join(enough, ["image_id", "id"])
         source, target = (F.col("text"), F.col("other_text")) if forward else (F.col("other_text"), F.col("text"))
-        yes = tried(yes, self.seed, q, "id").withColumns({"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("told") | F.col("other_told"))})
+        yes = tried(yes, self.seed, q, "id", limit=self.limit).withColumns({"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("told") | F.col("other_told"))})
         none = enough.join(self._linked(predicate, True).select("image_id", "id"), ["image_id", "id"], "left_anti")
-        no = tried(none, self.seed, q, "id").withColumns({"a": F.col("text"), "correct": F.array().cast("array<string>"), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit(reason), used_disambiguation=F.col("told"))})
+        no = tried(none, self.seed, q, "id", limit=self.limit).withColumns({"a": F.col("text"), "correct": F.array().cast("array<string>"), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit(reason), used_disambiguation=F.col("told"))})
         return self._or_unanswerable(q, yes, no)
 
     def successor_abstain(self) -> DataFrame:
@@ -197,7 +201,7 @@ class Generator:
         degree = neighbours(self.g, predicate).groupBy("image_id", "id").agg(F.count("*").alias("n"))
         linked = self._linked(predicate, True).groupBy("image_id", "id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("other_text").alias("text"))))["text"].alias("all"))
         rows = linked.join(degree, ["image_id", "id"]).filter((F.size("all") == F.col("n")) & (F.col("n") >= 2)).join(self.entities.filter(F.size("texts") >= 5), ["image_id", "id"])
-        rows = tried(rows.withColumn("all", F.array_distinct("all")), self.seed, q, "id")
+        rows = tried(rows.withColumn("all", F.array_distinct("all")), self.seed, q, "id", limit=self.limit)
         wrong = self._other_nodes(F.get("all", F.lit(0)), F.greatest(F.lit(1), 4 - F.size("all")), F.concat(_keys(F.col("text")), F.transform("all", norm_key)))
         rows = rows.withColumn("wrong", wrong).withColumn("correct", F.slice("all", 1, 4))
         room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("correct") + 2)) - F.size("correct")
@@ -218,14 +222,15 @@ class Generator:
         base = self.context.select("image_id", "paper_id", "hint")
         edge = edges_with_text(self.g).select("image_id", "ord", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"), clean(F.col("edge_text")).alias("label"))
         edge = edge.join(ends("a"), ["image_id", "a_id"]).join(ends("b"), ["image_id", "b_id"]).join(base, "image_id")
-        yes = ranked_in_pool(tried(edge, self.seed, q, "ord"), self.labels, "label", _keys(F.col("label")))
+        yes = ranked_in_pool(tried(edge, self.seed, q, "ord", limit=self.limit), self.labels, "label", _keys(F.col("label")))
         yes = yes.withColumns({"correct": F.array("label"), "wrong": diverse(F.col("order"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("a_told") | F.col("b_told"))})
         # any ordered pair without a label between them; the pairs of a graph come from its own row
-        two = self.context.filter(F.size("shown") >= 2).select("image_id", "paper_id", "hint", "shown", F.explode("shown").alias("x"))
-        two = two.select("image_id", "paper_id", "hint", "x", F.explode(F.slice(F.array_sort(F.transform(F.filter("shown", lambda y: y["id"] != F.col("x.id")), lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")))), 1, ATTEMPTS)).alias("p"))
+        named = edges_with_text(self.g).groupBy("image_id", F.col("subject_id").alias("a_id")).agg(F.collect_set("object_id").alias("named"))
+        two = self.context.filter(F.size("shown") >= 2).select("image_id", "paper_id", "hint", "shown", F.explode("shown").alias("x")).withColumn("a_id", F.col("x.id"))
+        two = two.join(named, ["image_id", "a_id"], "left").withColumn("shut", F.array_append(F.coalesce("named", F.array().cast("array<string>")), F.col("a_id")))
+        two = two.select("image_id", "paper_id", "hint", "x", F.explode(F.slice(F.array_sort(F.transform(F.filter("shown", lambda y: ~F.array_contains("shut", y["id"])), lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")))), 1, attempts(self.limit))).alias("p"))
         two = two.select("image_id", "paper_id", "hint", F.col("x.id").alias("a_id"), F.col("x.text").alias("a"), F.col("x.told").alias("a_told"), F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"))
-        named = edges_with_text(self.g).select("image_id", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"))
-        no = tried(two.join(named, ["image_id", "a_id", "b_id"], "left_anti"), self.seed, q, "a_id", "b_id")
+        no = tried(two, self.seed, q, "a_id", "b_id", limit=self.limit)
         some = labels.agg(F.max_by("label", key(self.seed, q, F.col("label"))).alias("like"), F.count("*").alias("n"))
         no = ranked_in_pool(no.join(some.filter("n >= 4"), F.lit(True)), self.labels, "like", _keys(F.col("like")))
         no = no.withColumns({"correct": F.array().cast("array<string>"), "wrong": diverse(F.col("order"), 4), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=F.col("a_told") | F.col("b_told"))})
@@ -276,7 +281,7 @@ class Generator:
         said = said.select("image_id", "ord", F.concat_ws(" ", "subject", "predicate", "object").alias("text"), "is_conflict")
         all_ = said.groupBy("image_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"]).alias("all"))
         rows = said.filter("is_conflict").select("image_id", "text").distinct().join(all_, "image_id").join(self.g.graphs, "image_id")
-        rows = tried(rows, self.seed, q, "text")
+        rows = tried(rows, self.seed, q, "text", limit=self.limit)
         others = F.array_sort(F.transform(F.filter("all", lambda t: norm_key(t) != norm_key(F.col("text"))), lambda t: F.struct(key(self.seed, q, F.col("image_id"), t).alias("k"), t.alias("text"))))
         rows = rows.withColumns({"correct": F.array("text"), "wrong": F.slice(others["text"], 1, 3), "metadata": F.create_map().cast("map<string,string>")})
         return assemble(rows, self.seed, q, "L3", limit=self.limit)
@@ -299,7 +304,7 @@ class Generator:
             "element_presence_mcq": self.presence, "element_absence_mcq": self.absence, "relation_successor_hidden_abstain_mcq": self.successor_abstain, "relation_successor_multiselect": self.successor_multi,
             "relation_containment_hidden_abstain_mcq": self.containment_abstain, "relation_containment_multiselect": self.containment_multi, "relation_edge_label_hidden_abstain_mcq": self.edge_label,
             "relation_multihop_multiselect": self.multihop, "relation_conflict_mcq": self.conflict, "function_summary_open": self.summary,
-            **{f"relation_{k}_mcq": getattr(self, v) for k, v in abstain.items()}, **{f"unanswerable_{k}_mcq": sure(v) for k, v in abstain.items()},
+            **{f"relation_{k}_mcq": getattr(self, v) for k, v in abstain.items()}, **{f"relation_unanswerable_{k}_mcq": sure(v) for k, v in abstain.items()},
         }
 
     def generate(self, types: list[str]) -> DataFrame:

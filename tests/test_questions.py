@@ -35,3 +35,21 @@ def test_verdicts_and_summary_hold_all_ten_types(few):
     counts = {r["question_type"]: r["n"] for r in questions.summarize(made).collect() if r["question_type"]}
     assert len(counts) == 10 and set(counts) == set(questions.TYPES)
     assert counts == {r["question_type"]: r["count"] for r in verdicts}
+
+
+def test_forced_types_have_the_reference_names(few):
+    for limit, most in ((1, 1), (9, 9)):
+        made = questions.Generator(few, limit=limit)
+        q = made.generate([f"relation_unanswerable_{k}_mcq" for k in ("successor", "containment")]).collect()
+        assert {r["question_type"] for r in q} == {"relation_successor_hidden_abstain_mcq", "relation_containment_hidden_abstain_mcq"}
+        assert all(r["answer"] == ["cannot_be_determined"] for r in q)
+        n = {}
+        for r in q:
+            n[r["image_id"], r["question_type"]] = n.get((r["image_id"], r["question_type"]), 0) + 1
+        assert max(n.values()) == most
+    assert len(made.registry()) == 16 and "relation_unanswerable_edge_label_mcq" in made.registry()
+
+
+def test_candidates_tried_grow_with_the_limit(spark):
+    rows = spark.range(60).selectExpr("1 image_id", "id")
+    assert [questions.tried(rows, 42, "q", "id", limit=n).count() for n in (1, 2, 9)] == [8, 12, 54]
