@@ -25,7 +25,8 @@ END = 2
 PACKER = 50_000
 #: Distinct chunks of text whose ids a worker keeps at once.
 CACHE = 800_000
-#: Marks that are tokens by themselves after a letter or between lines; FIRST marks what has no space before.
+#: Marks that are tokens by themselves after a letter or between lines. What has no space before it goes by a
+#: key that starts with FIRST, marks and line breaks too, so it is not taken for the same with a space.
 CUTS = ("\n", ",", ".", ";", ":", "!", "?")
 FIRST = "\x00"
 
@@ -33,14 +34,13 @@ _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer, ids (as little-endian bytes) of chunks that it has met, and those of what chunks are cut
-    at; kept while the worker lives."""
+    """The tokenizer and ids (as little-endian bytes) of the chunks that it has met; kept while the worker lives."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = (tokenizer, {}, dict(zip(CUTS, _ids(tokenizer, list(CUTS)), strict=True)))
+        _encoders[path] = (tokenizer, {})
     return _encoders[path]
 
 
@@ -62,8 +62,8 @@ def _units(chunk: str) -> list[str] | None:
             return [chunk]
         key = FIRST + line if k or body is not chunk else line
         if k:
-            units.append("\n")
-        units += [key[:-1], line[-1]] if line[-1] in CUTS and line[-2:-1].isalpha() else [key]
+            units.append(FIRST + "\n")
+        units += [key[:-1], FIRST + line[-1]] if line[-1] in CUTS and line[-2:-1].isalpha() else [key]
     return units
 
 
@@ -75,9 +75,11 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     before a closing mark after a letter. Texts with other white space beside a space are encoded whole, and so
     are those that hold the character FIRST themselves.
     """
-    tokenizer, known, cuts = _encoder(path)
+    tokenizer, known = _encoder(path)
     if len(known) > CACHE:
         known.clear()
+    if not known:
+        known.update(zip([FIRST + c for c in CUTS], _ids(tokenizer, list(CUTS)), strict=True))
     split, new = [], set()
     for t in texts:
         if FIRST in t:
@@ -91,21 +93,21 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for x in new:  # most are a word, or a word and a mark
         if x.isalpha():
             plain.add(x)
-        elif x[-1:] in cuts and x[:-1].isalpha():
+        elif x[-1:] in CUTS and x[:-1].isalpha():
             ended.append(x)
             if x[:-1] not in known:
                 plain.add(x[:-1])
         else:
             made[x] = _units(x)
-    plain.update([u for units in made.values() for u in units or () if u not in cuts and u not in known])
+    plain.update([u for units in made.values() for u in units or () if u not in known])
     base = list(plain)
     for i in range(0, len(base), 20_000):
         some = base[i : i + 20_000]
         known.update(zip(some, _ids(tokenizer, [x[1:] if x[0] == FIRST else " " + x for x in some]), strict=True))
     for x in ended:
-        known[x] = known[x[:-1]] + cuts[x[-1]]
+        known[x] = known[x[:-1]] + known[FIRST + x[-1]]
     for x, units in made.items():
-        known[x] = None if units is None else b"".join([cuts[u] if u in cuts else known[u] for u in units])
+        known[x] = None if units is None else b"".join([known[u] for u in units])
     out, odd = [], []
     for k, p in enumerate(split):
         try:

@@ -113,6 +113,24 @@ def test_encoding_of_texts_with_nul():
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoding_equals_the_tokenizer_on_any_mix_of_marks_and_spaces():
+    """50,000 texts of marks, line breaks, odd spaces, apostrophes, digits and letters of several scripts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    bits = list(",.;:!?'\"-()«»…%") + ["\n", "\n\n", "\r\n", "\t", " ", "  ", "\u00a0", "\u2003", "\u200b", "\x1c", "\x0b", "a", "it", "word", "Bonjour", "é", "ünd", "ß", "日本", "e\u0301", "\U0001f600", "7", "2024", "¼", "'s", "'ll", "'T", "<|endoftext|>", "\x00"]
+    rng = random.Random(11)
+    texts = ["a ! b", "x : y", "Bonjour !", "a , b", "one ? two", "a .\nb", "! a", "!\n!", ".\n. .", " !", "! ", "\n !"]
+    texts += ["".join(rng.choice(bits) + rng.choice(("", "", " ", " ", " ", "\n")) for _ in range(rng.randrange(1, 14))) for _ in range(50_000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 512):
+        got = [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts[at : at + 512], path)]
+        assert got == want[at : at + 512], [t for t, a, b in zip(texts[at : at + 512], got, want[at : at + 512]) if a != b][:5]
+
+
 def test_best_two_fit_replaces_the_smallest():
     # greedy leaves 600 + 300 with a gap of 100; 250 + 150 fill the gap of 400 that taking out 300 opens
     lengths = np.array([600, 300, 250, 150])
