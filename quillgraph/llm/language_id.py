@@ -3,9 +3,9 @@
 Every language has a tree of byte contexts of order 0 to 3. The probability of a byte in a context is
 its count over (total + distinct bytes); an unseen byte escapes, with probability distinct / (total +
 distinct), to the context that is one byte shorter, and at last to a uniform guess. The statistics are
-frozen after fitting, so the code length of a byte depends on itself and the three bytes before it: the
-trees are unrolled into one table of code lengths by context node and byte, and a whole text is scored by
-array lookups. The language with the shortest exact code wins.
+frozen after fitting, so the code length of a byte depends on itself and the three bytes before it: each
+tree is unrolled into a table of code lengths by context node and byte, and a whole text is scored by array
+lookups. The language with the shortest exact code wins.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, utf8
+from .common import give_back, utf8
 
 ORDER = 3
 #: Texts start as if after white space.
@@ -26,33 +26,54 @@ PAD = 0x20
 UNDETERMINED = "und"
 
 
+#: Bytes that are scored at once, of a part of one text or of several texts.
+STRETCH = 1 << 20
+
+
 @dataclass
-class Ppm:
-    """langs; class of each byte; context node by three classes; bits by node, class and language."""
+class Tree:
+    """The unrolled context tree of one language: class of each byte (0: not seen), context node by three classes,
+    bits by node and class. Nodes below classes**2 are contexts of order 2, the others seen ones of order 3."""
 
-    langs: list[str]
     classes: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
 
-    def code_lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits of every text under every language; an empty text takes 0."""
+    def cost(self, data: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        """Bits of every byte after the one, two and three bytes before it."""
         a = int(self.classes.max()) + 1
-        own = self.classes[data].astype(np.int32)
-        starts, lens = bounds[:-1], np.diff(bounds)
-        pad = int(self.classes[PAD])
-        before = []
-        for back in range(1, ORDER + 1):
-            prev = np.full(len(own), pad, np.int32)
-            prev[back:] = own[:-back]
-            for k in range(back):
-                prev[starts[lens > k] + k] = pad
-            before.append(prev)
-        node = self.nodes[(before[2] * a + before[1]) * a + before[0]]
-        out = np.zeros((len(lens), len(self.langs)))
-        full = lens > 0
-        if full.any():
-            out[full] = np.add.reduceat(self.bits[node * a + own], starts[full], axis=0, dtype=np.float64)
+        one, two, three = (self.classes[x] for x in before)
+        return self.bits[self.nodes[(three * a + two) * a + one] * a + self.classes[data]]
+
+
+@dataclass
+class Ppm:
+    """langs (sorted) and their trees; the model grows with the number of languages, each with its own sample."""
+
+    langs: list[str]
+    trees: list[Tree]
+
+    def code_lengths(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Bits of every text under every language; an empty text takes 0. A long text is scored in stretches."""
+        out = np.zeros((len(bounds) - 1, len(self.langs)))
+        for low in range(0, len(data), STRETCH):
+            high = min(low + STRETCH, len(data))
+            first = int(np.searchsorted(bounds, low, side="right")) - 1
+            last = int(np.searchsorted(bounds, high, side="left"))
+            starts = bounds[first:last]
+            before = []
+            for back in range(1, ORDER + 1):
+                prev = np.full(high - low, PAD, np.uint8)
+                skip = max(0, back - low)
+                prev[skip:] = data[low + skip - back : max(0, high - back)]
+                for k in range(back):
+                    at = starts[starts + k >= low] + k - low
+                    prev[at[at < high - low]] = PAD
+                before.append(prev)
+            full = np.flatnonzero(np.minimum(bounds[first + 1 : last + 1], high) > np.maximum(starts, low))
+            at = np.maximum(starts[full], low) - low
+            for k, tree in enumerate(self.trees):
+                out[first + full, k] += np.add.reduceat(tree.cost(data[low:high], before), at, dtype=np.float64)
         return out
 
 
@@ -81,12 +102,11 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "gram": pa.array(list(counts), pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
-def fit(docs: DataFrame, sample_docs: int = 600, max_contexts: int = 8000) -> Ppm:
+def fit(docs: DataFrame, sample_docs: int = 600) -> Ppm:
     """Frozen statistics of the labelled rows that are not held out.
 
     sample_docs bounds the training documents of a language (about; a hash of doc_id picks them, so reruns
-    agree); max_contexts bounds the order-3 contexts that are kept, the most frequent first. What reaches the
-    driver is bounded by both, whatever the size of docs.
+    agree), and with them what reaches the driver. Every context of the sample is kept.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & has_letter() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -103,43 +123,36 @@ def fit(docs: DataFrame, sample_docs: int = 600, max_contexts: int = 8000) -> Pp
         .agg(F.sum("n").alias("n"))
         .toPandas()
     )
-    model = build(langs, grams["lang"].to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64), max_contexts)
+    model = build(langs, grams["lang"].to_numpy(), grams["gram"].to_numpy(np.int64), grams["n"].to_numpy(np.float64))
     del grams
     give_back()
     return model
 
 
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int) -> Ppm:
-    """The unrolled trees from counts of four-byte strings."""
-    if not langs:
-        return Ppm([], np.zeros(256, np.int16), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Ppm:
+    """The unrolled trees from counts of four-byte strings. The uniform guess is over the bytes of all languages."""
+    seen = np.unique(np.concatenate([*[(gram >> s) & 255 for s in (24, 16, 8, 0)], [PAD]]))
+    return Ppm(langs, [_tree(gram[lang == x], n[lang == x], 1.0 / (len(seen) + 1)) for x in langs])
+
+
+def _tree(gram: np.ndarray, n: np.ndarray, guess: float) -> Tree:
     bytes_ = [(gram >> s) & 255 for s in (24, 16, 8, 0)]
     seen = np.unique(np.concatenate([*bytes_, [PAD]])).astype(np.int64)
-    classes = np.zeros(256, np.int64)
+    classes = np.zeros(256, np.int32)
     classes[seen] = np.arange(1, len(seen) + 1)
-    a, count_langs = len(seen) + 1, len(langs)
-    c = [classes[x] for x in bytes_]
-    which = np.array([langs.index(x) for x in lang], np.int64) if len(lang) else np.zeros(0, np.int64)
-    ctx3 = (c[0] * a + c[1]) * a + c[2]
-    total = np.bincount(ctx3, weights=n, minlength=a**3)
-    kept = np.argsort(-total, kind="stable")[:max_contexts]
-    kept = np.sort(kept[total[kept] > 0])
+    a = len(seen) + 1
+    c = [classes[x].astype(np.int64) for x in bytes_]
+    p = np.full((1, a), guess)
+    for order in range(3):
+        ctx = sum((c[3 - k] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(len(gram), np.int64))
+        counts = np.bincount(ctx * a + c[3], weights=n, minlength=a**order * a).reshape(-1, a)
+        p = _escape(counts, np.tile(p, (a**order // len(p), 1)))
+    kept, at = np.unique((c[0] * a + c[1]) * a + c[2], return_inverse=True)
     nodes = np.tile(np.arange(a * a, dtype=np.int32), a)
     nodes[kept] = a * a + np.arange(len(kept), dtype=np.int32)
-    at = np.minimum(np.searchsorted(kept, ctx3), len(kept) - 1)
-    bits = np.empty(((a * a + len(kept)) * a, count_langs), np.float32)
-    for lang_no in range(count_langs):  # one at a time, to hold one set of dense tables
-        own = which == lang_no
-        p = np.full((1, a), 1.0 / a)
-        for order in range(3):
-            ctx = sum((c[3 - k][own] * a ** (k - 1) for k in range(1, order + 1)), np.zeros(int(own.sum()), np.int64))
-            counts = np.bincount(ctx * a + c[3][own], weights=n[own], minlength=a**order * a).reshape(-1, a)
-            p = _escape(counts, np.tile(p, (a**order // len(p), 1)))
-        own &= kept[at] == ctx3
-        counts = np.bincount(at[own] * a + c[3][own], weights=n[own], minlength=len(kept) * a).reshape(-1, a)
-        bits[: p.size, lang_no] = -np.log2(p.ravel())
-        bits[p.size :, lang_no] = -np.log2(_escape(counts, p[kept % (a * a)]).ravel())
-    return Ppm(langs, classes.astype(np.int16), nodes, bits)
+    counts = np.bincount(at * a + c[3], weights=n, minlength=len(kept) * a).reshape(-1, a)
+    longest = _escape(counts, p[kept % (a * a)])
+    return Tree(classes, nodes, -np.log2(np.concatenate([p.ravel(), longest.ravel()])).astype(np.float32))
 
 
 def _escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -165,15 +178,13 @@ def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFra
             ok = np.array(batch.column("_ok").to_pylist(), bool)
             n = batch.num_rows
             lang, best, rate = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
-            for row, end in chunks(bounds) if m.langs else ():
-                b = bounds[row : end + 1]
-                bits = m.code_lengths(data[b[0] : b[-1]], b - b[0])
+            if m.langs and n:
+                bits = m.code_lengths(data, bounds)
                 win = bits.argmin(1)
-                least = bits[np.arange(end - row), win]
+                least = bits[np.arange(n), win]
                 post = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                for i in np.flatnonzero(ok[row:end]):
-                    lang[row + i], best[row + i] = m.langs[win[i]], post[i]
-                    rate[row + i] = least[i] / max(1, b[i + 1] - b[i])
+                for i in np.flatnonzero(ok):
+                    lang[i], best[i], rate[i] = m.langs[win[i]], post[i], least[i] / max(1, bounds[i + 1] - bounds[i])
             out = batch.drop_columns(["_text", "_ok"])
             for name, values in (("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(best)), ("bits_per_byte", pa.array(rate))):
                 out = out.append_column(name, values)

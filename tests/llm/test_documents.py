@@ -46,7 +46,7 @@ def test_ppm_code_lengths_equal_a_direct_model():
         for i in range(3, len(t)):
             grams[lang, int.from_bytes(t[i - 3 : i + 1], "big")] += 1
     langs, gram = [k[0] for k in grams], np.array([k[1] for k in grams])
-    model = language_id.build(["a", "b"], np.array(langs, object), gram, np.array(list(grams.values()), float), 100)
+    model = language_id.build(["a", "b"], np.array(langs, object), gram, np.array(list(grams.values()), float))
     symbols = len(set(b"".join(texts.values())) | {32}) + 1
 
     def p(lang, context, byte):
@@ -69,6 +69,18 @@ def test_ppm_code_lengths_equal_a_direct_model():
     assert np.allclose(got, [want, [0, 0], want], rtol=1e-5)
 
 
+def test_long_texts_are_scored_in_stretches(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 103, 5000).astype(np.uint8)
+    codes = (data[:-3].astype(np.int64) << 24) | (data[1:-2].astype(np.int64) << 16) | (data[2:-1].astype(np.int64) << 8) | data[3:]
+    model = language_id.build(["x"], np.array(["x"] * len(codes), object), codes, np.ones(len(codes)))
+    bounds = np.array([0, 0, 1, 2, 7, 7, 300, 301, 4000, 5000, 5000])
+    whole = model.code_lengths(data, bounds)
+    for size in (1, 2, 3, 50, 4999):
+        monkeypatch.setattr(language_id, "STRETCH", size)
+        assert np.allclose(model.code_lengths(data, bounds), whole)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
