@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import give_back, utf8
+from .common import give_back, packed, unpacked, utf8
 
 ORDER = 3
 #: Texts start as if after white space.
@@ -192,8 +193,8 @@ def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFra
             give_back()
 
     rows = docs.select("doc_id", held_out().alias("held_out"), *extra, F.col("text").alias("_text"), has_letter().alias("_ok"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
-    return rows.mapInArrow(score, ", ".join([*kinds, "lang_pred string, score double, bits_per_byte double"]))
+    kinds = T.StructType([*rows.schema.fields[:-2], *T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double").fields])
+    return rows.mapInArrow(score, kinds)
 
 
 def language_id(docs: DataFrame, **parameters) -> DataFrame:
@@ -203,7 +204,5 @@ def language_id(docs: DataFrame, **parameters) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the rows whose language is undetermined; all columns stay as they are."""
-    names = docs.columns
-    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
-    got = predict(renamed, fit(docs, **parameters), extra=tuple(f"_c{i}" for i in range(len(names))))
-    return got.filter(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    got = predict(docs.select("doc_id", "text", packed(docs).alias("row")), fit(docs, **parameters), extra=("row",))
+    return got.filter(F.col("lang_pred") != UNDETERMINED).select(*unpacked(docs.columns))

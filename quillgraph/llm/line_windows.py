@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 LINES = 3
 
@@ -20,20 +20,43 @@ def _split(text: str = "text") -> F.Column:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """_doc, _text_key, marked (sorted positions of the lines to remove) of the documents that have any."""
+    """d, h, starts, ends (of the merged stretches of lines to remove, ends exclusive) of the documents that have
+    any; d and h are doc_id and the hash of the text."""
     lines = F.transform(_split(), lambda x: F.unhex(F.md5(x.cast("binary"))))
     # documents of fewer lines have no window; the array index runs from 1
     keys = F.expr(f"transform(sequence(1, size(l) - {LINES - 1}), i -> unhex(md5(concat(l[i - 1], l[i], l[i + 1]))))")
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text_key"), lines.alias("l")).filter(F.size("l") >= LINES)
-    windows = saved(rows.select("_doc", "_text_key", F.posexplode(keys).alias("pos", "key")))
-    first = windows.groupBy("key").agg(F.min(F.struct("_doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = windows.join(first.select("key", "first"), "key").filter(~F.struct("_doc", "pos").eqNullSafe(F.col("first")))
-    marked = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.expr(f"sequence(pos, pos + {LINES - 1})")))))
-    return later.groupBy("_doc", "_text_key").agg(marked.alias("marked"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), lines.alias("l")).filter(F.size("l") >= LINES)
+    windows = saved(rows.select("d", "h", F.posexplode(keys).alias("pos", "key")))
+    first = windows.groupBy("key").agg(F.min(F.struct("d", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = windows.join(first.select("key", "first"), "key").filter(~F.struct("d", "pos").eqNullSafe(F.col("first")))
+    at = later.groupBy("d", "h").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # windows that overlap or meet are one stretch, which begins and ends where the next one is farther away
+    starts = F.filter("at", lambda p, i: (i == 0) | (p - F.get("at", i - 1) > LINES))
+    ends = F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - p > LINES))
+    return at.select("d", "h", starts.alias("starts"), F.transform(ends, lambda p: p + LINES).alias("ends"))
+
+
+def _decided(docs: DataFrame, names: list[str]) -> DataFrame:
+    """row (the columns in names), kept (the text that stays), n_lines and n_removed of each row of docs."""
+    marks = repeated_lines(docs).withColumnsRenamed({"d": "e", "h": "g"})
+    x = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"), packed(docs, names).alias("row"))
+    x = x.join(marks, F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left").withColumn("lines", _split("t"))
+    # what stays is between the stretches: from the end of one to the start of the next
+    end = F.concat("starts", F.array(F.size("lines")))
+    gaps = F.transform(end, lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get("ends", i - 1)).alias("a"), s.alias("b")))
+    kept = F.transform(F.filter(gaps, lambda g: g["a"] < g["b"]), lambda g: F.array_join(F.slice("lines", g["a"] + 1, g["b"] - g["a"]), "\n"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda a, n: a + n)
+    return x.select(
+        "row",
+        F.when(F.col("starts").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.coalesce(F.when(F.col("t").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the text that stays, and n_lines and n_removed (columns of docs with these names are replaced).
+    """docs with the text that stays, and n_lines and n_removed (columns of docs with these two names are
+    replaced; other names of docs can be anything).
 
     Lines are what '\\n' separates, so an empty text has one line; a null text stays null and has none. A
     text of fewer than three lines stays as it is. If every line goes, the text is empty. Rows that share
@@ -41,24 +64,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A null doc_id comes before all others.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    marks = repeated_lines(docs)
-    x = docs.select(*[F.col(f"`{c}`") for c in rest], "text")
-    x = x.join(marks, x["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(x["text"]) == marks["_text_key"]), "left")
-    kept = F.array_join(F.filter(F.transform(_split(), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda s: ~F.array_contains(F.col("marked"), s["i"]))["line"], "\n")
-    text = F.when(F.col("marked").isNull(), F.col("text")).otherwise(kept)
-    return x.select(
-        *[F.col(f"`{c}`") for c in rest],
-        text.alias("text"),
-        F.coalesce(F.when(F.col("text").isNotNull(), F.size(_split())), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("marked"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    return _decided(docs, rest).select(*unpacked(rest), F.col("kept").alias("text"), "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed, n_chars set anew, and without documents that lost every line."""
-    x = dedup_lines(docs.withColumnsRenamed({c: f"_kept_{c}" for c in docs.columns if c in ("n_lines", "n_removed")}))
-    x = x.filter("n_removed = 0 or n_removed < n_lines").drop("n_lines", "n_removed")
-    x = x.withColumnsRenamed({f"_kept_{c}": c for c in docs.columns})
+    x = _decided(docs, docs.columns).filter("n_removed = 0 or n_removed < n_lines")
+    anew = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*[F.col(f"`{c}`") for c in docs.columns])
+        anew["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return x.select(*[anew[c].alias(c) if c in anew else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
