@@ -3,17 +3,20 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so half as
 many permutations are evaluated; both agree between two sets with probability equal to their Jaccard
 similarity. BANDS bands of two permutations (four values) are looked up. A pair at similarity 0.75 misses
-all bands with probability (1 - 0.75**4) ** 40 = 2.5e-7.
-
-Documents with equal shingle sets are one class from the start. In a bucket of classes, all are first
-checked, on their full sets, against the bucket's smallest one, which joins most of a group in a linear
-number of checks. Buckets whose members are then still in different components are compared in blocks of
-bounded size, but not within a component, and only links of a spanning forest leave a block. Components are joined by alternating large
-and small stars.
+all bands with probability (1 - 0.75**4) ** 40 = 2.5e-7. In sets of a few shingles minimum and maximum depend
+on one another, so sets of SMALL shingles at most have EXTRA bands more.
+
+Hashes only find candidates. Documents with equal word sequences (by a cryptographic digest) are one class from
+the start; every link is confirmed on the words of both texts. In a bucket of classes, all are first checked
+against the bucket's smallest one, which joins most of a group in a linear number of checks. Buckets whose
+members are then still in different components are compared in blocks of bounded size, buckets of the same
+members once, but not within a component, and only links of a spanning forest leave a block. Components are
+joined by alternating large and small stars.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,29 +29,38 @@ from .common import chunks, give_back, mix64, packed, saved, unpacked, utf8
 
 SHINGLE = 5
 BANDS = 40
-PERMUTATIONS = 2 * BANDS
+#: More bands for sets of so many shingles at most.
+EXTRA, SMALL = 80, 24
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 BLOCK = 256
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _ODD = mix64(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
-_A = mix64(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
-_B = mix64(np.arange(3000, 3000 + PERMUTATIONS, dtype=np.uint64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, up to n."""
-    if not _powers or len(_powers["up"]) <= n:
-        up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers.update(up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
+_A = mix64(np.arange(1000, 1000 + 2 * (BANDS + EXTRA), dtype=np.uint64)) | np.uint64(1)
+_B = mix64(np.arange(3000, 3000 + 2 * (BANDS + EXTRA), dtype=np.uint64))
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words up to this many bytes are hashed side by side, eight bytes a step, longer ones one by one.
+LONG = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end], which lie in lower case."""
+    size = ends - starts
+    wide = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix64(size.astype(np.uint64) * _ODD[50])
+    for k in range(0, LONG, 8):
+        own = np.flatnonzero((size > k) & (size <= LONG))
+        if not len(own):
+            break
+        block = wide[starts[own] + k] & _MASK[np.minimum(size[own] - k, 8)]
+        out[own] = mix64(out[own] * _ODD[51] + block)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +80,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1], after[:-1] = False, inside[1:]
     after[bounds[1:][bounds[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[:n], out=sums[1:])
-    word = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    word = word_hashes(_LOWER[data], starts, ends)
     first = np.searchsorted(starts, bounds)  # of the words of each text
     count = np.diff(first)
     size = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
@@ -92,17 +101,22 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes[fresh], kept[out_bounds]
 
 
-def band_hashes(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BANDS hashes of each (non-empty) set: of the minima and maxima under two permutations each."""
-    starts = bounds[:-1]
-    out = np.empty((len(starts), BANDS), np.uint64)
-    for band in range(BANDS):
+def shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The shingles of a text as tuples of words."""
+    w = text.lower().split()  # of bytes: just A-Z, and just the six ASCII white-space characters
+    return set(zip(*[w[k:] for k in range(SHINGLE)], strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+
+
+def band_hashes(sets: np.ndarray, starts: np.ndarray, bands: range) -> np.ndarray:
+    """A hash for each band of each (non-empty) set: of the minima and maxima under two permutations each."""
+    out = np.empty((len(starts), len(bands)), np.uint64)
+    for column, band in enumerate(bands):
         h = np.full(len(starts), _ODD[band % len(_ODD)] + np.uint64(band), np.uint64)
         for p in (2 * band, 2 * band + 1):
             x = sets * _A[p] + _B[p]
             h = mix64(h * _ODD[60] + np.minimum.reduceat(x, starts))
             h = mix64(h * _ODD[61] + np.maximum.reduceat(x, starts))
-        out[:, band] = h
+        out[:, column] = h
     return out
 
 
@@ -111,50 +125,36 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, all_bounds = utf8(batch.column("text"))
         for row, end in chunks(all_bounds):
             b = all_bounds[row : end + 1]
-            sets, bounds = shingle_sets(data[b[0] : b[-1]], b - b[0])
+            own, cut = data[b[0] : b[-1]], (b - b[0]).tolist()
+            sets, bounds = shingle_sets(own, b - b[0])
             size = np.diff(bounds)
-            full = size > 0
-            bands = np.zeros((len(size), BANDS), np.uint64)
-            prints = np.zeros((2, len(size)), np.uint64)
-            if full.any():
-                starts = bounds[:-1][full]
-                bands[full] = band_hashes(sets, np.concatenate([starts, bounds[-1:]]))
-                for k in range(2):
-                    prints[k][full] = np.add.reduceat(mix64(sets ^ _ODD[40 + k]), starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists],
-                ["doc_id", "n_shingles", "f1", "f2", "bands"],
-            )
-        give_back()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, all_bounds = utf8(batch.column("text"))
-        for row, end in chunks(all_bounds):
-            b = all_bounds[row : end + 1]
-            sets, bounds = shingle_sets(data[b[0] : b[-1]], b - b[0])
-            raw = sets.tobytes()
-            held = [raw[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(held, pa.binary())], ["id", "hashes"])
+            digests = [hashlib.blake2b(b" ".join(own[x:y].tobytes().lower().split()), digest_size=16).digest() for x, y in zip(cut[:-1], cut[1:])]
+            width = np.where(size > SMALL, BANDS, np.where(size > 0, BANDS + EXTRA, 0))
+            ends = np.concatenate([[0], np.cumsum(width)])
+            flat = np.zeros(ends[-1], np.uint64)
+            for rows, bands in ((size > 0, range(BANDS)), ((size > 0) & (size <= SMALL), range(BANDS, BANDS + EXTRA))):
+                rows = np.flatnonzero(rows)
+                if len(rows):
+                    some = np.concatenate([sets[bounds[i] : bounds[i + 1]] for i in rows.tolist()]) if bands.start else sets
+                    starts = np.concatenate([[0], np.cumsum(size[rows])[:-1]])
+                    flat[(ends[rows] + bands.start)[:, None] + np.arange(len(bands))] = band_hashes(some, starts, bands)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(size.astype(np.int64)), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "bands"])
         give_back()
 
 
 def similar(a: bytes, b: bytes) -> bool:
-    """Whether two sets (sorted hashes as bytes) are linked."""
-    x, y = len(a) // 8, len(b) // 8
-    if 100 * min(x, y) < PERCENT * max(x, y):
+    """Whether two texts are linked, by their words."""
+    x, y = shingles(a), shingles(b)
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
-    both = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (x + y - common)
+    common = len(x & y)
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        ok = [similar(a, b) for a, b in zip(f["sa"], f["sb"], strict=True)]
+        ok = [similar(a, b) for a, b in zip(f["ta"], f["tb"], strict=True)]
         yield f.loc[ok, ["a", "b"]]
     give_back()
 
@@ -208,7 +208,8 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left
 
 def _blocks(frame: pd.DataFrame) -> pd.DataFrame:
     ids, comps = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64)
-    sets = [np.frombuffer(x, np.uint64) for x in frame["hashes"]]
+    number: dict[tuple[bytes, ...], int] = {}
+    sets = [np.array([number.setdefault(s, len(number)) for s in shingles(t)], np.int64) for t in frame["text"]]
     links = block_links(ids, comps, sets, np.flatnonzero(frame["block"] == frame["i"]), np.flatnonzero(frame["block"] == frame["j"]))
     give_back()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -219,11 +220,14 @@ def _dealt(labelled: DataFrame, size: int) -> DataFrame:
 
     A component with `size` rows or more in a bucket has blocks of its own there, which are not compared with
     one another; the rows of the others share blocks. Rows are dealt by a hash of their id, so a bucket of
-    any size needs no order. Buckets of two were compared already.
+    any size needs no order. Buckets of two were compared already. Of buckets with the same members (by two
+    64-bit sums over their ids) one is compared.
     """
-    groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"))
+    member = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"f{k}") for k in (1, 2)]
+    groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"), *member)
     small = F.sum(F.when(F.col("c") < size, F.col("c")).otherwise(0))
-    mixed = groups.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("m"), small.alias("small")).filter("k > 1 and m > 2").select("h", "small")
+    mixed = groups.groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("m"), small.alias("small"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2")).filter("k > 1 and m > 2")
+    mixed = mixed.groupBy("k", "m", "f1", "f2").agg(F.min(F.struct("h", "small")).alias("one")).select("one.h", "one.small")
     owner = F.when(F.col("c") >= size, F.col("comp"))
     parts = F.ceil(F.when(F.col("c") >= size, F.col("c")).otherwise(F.col("small")) / size).cast("int")
     groups = saved(groups.join(mixed, "h").select("h", "comp", owner.alias("owner"), parts.alias("parts")))
@@ -261,11 +265,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     it is kept. Ties need no rule, as a component's name is its smallest doc_id.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    signed = saved(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    signed = saved(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"))
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    key = ["n_shingles", "f1", "f2"]
-    classes = some.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    held = saved(some.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates([*key, "doc_id"]).selectExpr("doc_id id", "n_shingles n", "bands"))
+    classes = saved(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    held = saved(some.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).selectExpr("doc_id id", "n_shingles n", "bands"))
     keys = held.select("id", "n", F.explode("bands").alias("h"))
     buckets = keys.groupBy("h").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("m")).filter("m > 1")
     members = saved(keys.join(buckets, "h").select("h", "id", "n", "pivot"))
@@ -273,17 +276,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.filter(fits & (F.col("id") != F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
     texts = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi")
-    sets = saved(texts.mapInArrow(_sets, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes")))
-    one, two = sets.selectExpr("id a", "hashes sa"), sets.selectExpr("id b", "hashes sb")
-    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(_verified, "a long, b long"))
+    texts = saved(texts.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("text").cast("binary")).alias("text")))
+    one, two = texts.selectExpr("id a", "text ta"), texts.selectExpr("id b", "text tb")
+    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long"))
     first = components(links).withColumnRenamed("node", "id")
     labelled = members.join(first, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
-    dealt = _dealt(labelled, BLOCK).join(sets, "id")
+    dealt = _dealt(labelled, BLOCK).join(texts, "id")
     more = dealt.groupBy("h", "i", "j").applyInPandas(_blocks, "a long, b long")
     found = components(saved(links.unionByName(more)))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("class_component"))
-    out = signed.drop("bands").join(named, key, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
+    named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
+    out = signed.drop("bands").join(named, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -9,10 +9,10 @@ and they can be dealt to shards by content:
    within a batch and then within a bucket of anchors: all but the first of equal pieces are covered as
    wholes, and a piece whose anchor occurs once is done.
 2. Shards. The pieces whose anchor has several different pieces are cut from the texts and go to shards by
-   anchor. A shard concatenates its pieces and sorts the suffixes by induced sorting (suffix types, order of
-   the leftmost-smaller substrings, found recursively, and two linear induction passes, all bucket by bucket
-   on arrays). Permuted common prefixes with the preceding suffix, compared word by word on the bytes, then
-   show the classes of equal strings; all but the earliest of a class are covered.
+   anchor. A shard concatenates its pieces and sorts the suffixes by induced sorting: suffix types, order of
+   the leftmost-smaller substrings, found recursively, and two linear induction passes (bucket by bucket on
+   arrays, or position by position where names are many). Permuted common prefixes with the preceding suffix
+   then show the classes of equal strings; all but the earliest of a class are covered.
 3. Covered positions of a document are merged and cut out.
 
 Anchors in very many documents (found in a bounded sample of documents: of a share over HOT_SHARE, or over
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, give_back, mix64, saved, utf8
-from .near_dup import powers
 
 LENGTH = 100
 GRAM = 32
@@ -46,17 +45,49 @@ PART_BYTES = 4 << 20
 COVERED = 0x80
 
 
+PRIME = (1 << 31) - 1
+#: Two bases of polynomial hashes modulo PRIME, and pieces that a worker remembers from batch to batch.
+BASES = (1_116_352_408, 1_899_447_441)
+REMEMBERED = 200_000
+_powers: dict[int, np.ndarray] = {}
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any x below 2**63."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n of base modulo PRIME."""
+    if base not in _powers or len(_powers[base]) <= n:
+        out = np.ones(1, np.uint32)
+        while len(out) <= n:
+            out = np.concatenate([out, folded(out.astype(np.uint64) * np.uint64(pow(base, len(out), PRIME))).astype(np.uint32)])
+        _powers[base] = out
+    return _powers[base][: n + 1]
+
+
 class Texts:
-    """Concatenated texts with prefix sums that give the hash of any stretch."""
+    """Concatenated texts with prefix sums that give the hash of any stretch: two polynomials modulo 2**31 - 1."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         self.data, self.bounds = data, bounds
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for base in BASES:
+            sums, up = np.zeros(len(data) + 1, np.uint32), powers(base, len(data))
+            for at in range(0, len(data), 1 << 20):  # a sum of so many terms below 2**39 stays below 2**63
+                part = data[at : at + (1 << 20)].astype(np.uint64) + np.uint64(1)
+                sums[at + 1 : at + 1 + len(part)] = folded(np.cumsum(part * up[at : at + len(part)]) + np.uint64(sums[at]))
+            self.sums.append(sums)
+            self.down.append(powers(pow(base, -1, PRIME), len(data)))
+
+    def _poly(self, k: int, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
+        return folded(folded(self.sums[k][b] + np.uint64(PRIME) - self.sums[k][a]) * self.down[k][a].astype(np.uint64))
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64((self.sums[b] - self.sums[a]) * self.down[a])
+        return mix64((self._poly(0, a, b) << np.uint64(31)) | self._poly(1, a, b))
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Anchor hash, text number, start in the data, and length of every piece."""
@@ -64,8 +95,7 @@ class Texts:
         none = np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
         if n < LENGTH:
             return none
-        m = (self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n + 1 - GRAM]
-        m = mix64(m)
+        m = mix64(self._poly(0, slice(0, n + 1 - GRAM), slice(GRAM, n + 1)))
         m >>= np.uint64(32)
         m <<= np.uint64(32)
         m |= np.arange(len(m), dtype=np.uint64)
@@ -138,7 +168,30 @@ def _firsts(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.nda
     return order, first
 
 
-def _bodies(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+class Remembered:
+    """Pieces that repeated in the parts that a task has dealt already, with their earliest occurrence. It holds
+    REMEMBERED of them at most; what it forgets goes to the buckets, which decide all the same."""
+
+    def __init__(self):
+        self.key, self.doc, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which pieces are after an occurrence that was met."""
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[at] == key) & ((doc > self.doc[at]) | ((doc == self.doc[at]) & (start > self.start[at])))
+
+    def add(self, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        key, doc, start = np.concatenate([self.key, key]), np.concatenate([self.doc, doc]), np.concatenate([self.start, start])
+        order = np.lexsort((start, doc, key))
+        order = order[np.append(True, key[order[1:]] != key[order[:-1]])] if len(order) else order
+        if len(order) > REMEMBERED:
+            order = order[:: -(-len(order) // REMEMBERED)]
+        self.key, self.doc, self.start = key[order], doc[order], start[order]
+
+
+def _bodies(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, buckets: int, hot: np.ndarray, met: Remembered) -> Iterator[pa.RecordBatch]:
     parts = []
     for row, end in chunks(bounds):
         b = bounds[row : end + 1]
@@ -159,6 +212,11 @@ def _bodies(ids: np.ndarray, data: np.ndarray, bounds: np.ndarray, buckets: int,
     h, content, doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, first = _firsts(h, content, doc, start)
     h, content, doc, start, size = (x[order] for x in (h, content, doc, start, size))
+    own = mix64(h) ^ content
+    again = np.unique(own[~first])
+    shown = first & _in_sorted(own, again)
+    first &= ~met.later(own, doc, start)
+    met.add(own[shown], doc[shown], start[shown])
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     short = (h // np.uint64(buckets)).astype(np.uint32)
     size = size - LENGTH + np.where(first, 0, COVERED)
@@ -179,12 +237,13 @@ def _dealt(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Remembered()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             data, bounds = utf8(batch.column("text"))
             for row, end in chunks(bounds, PART_BYTES):
                 b = bounds[row : end + 1]
-                yield from _bodies(ids[row:end], data[b[0] : b[-1]], b - b[0], buckets, shared.value)
+                yield from _bodies(ids[row:end], data[b[0] : b[-1]], b - b[0], buckets, shared.value, met)
             give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "bucket long, body binary")
@@ -284,28 +343,57 @@ def _induce(t: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tails: np.nda
     return sa
 
 
-def _by_doubling(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of `depth` characters at least, for alphabets too large for buckets."""
-    n = len(t)
-    rank, width = t.astype(np.uint64) + np.uint64(1), 1
-    while True:
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - width)] = rank[width:]
-        key = (rank << np.uint64(32)) | after
-        order = np.argsort(key)
-        key = key[order]
-        fresh = np.append(True, key[1:] != key[:-1])
-        rank[order] = np.cumsum(fresh).astype(np.uint64)
-        width *= 2
-        if width >= depth or fresh.all():
-            return order.astype(np.int32)
-
-
-def suffix_order(t: np.ndarray, k: int, depth: int = LENGTH) -> np.ndarray:
-    """Start positions of the suffixes of t (characters below k) in order, exact to `depth` characters."""
+def _induce_one_by_one(t: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tails: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The same, position by position: for alphabets with few suffixes a bucket."""
+    chars, small, n = t.tolist(), smaller.tolist(), len(t)
+    sa = [-1] * n
+    fill = tails.tolist()
+    for s in seeds[::-1].tolist():
+        c = chars[s]
+        fill[c] -= 1
+        sa[fill[c]] = s
+    fill = heads.tolist()
+    c = chars[n - 1]
+    sa[fill[c]] = n - 1
+    fill[c] += 1
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not small[j]:
+            c = chars[j]
+            sa[fill[c]] = j
+            fill[c] += 1
+    fill = tails.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and small[j]:
+            c = chars[j]
+            fill[c] -= 1
+            sa[fill[c]] = j
+    return np.array(sa, np.int32)
+
+
+def _same_strings(t: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether t[a:a+size] equals t[b:b+size], for each of several places and sizes (0: no)."""
+    same, open_, k = sizes > 0, np.flatnonzero(sizes > 0), 0
+    while len(open_):
+        alike = t[a[open_] + k] == t[b[open_] + k]
+        same[open_[~alike]] = False
+        k += 1
+        open_ = open_[alike & (sizes[open_] > k)]
+    return same
+
+
+def suffix_order(t: np.ndarray, k: int) -> np.ndarray:
+    """Start positions of the suffixes of t (characters below k) in order, by induced sorting.
+
+    Suffixes are classified as smaller or larger than the next one. The substrings between leftmost-smaller
+    positions are sorted by an induction, named by rank, and the string of names is sorted in the same way, level
+    by level, until all names differ; a second induction takes their order to all suffixes.
+    """
     n = len(t)
-    if n < 3 or k > max(512, n // 64):
-        return _by_doubling(t, depth)
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), np.int32)
+    induce = _induce if k <= max(512, n // 64) else _induce_one_by_one
     edge = np.flatnonzero(t[1:] != t[:-1])
     smaller = np.repeat(np.append(t[edge] < t[edge + 1], False), np.diff(np.concatenate([[-1], edge, [n - 1]])))
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
@@ -313,26 +401,47 @@ def suffix_order(t: np.ndarray, k: int, depth: int = LENGTH) -> np.ndarray:
     tails = np.cumsum(count)
     heads = tails - count
     if len(leftmost) > 1:
-        rough = _induce(t, smaller, heads, tails, leftmost)
+        rough = induce(t, smaller, heads, tails, leftmost)
         flag = np.zeros(n, bool)
         flag[leftmost] = True
         rough = rough[flag[rough]]
         place = np.zeros(n, np.int32)
         place[leftmost] = np.arange(len(leftmost))
-        ends = np.append(leftmost[1:] + 1, n).astype(np.int64)
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((t.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        print_ = mix64((sums[ends] - sums[leftmost]) * down[leftmost] + (ends - leftmost).astype(np.uint64))
-        print_[-1] += np.uint64(1)  # the last one holds the end of the text: no other is like it
         own = place[rough]
-        fresh = np.append(True, print_[own[1:]] != print_[own[:-1]])
+        sizes = np.append(np.diff(leftmost) + 1, 0)  # the last one holds the end of the text: no other is like it
+        alike = np.where(sizes[own[1:]] == sizes[own[:-1]], sizes[own[1:]], 0)
+        fresh = np.append(True, ~_same_strings(t, leftmost[own[:-1]], leftmost[own[1:]], alike))
         names = np.empty(len(leftmost), np.int32)
         names[own] = np.cumsum(fresh) - 1
-        # leftmost-smaller positions are two characters apart at least
-        order = own if fresh.all() else suffix_order(names, int(fresh.sum()), -(-depth // 2) + 1)
+        order = own if fresh.all() else suffix_order(names, int(fresh.sum()))
         leftmost = leftmost[order]
-    return _induce(t, smaller, heads, tails, leftmost)
+    return induce(t, smaller, heads, tails, leftmost)
+
+
+def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """By position in the text: how many characters a suffix shares with the one before it in order (the first: 0).
+
+    A suffix whose left neighbour character is also that of its predecessor shares one less than the suffix to
+    its left; only the others are compared, four characters at a time.
+    """
+    n = len(t)
+    phi = np.full(n, -1, np.int64)
+    phi[sa[1:]] = sa[:-1]
+    plain = phi >= 0
+    taken = np.zeros(n, bool)
+    taken[1:] = plain[1:] & (phi[1:] > 0) & (t[:-1] == t[np.maximum(phi[1:] - 1, 0)])
+    wide = np.ndarray((n + 1,), "<u8", np.concatenate([t.astype("<i2"), np.full(8, -1, "<i2")]), strides=(2,))
+    out = np.zeros(n, np.int64)
+    open_, k = np.flatnonzero(plain & ~taken), 0
+    while len(open_):
+        x = wide[open_ + k] ^ wide[phi[open_] + k]
+        differ = x != 0
+        low = x[differ]
+        out[open_[differ]] = k + (np.log2((low & (~low + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 4)
+        open_ = open_[~differ]
+        k += 4
+    last = np.maximum.accumulate(np.where(taken, 0, np.arange(n)))
+    return out[last] - (np.arange(n) - last)
 
 
 def covered_strings(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,17 +454,10 @@ def covered_strings(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, star
     t[where] = data.astype(np.int16) + 1
     first = bounds[:-1] + np.arange(len(sizes))  # of each piece in t; a zero follows each
     sa = suffix_order(t, 257)
+    shared = permuted_common_prefixes(t, sa)
     offset = np.arange(n, dtype=np.int32) - first[piece].astype(np.int32)
     sa = sa[offset[sa] <= sizes[piece[sa]] - LENGTH]  # suffixes that hold a whole string
-    raw = np.concatenate([np.where(where, np.maximum(t - 1, 0), 0).astype(np.uint8), np.zeros(8, np.uint8)])
-    wide = np.ndarray((n,), "<u8", raw, strides=(1,))
-    # permuted common prefixes: of each suffix with the one before it in order, by words of eight bytes
-    phi, own = sa[:-1], sa[1:]
-    alike = np.arange(len(own))
-    for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
-        alike = alike[wide[own[alike] + k] == wide[phi[alike] + k]]
-    same = np.zeros(len(sa), bool)
-    same[alike + 1] = True
+    same = shared[sa] >= LENGTH  # with the suffix before it, which then holds a whole string as well
     klass = np.cumsum(~same)
     d, s = docs[piece[sa]], starts[piece[sa]] + offset[sa]
     in_class = same.copy()
