@@ -24,7 +24,7 @@ CAPACITY = 1024
 END = 2
 PACKER = 50_000
 #: Distinct chunks of text whose ids a worker keeps at once.
-CACHE = 800_000
+CACHE = 1_500_000
 #: Marks that are tokens by themselves after a letter or between lines. What has no space before it goes by a
 #: key that starts with FIRST, marks and line breaks too, so it is not taken for the same with a space.
 CUTS = ("\n", ",", ".", ";", ":", "!", "?")
@@ -48,6 +48,20 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _word_ids(tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of words of letters only, each with a space before it: as one text, of which each is a part."""
+    out = []
+    for at in range(0, len(words), 2000):
+        some = words[at : at + 2000]
+        e = tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
+        raw, starts = array("I", e.ids).tobytes(), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)).tolist()
+        if len(starts) == len(some):
+            out += [raw[4 * x : 4 * y] for x, y in zip(starts, [*starts[1:], len(raw) // 4])]
+        else:  # a letter that is none to the tokenizer
+            out += _ids(tokenizer, [" " + w for w in some])
+    return out
+
+
 def _units(chunk: str) -> list[str] | None:
     """A chunk as lines and the marks that end or part them, each of which is tokenized by itself; None for a
     chunk that is not cut off rightly, as white space meets white space at its ends."""
@@ -80,26 +94,30 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         known.clear()
     if not known:
         known.update(zip([FIRST + c for c in CUTS], _ids(tokenizer, list(CUTS)), strict=True))
-    split, new = [], set()
+    split, found, new = [], [], set()
     for t in texts:
-        if FIRST in t:
-            split.append(None)
-            continue
-        p = t.split(" ")
-        p[0] = FIRST + p[0]  # it has no space before it
-        new.update(set(p).difference(known))
-        split.append(p)
-    plain, ended, made = set(), [], {}
+        p = [] if FIRST in t else t.split(" ")
+        if p:
+            p[0] = FIRST + p[0]  # it has no space before it
+        got = list(map(known.get, p))
+        open_ = [k for k, ids in enumerate(got) if ids is None] if None in got else []
+        new.update([p[k] for k in open_])
+        split.append((p, open_))
+        found.append(got)
+    words, plain, ended, made = set(), set(), [], {}
     for x in new:  # most are a word, or a word and a mark
         if x.isalpha():
-            plain.add(x)
+            words.add(x)
         elif x[-1:] in CUTS and x[:-1].isalpha():
             ended.append(x)
             if x[:-1] not in known:
-                plain.add(x[:-1])
-        else:
+                words.add(x[:-1])
+        elif x not in known:  # None marks a chunk that makes its text odd
             made[x] = _units(x)
-    plain.update([u for units in made.values() for u in units or () if u not in known])
+    for u in {u for units in made.values() for u in units or () if u not in known}:
+        (words if u.isalpha() else plain).add(u)
+    base = list(words)
+    known.update(zip(base, _word_ids(tokenizer, base), strict=True))
     base = list(plain)
     for i in range(0, len(base), 20_000):
         some = base[i : i + 20_000]
@@ -109,10 +127,12 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for x, units in made.items():
         known[x] = None if units is None else b"".join([known[u] for u in units])
     out, odd = [], []
-    for k, p in enumerate(split):
-        try:
-            out.append(b"".join(map(known.__getitem__, p)))
-        except TypeError:  # a chunk without ids, or a text without chunks
+    for k, ((p, open_), got) in enumerate(zip(split, found, strict=True)):
+        for i in open_:
+            got[i] = known[p[i]]
+        if p and None not in got:
+            out.append(b"".join(got))
+        else:  # a chunk without ids, or a text without chunks
             odd.append(k)
             out.append(b"")
     for k, ids in zip(odd, _ids(tokenizer, [texts[k] for k in odd]), strict=True):
