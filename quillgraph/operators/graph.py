@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +12,22 @@ from ..sources.annotations import Graphs
 
 
 
-def select_relations(g: Graphs, predicate: str | None = None, include_conflict: bool = True) -> DataFrame:
+#: One predicate, several of them, or none for all.
+Predicates = str | Collection[str] | None
+
+
+def select_relations(g: Graphs, predicate: Predicates = None, include_conflict: bool = True) -> DataFrame:
     r = g.relations if include_conflict else g.relations.filter(~F.col("is_conflict"))
-    return r.filter(F.col("predicate") == predicate) if predicate else r
+    if predicate is None:
+        return r
+    return r.filter(F.col("predicate").isin(*([predicate] if isinstance(predicate, str) else predicate)))
 
 
 def conflict_relations(g: Graphs) -> DataFrame:
     return g.relations.filter("is_conflict")
 
 
-def edges_with_text(g: Graphs, predicate: str | None = None, include_conflict: bool = False) -> DataFrame:
+def edges_with_text(g: Graphs, predicate: Predicates = None, include_conflict: bool = False) -> DataFrame:
     return select_relations(g, predicate, include_conflict).filter(F.trim("edge_text") != "")
 
 
@@ -28,13 +36,18 @@ def entity_lookup(g: Graphs) -> DataFrame:
     return g.entities.groupBy("image_id", "id").agg(F.max_by("text", "ord").alias("text"), F.max_by("type", "ord").alias("type"))
 
 
+def has_entity(g: Graphs, ids: DataFrame) -> DataFrame:
+    """The rows of ids (image_id, id) that are entities."""
+    return ids.join(g.entities.select("image_id", "id"), ["image_id", "id"], "left_semi")
+
+
 def find_ids(g: Graphs, text: str, exact: bool = True) -> DataFrame:
     probe = " ".join(text.split()).lower()
     hit = F.col("norm_text") == probe if exact else F.contains("norm_text", F.lit(probe))
     return g.entities.filter(hit).select("image_id", "ord", "id")
 
 
-def edge_exists(g: Graphs, pairs: DataFrame, predicate: str | None = None, include_conflict: bool = True) -> DataFrame:
+def edge_exists(g: Graphs, pairs: DataFrame, predicate: Predicates = None, include_conflict: bool = True) -> DataFrame:
     """pairs (image_id, subject_id, object_id) that have an edge."""
     return pairs.join(select_relations(g, predicate, include_conflict), ["image_id", "subject_id", "object_id"], "left_semi")
 
@@ -45,13 +58,13 @@ def first_edge_text(g: Graphs) -> DataFrame:
     return r.withColumn("edge_text", F.nullif("edge_text", F.lit("")))
 
 
-def neighbours(g: Graphs, predicate: str | None = "flows_to", forward: bool = True, include_conflict: bool = False) -> DataFrame:
+def neighbours(g: Graphs, predicate: Predicates = "flows_to", forward: bool = True, include_conflict: bool = False) -> DataFrame:
     """image_id, id, neighbour, ord, one row an edge: successors, predecessors, children, parents, connected."""
     a, b = ("subject_id", "object_id") if forward else ("object_id", "subject_id")
     return select_relations(g, predicate, include_conflict).select("image_id", F.col(a).alias("id"), F.col(b).alias("neighbour"), "ord")
 
 
-def pairs(g: Graphs, predicate: str, include_conflict: bool = False) -> DataFrame:
+def pairs(g: Graphs, predicate: Predicates, include_conflict: bool = False) -> DataFrame:
     return select_relations(g, predicate, include_conflict).select("image_id", "subject_id", "object_id")
 
 
@@ -113,10 +126,10 @@ def edge_label_pool(g: Graphs) -> DataFrame:
     return pool(g.relations.select(F.col("edge_text").alias("text"), "image_id", "ord"))
 
 
-def splits(g: Graphs, train: float = 0.8, valid: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
+def splits(g: Graphs, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
     """image_id, split: sizes are whole parts, the test split takes the rest. The graphs below the cut are told
     by quantiles of a hash, counted within 4096 ranges, so no task sorts all graphs."""
-    if abs(train + valid + test - 1) > 1e-8:
+    if abs(train + val + test - 1) > 1e-8:
         raise ValueError("ratios must sum to 1")
     h = F.md5(F.concat_ws("|", F.lit(seed), "image_id").cast("binary"))
     x = g.graphs.select("image_id", h.alias("h")).withColumn("range", F.substring("h", 1, 3))
@@ -126,6 +139,6 @@ def splits(g: Graphs, train: float = 0.8, valid: float = 0.1, test: float = 0.1,
     rank = F.col("upto") - F.col("n") + F.row_number().over(Window.partitionBy("range").orderBy("h", "image_id"))
     x = x.join(counts, "range").withColumn("rank", rank)
     a = F.floor(F.col("all") * train)
-    b = a + F.floor(F.col("all") * valid)
-    return x.select("image_id", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "valid").otherwise("test").alias("split"))
+    b = a + F.floor(F.col("all") * val)
+    return x.select("image_id", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test").alias("split"))
 

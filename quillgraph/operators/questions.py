@@ -1,8 +1,11 @@
 """Questions over graphs, ten types. What chance would decide is decided by the md5 of a key, so results
-do not depend on partitions: candidates are tried in the order of their keys, attempts() of them at most,
-and the first ones that make a whole question are taken.
+do not depend on partitions. A graph has attempts() tries for each type; a try draws a candidate (the candidates
+in the order of their keys, by turns), a phrasing and, where a question may have no answer, a coin. The first
+tries that make whole questions, each with another wording, are taken. Only graphs whose first tries fail go on
+to the rest.
 
-Everything a question needs of its graph is in one row of context(); pools of texts of a split come in slices.
+Everything a question needs of its graph is in one row of context(), which only drawn candidates meet; pools of
+texts of a split come in slices.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from ..functions.text import clean, norm_key
 from ..sources.annotations import Graphs
 from ..sources.shared import materialized
 from .display import display_map
-from .graph import domain_hints, edge_label_pool, edges_with_text, neighbours, node_pool, top_level
-from .paths import unique_multihop
-from .rank import diverse, prepared, ranked
+from .graph import domain_hints, edge_label_pool, edges_with_text, neighbours, node_pool, splits, top_level
+from .paths import shared_container, unique_multihop
+from .rank import best, diverse, prepared, ranked, reduced
+from .validate import UNKNOWN, keep_valid
 
 SLICE = 50_000
 LABELS = "ABCDEF"
-UNKNOWN = "cannot_be_determined"
+STRINGS = "array<string>"
 # The phrasings.
 SAY = {
     "element_presence_mcq": ["Which of the following labels appears in the diagram?", "Which label can be found in this figure?", "Select the label that is present in the diagram."],
@@ -39,90 +43,108 @@ SAY = {
     "function_summary_open": ["Briefly summarize the overall function or purpose of the diagram.", "What does this diagram describe at a high level?", "Provide a short summary of the system or process shown in the figure."],
 }
 
-#: The ten types; the registry's other names are further ways to make some of them.
+#: The ten types; the registry's other names are further ways to make some of them. CHECKED are validated before
+#: they are given out, the others are not.
 TYPES = [
     "element_presence_mcq", "element_absence_mcq", "relation_successor_hidden_abstain_mcq", "relation_successor_multiselect", "relation_containment_hidden_abstain_mcq",
     "relation_containment_multiselect", "relation_edge_label_hidden_abstain_mcq", "relation_multihop_multiselect", "relation_conflict_mcq", "function_summary_open",
 ]
+CHECKED = {"element_presence_mcq", "element_absence_mcq", "relation_successor_multiselect", "relation_containment_multiselect", "relation_multihop_multiselect"}
 
 
 def key(seed: int, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))
 
 
+def number(hashed: Column) -> Column:
+    """The first eight hex digits of a key as a number."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")
+
+
 def context(g: Graphs) -> DataFrame:
-    """image_id, shown (ord, id, text, told, refs of the usable entities), texts, ready (as candidates), keys (of
-    all texts), hint."""
+    """image_id, shown (ord, id, text, told, refs of the usable entities), texts (as candidates: ready), keys (of all
+    texts), hint."""
     d = display_map(g)
-    shown = F.array_sort(F.collect_list(F.when(F.col("usable"), F.struct("ord", "id", F.col("display_text").alias("text"), F.col("used_disambiguation").alias("told"), F.col("referenced_ids").alias("refs")))))
-    rows = d.groupBy("image_id").agg(shown.alias("shown"), F.collect_set(F.lower("raw_text")).alias("keys"))
-    rows = rows.withColumn("texts", F.array_distinct(F.transform("shown", lambda s: s["text"]))).withColumn("ready", prepared(F.col("texts")))
-    return rows.join(domain_hints(g).withColumnRenamed("domains", "hint"), "image_id")
+    one = F.struct("ord", "id", F.col("display_text").alias("text"), F.col("used_disambiguation").alias("told"), F.col("referenced_ids").alias("refs"))
+    rows = d.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("usable"), one))).alias("shown"), F.collect_set(F.lower("raw_text")).alias("keys"))
+    texts = d.filter("usable").groupBy("image_id", norm_key(F.col("display_text")).alias("k")).agg(F.min("display_text").alias("text"))
+    texts = texts.groupBy("image_id").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    rows = rows.join(texts, "image_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast(STRINGS)))
+    return rows.withColumn("ready", prepared(F.col("texts"))).join(domain_hints(g).withColumnRenamed("domains", "hint"), "image_id")
 
 
 def slices(pool: DataFrame) -> DataFrame:
     """A pool (key, text) as rows of texts with about SLICE of them each; one row for small pools."""
-    n = max(1, -(-pool.count() // SLICE))
-    rows = pool.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("slice")).agg(F.array_sort(F.collect_list("text")).alias("texts")).select("slice", "texts", prepared(F.col("texts")).alias("pool"), F.lit(n).alias("slices"))
-    return materialized(rows)
+    size = pool.count()
+    n = max(1, -(-size // SLICE))
+    rows = pool.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("slice")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    return materialized(rows.select("slice", "texts", prepared(F.col("texts")).alias("pool"), F.lit(n).alias("slices"), F.lit(size).alias("size")))
 
 
-def ranked_in_pool(rows: DataFrame, s: DataFrame, target: str, exclude: Column) -> DataFrame:
-    """rows (with id columns image_id and attempt) and `order`: the slices ranked for each row's target."""
+def in_pool(rows: DataFrame, s: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
+    """rows (with image_id and attempt) and `found`: find(pool), a short ranking, over all slices of a pool."""
     n = s.select("slices").first()
     if n is None:
-        return rows.withColumn("order", F.array().cast("array<string>"))
+        return rows.withColumn("found", F.array().cast("array<struct<s:double,text:string,first:string,last:string>>"))
     dealt = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1)))).join(s.select("slice", "pool"), "slice")
-    dealt = dealt.withColumn("order", ranked(F.col(target), F.col("pool"), F.col("hint"), exclude)).drop("pool", "slice")
+    dealt = dealt.withColumn("found", find(F.col("pool"))).drop("pool", "slice")
     if n[0] == 1:
         return materialized(dealt)
-    merged = dealt.groupBy("image_id", "attempt").agg(F.array_distinct(F.flatten(F.collect_list("order"))).alias("some"))
-    rows = rows.join(merged, ["image_id", "attempt"])
-    return materialized(rows.withColumn("order", ranked(F.col(target), prepared(F.col("some")), F.col("hint"), exclude)).drop("some"))
+    dealt = materialized(dealt.select("image_id", "attempt", "found"))
+    merged = dealt.groupBy("image_id", "attempt").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return rows.join(merged, ["image_id", "attempt"])
 
 
 def attempts(limit: int) -> int:
-    """Candidates of a graph that are tried for `limit` questions."""
+    """Tries of a graph for `limit` questions."""
     return max(8, 6 * limit)
 
 
-def tried(rows: DataFrame, seed: int, qtype: str, *parts: str, limit: int = 1) -> DataFrame:
-    """The first attempts(limit) candidates of each graph by key, with attempt from 0."""
-    order = F.row_number().over(Window.partitionBy("image_id").orderBy(key(seed, qtype, F.col("image_id"), *map(F.col, parts)), *parts))
-    return rows.withColumn("attempt", order - 1).filter(F.col("attempt") < attempts(limit))
+def drawn(rows: DataFrame, seed: int, qtype: str, *parts: str) -> DataFrame:
+    """Candidates of each graph with their place by key, from 0, and their number."""
+    image = Window.partitionBy("image_id")
+    place = F.row_number().over(image.orderBy(key(seed, qtype, F.col("image_id"), *map(F.col, parts)), *parts))
+    return rows.withColumns({"place": place - 1, "candidates": F.count("*").over(image)})
+
+
+def at_tries(rows: DataFrame, low: int, high: int, again: bool = True) -> DataFrame:
+    """Drawn candidates by the tries (attempt, from low up to but without high) that they are taken at, by turns;
+    once each where another turn cannot come out otherwise (again is false)."""
+    turns = F.filter(F.sequence(F.lit(low), F.lit(high - 1)), lambda a: (a % F.col("candidates") == F.col("place")) & (F.lit(again) | (a < F.col("candidates"))))
+    return rows.filter(F.col("place") < high).withColumn("attempt", F.explode(turns)).drop("place", "candidates")
 
 
 def _option_list(seed: int, qtype: str, correct: Column, wrong: Column) -> Column:
     """Options in the order of their keys, with labels."""
-    texts = F.concat(correct, wrong)
-    order = F.array_sort(F.transform(texts, lambda t: F.struct(key(seed, qtype, F.col("image_id"), "option", t).alias("k"), t.alias("text"))))
+    order = F.array_sort(F.transform(F.concat(correct, wrong), lambda t: F.struct(key(seed, qtype, F.col("image_id"), "option", t).alias("k"), t.alias("text"))))
     return F.transform(order, lambda o, i: F.struct(F.substring(F.lit(LABELS), i + 1, F.lit(1)).alias("label"), o["text"].alias("text")))
 
 
-def assemble(rows: DataFrame, seed: int, qtype: str, level: str, phrasing: str | None = None, multi: Column | bool = False, limit: int = 1) -> DataFrame:
-    """Questions from rows (image_id, paper_id, attempt, correct, wrong, a, b, c, metadata); options that are
-    too few or not distinct drop a row, and the first `limit` rows of each graph stay."""
+def _said(seed: int, qtype: str, phrasings: list[str]) -> Column:
+    """The phrasing of a try."""
+    pick = F.pmod(number(key(seed, qtype, F.col("image_id"), F.col("attempt"), "phrase")), F.lit(len(phrasings))).cast("int")
+    return F.element_at(F.array(*map(F.lit, phrasings)), pick + 1)
+
+
+def assemble(rows: DataFrame, seed: int, qtype: str, level: str, phrasing: str | None = None, multi: Column | bool = False) -> DataFrame:
+    """Questions, with their attempt, from rows (image_id, paper_id, attempt, correct, wrong, a, b, c, metadata);
+    options that are too few or not distinct drop a row."""
     multi = F.lit(multi) if isinstance(multi, bool) else multi
-    rows = materialized(rows.withColumn("options", _option_list(seed, qtype, F.col("correct"), F.col("wrong"))))
+    rows = materialized(rows.withColumn("options", _option_list(seed, qtype, F.col("correct"), F.col("wrong"))).withColumn("multi", multi))
     keys = F.array_distinct(F.transform("options", lambda o: norm_key(o["text"])))
     n, distinct = F.size("options"), F.size(keys) == F.size("options")
-    one = (n == 4) & (F.size("correct") <= 1)
-    rows = rows.filter(distinct & F.when(multi, (n >= 4) & (F.size("correct") >= 2)).otherwise(one))
-    nth = F.row_number().over(Window.partitionBy("image_id").orderBy("attempt"))
-    rows = rows.withColumn("_nth", nth).filter(F.col("_nth") <= limit)
-    say = SAY[phrasing or qtype]
-    pick = F.pmod(F.conv(F.substring(key(seed, qtype, F.col("image_id"), "phrase"), 1, 8), 16, 10).cast("long"), F.lit(len(say))).cast("int")
-    text = F.element_at(F.array(*map(F.lit, say)), pick + 1)
+    rows = rows.filter(distinct & F.when(F.col("multi"), (n >= 4) & (F.size("correct") >= 2)).otherwise((n == 4) & (F.size("correct") <= 1)))
+    text = _said(seed, qtype, SAY[phrasing or qtype])
     for name in ("a", "b", "c"):
         if name in rows.columns:
             text = F.replace(text, F.lit("{%s}" % name), F.coalesce(F.col(name), F.lit("")))
     right = F.filter(F.transform("options", lambda o, i: F.when(F.array_contains("correct", o["text"]), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("correct_option_indices", right)
     none = F.size("correct") == 0
-    pickd = lambda field: F.when(none, F.array(F.lit(UNKNOWN))).otherwise(F.transform("correct_option_indices", lambda i: F.get("options", i)[field]))
+    picked = lambda field: F.when(none, F.array(F.lit(UNKNOWN))).otherwise(F.transform("correct_option_indices", lambda i: F.get("options", i)[field]))
     return rows.select(
-        "image_id", "paper_id", F.lit(level).alias("level"), F.lit(qtype).alias("question_type"), text.alias("question"), "options", pickd("label").alias("answer"), pickd("text").alias("answer_text"),
-        "correct_option_indices", F.when(multi, "multi_select").otherwise("single_choice").alias("answer_type"), F.col("metadata").cast("map<string,string>").alias("metadata"),
+        "image_id", "paper_id", "attempt", F.lit(level).alias("level"), F.lit(qtype).alias("question_type"), text.alias("question"), "options", picked("label").alias("answer"), picked("text").alias("answer_text"),
+        "correct_option_indices", F.when(F.col("multi"), "multi_select").otherwise("single_choice").alias("answer_type"), F.col("metadata").cast("map<string,string>").alias("metadata"),
     )
 
 
@@ -134,8 +156,11 @@ def _keys(*texts: Column) -> Column:
     return F.array(*[norm_key(t) for t in texts])
 
 
+NOTHING = "map<string,string>"
+
+
 class Generator:
-    """All types over the graphs of one split."""
+    """All types over the graphs of one split, whose pools hold the texts of that split only."""
 
     def __init__(self, g: Graphs, seed: int = 42, unanswerable: float = 0.5, limit: int = 1):
         self.g = g = Graphs(*map(materialized, (g.graphs, g.entities, g.relations)))
@@ -143,32 +168,76 @@ class Generator:
         self.unanswerable = min(1.0, max(0.0, unanswerable))
         self.context = materialized(context(g).join(g.graphs, "image_id"))
         self.nodes, self.labels = (slices(materialized(pool(g))) for pool in (node_pool, edge_label_pool))
-        self.entities = self.context.select("image_id", "paper_id", "texts", "ready", "keys", "hint", F.explode("shown").alias("e"))
-        self.entities = self.entities.select("image_id", "paper_id", "texts", "ready", "keys", "hint", "e.id", F.col("e.text").alias("text"), F.col("e.told").alias("told"), F.col("e.refs").alias("refs"))
+        e = self.context.select("image_id", F.size("texts").alias("usable"), F.explode("shown").alias("e"))
+        self.entities = e.select("image_id", "usable", "e.id", F.col("e.text").alias("text"), F.col("e.told").alias("told"), F.col("e.refs").alias("refs"))
+
+    def _with_context(self, rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.join(self.context.select("image_id", "paper_id", "hint", *columns), "image_id")
 
-    def _answerable(self, qtype: str) -> Column:
+    def _tried(self, make: Callable[[int, int], DataFrame], qtype: str) -> DataFrame:
+        """The first whole questions of each graph: make(low, high) gives those of some tries.
+
+        All graphs have their first tries; the ones that still want questions have the rest.
+        """
+        make_ = (lambda a, b: keep_valid(make(a, b), self.context)) if qtype in CHECKED else make
+        once = Window.partitionBy("image_id", norm_key(F.col("question"))).orderBy("attempt")
+        nth = Window.partitionBy("image_id").orderBy("attempt")
+
+        def taken(rows: DataFrame) -> DataFrame:
+            rows = rows.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
+            return rows.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= self.limit).drop("_n")
+
+        first = materialized(taken(make_(0, self.limit)))
+        full = first.groupBy("image_id").agg(F.count("*").alias("n")).filter(F.col("n") >= self.limit)
+        self._open = self.context.select("image_id").join(full, "image_id", "left_anti")
+        more = materialized(make_(self.limit, attempts(self.limit)))
+        return taken(first.unionByName(more)).drop("attempt")
+
+    def _wanting(self, rows: DataFrame, low: int) -> DataFrame:
+        """rows of the graphs that are still open."""
+        return rows.join(self._open, "image_id", "left_semi") if low else rows
+
+    def _coin(self, qtype: str) -> Column:
         cut = f"{min(int(self.unanswerable * (1 << 32)), (1 << 32) - 1):08x}"
-        coin = F.substring(key(self.seed, qtype, F.col("image_id"), "coin"), 1, 8) > cut
+        coin = F.substring(key(self.seed, qtype, F.col("image_id"), F.col("attempt"), "coin"), 1, 8) > cut
         return coin if self.unanswerable < 1 else F.lit(False)
 
-    def _or_unanswerable(self, qtype: str, yes: DataFrame, no: DataFrame) -> DataFrame:
-        """Answerable questions where the coin says so and there is one, else unanswerable ones."""
-        made = assemble(yes.filter(self._answerable(qtype)), self.seed, qtype, "L2", limit=self.limit)
-        rest = no.join(made.select("image_id").distinct(), "image_id", "left_anti")
-        return made.unionByName(assemble(rest, self.seed, qtype, "L2", limit=self.limit))
+    def _or_unanswerable(self, qtype: str, yes: DataFrame, no: DataFrame, finish_yes: Callable[[DataFrame], DataFrame], finish_no: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A try makes an answerable question where its coin says so and there is one, else an unanswerable one."""
+        yes, no = (materialized(x) for x in (yes, no))
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = at_tries(self._wanting(yes, low), low, high).filter(self._coin(qtype))
+            made = materialized(assemble(finish_yes(rows), self.seed, qtype, "L2"))
+            rest = at_tries(self._wanting(no, low), low, high).join(made.select("image_id", "attempt"), ["image_id", "attempt"], "left_anti")
+            return made.unionByName(assemble(finish_no(rest), self.seed, qtype, "L2"))
+
+        return self._tried(make, qtype)
 
     def presence(self) -> DataFrame:
         q = "element_presence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id", limit=self.limit), self.nodes, "text", F.col("keys"))
-        rows = rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("order"), 3, F.col("text")), "metadata": _meta(used_disambiguation=F.col("told"))})
-        return assemble(rows, self.seed, q, "L1", limit=self.limit)
+        cast = materialized(drawn(self.entities, self.seed, q, "id"))
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "keys")
+            rows = in_pool(rows, self.nodes, lambda pool: reduced(ranked(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), near=True)))
+            return assemble(rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(used_disambiguation=F.col("told"))}), self.seed, q, "L1")
+
+        return self._tried(make, q)
 
     def absence(self) -> DataFrame:
         q = "element_absence_mcq"
-        rows = ranked_in_pool(tried(self.entities, self.seed, q, "id", limit=self.limit), self.nodes, "text", F.concat("keys", _keys(F.col("text"))))
-        rows = rows.filter(F.size("order") > 0).withColumn("best", F.get("order", F.lit(0)))
-        wrong = diverse(ranked(F.col("best"), F.col("ready"), F.col("hint"), _keys(F.col("best"))), 3, F.col("best"))
-        return assemble(rows.withColumns({"correct": F.array("best"), "wrong": wrong, "metadata": F.create_map().cast("map<string,string>")}), self.seed, q, "L1", limit=self.limit)
+        cast = materialized(drawn(self.entities.filter("usable >= 3"), self.seed, q, "id"))
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "keys")
+            rows = in_pool(rows, self.nodes, lambda pool: best(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text")))))
+            rows = rows.filter(F.size("found") > 0).select("image_id", "attempt", F.get("found", F.lit(0))["text"].alias("best"))
+            rows = self._with_context(rows, "ready")
+            wrong = diverse(ranked(F.col("best"), F.col("ready"), F.col("hint"), _keys(F.col("best")), near=True), 3)
+            return assemble(rows.withColumns({"correct": F.array("best"), "wrong": wrong, "metadata": F.create_map().cast(NOTHING)}), self.seed, q, "L1")
+
+        return self._tried(make, q)
 
     def _other_nodes(self, target: Column, k: int | Column, exclude: Column) -> Column:
         return diverse(ranked(target, F.col("ready"), F.col("hint"), exclude), k)
@@ -180,15 +249,22 @@ class Generator:
 
     def _abstain(self, q: str, predicate: str, reason: str) -> DataFrame:
         """A unique successor or container child; or an entity without any usable one."""
-        enough = self.entities.filter(F.size("texts") >= 4)
+        enough = self.entities.filter("usable >= 4").drop("refs")
         forward = predicate == "flows_to"
         degree = neighbours(self.g, predicate, forward).groupBy("image_id", "id").agg(F.count("*").alias("n")).filter("n = 1")
-        yes = self._linked(predicate, forward).join(degree, ["image_id", "id"], "left_semi").join(enough, ["image_id", "id"])
+        yes = drawn(self._linked(predicate, forward).join(degree, ["image_id", "id"], "left_semi").join(enough, ["image_id", "id"]), self.seed, q, "id")
         source, target = (F.col("text"), F.col("other_text")) if forward else (F.col("other_text"), F.col("text"))
-        yes = tried(yes, self.seed, q, "id", limit=self.limit).withColumns({"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("told") | F.col("other_told"))})
-        none = enough.join(self._linked(predicate, True).select("image_id", "id"), ["image_id", "id"], "left_anti")
-        no = tried(none, self.seed, q, "id", limit=self.limit).withColumns({"a": F.col("text"), "correct": F.array().cast("array<string>"), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit(reason), used_disambiguation=F.col("told"))})
-        return self._or_unanswerable(q, yes, no)
+        no = drawn(enough.join(self._linked(predicate, True).select("image_id", "id"), ["image_id", "id"], "left_anti"), self.seed, q, "id")
+
+        def finish_yes(rows: DataFrame) -> DataFrame:
+            meta = _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("told") | F.col("other_told"))
+            return self._with_context(rows, "ready").withColumns({"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": meta})
+
+        def finish_no(rows: DataFrame) -> DataFrame:
+            meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit(reason), used_disambiguation=F.col("told"))
+            return self._with_context(rows, "ready").withColumns({"a": F.col("text"), "correct": F.array().cast(STRINGS), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": meta})
+
+        return self._or_unanswerable(q, yes, no, finish_yes, finish_no)
 
     def successor_abstain(self) -> DataFrame:
         return self._abstain("relation_successor_hidden_abstain_mcq", "flows_to", "no_usable_successor")
@@ -197,17 +273,20 @@ class Generator:
         return self._abstain("relation_containment_hidden_abstain_mcq", "contains", "no_usable_child")
 
     def _multi(self, q: str, predicate: str, names: tuple[str, str, str]) -> DataFrame:
-        """Entities whose neighbours are all usable, two of them at least."""
-        degree = neighbours(self.g, predicate).groupBy("image_id", "id").agg(F.count("*").alias("n"))
+        """Entities with two usable neighbours at least; four of them are asked for at most."""
         linked = self._linked(predicate, True).groupBy("image_id", "id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("other_text").alias("text"))))["text"].alias("all"))
-        rows = linked.join(degree, ["image_id", "id"]).filter((F.size("all") == F.col("n")) & (F.col("n") >= 2)).join(self.entities.filter(F.size("texts") >= 5), ["image_id", "id"])
-        rows = tried(rows.withColumn("all", F.array_distinct("all")), self.seed, q, "id", limit=self.limit)
-        wrong = self._other_nodes(F.get("all", F.lit(0)), F.greatest(F.lit(1), 4 - F.size("all")), F.concat(_keys(F.col("text")), F.transform("all", norm_key)))
-        rows = rows.withColumn("wrong", wrong).withColumn("correct", F.slice("all", 1, 4))
-        room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("correct") + 2)) - F.size("correct")
-        rows = rows.withColumn("wrong", F.slice("wrong", F.lit(1), room))
-        meta = _meta(**{"used_disambiguation": F.col("told"), names[0]: F.col("id"), names[1]: F.col("text"), names[2]: F.size("correct")})
-        return assemble(rows.withColumns({"a": F.col("text"), "metadata": meta}), self.seed, q, "L2", multi=True, limit=self.limit)
+        rows = linked.filter(F.size("all") >= 2).join(self.entities.filter("usable >= 5").drop("refs"), ["image_id", "id"])
+        cast = materialized(drawn(rows.withColumn("all", F.array_distinct("all")), self.seed, q, "id"))
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "ready")
+            wrong = self._other_nodes(F.get("all", F.lit(0)), F.greatest(F.lit(1), 4 - F.size("all")), F.concat(_keys(F.col("text")), F.transform("all", norm_key)))
+            rows = rows.withColumn("wrong", wrong).withColumn("correct", F.slice("all", 1, 4))
+            room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("correct") + 2)) - F.size("correct")
+            meta = _meta(**{"used_disambiguation": F.col("told"), names[0]: F.col("id"), names[1]: F.col("text"), names[2]: F.size("correct")})
+            return assemble(rows.withColumns({"wrong": F.slice("wrong", F.lit(1), room), "a": F.col("text"), "metadata": meta}), self.seed, q, "L2", multi=True)
+
+        return self._tried(make, q)
 
     def successor_multi(self) -> DataFrame:
         return self._multi("relation_successor_multiselect", "flows_to", ("src_id", "src_display", "successor_count"))
@@ -216,101 +295,160 @@ class Generator:
         return self._multi("relation_containment_multiselect", "contains", ("container_id", "container_display", "child_count"))
 
     def edge_label(self) -> DataFrame:
+        """Of graphs with a labelled edge: the label of an edge, or of a pair that has none; four labels at least are in the pool."""
         q = "relation_edge_label_hidden_abstain_mcq"
-        labels = self.labels.select(F.explode("texts").alias("label"))
         ends = lambda side: self.entities.select("image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side), F.col("told").alias(f"{side}_told"))
-        base = self.context.select("image_id", "paper_id", "hint")
-        edge = edges_with_text(self.g).select("image_id", "ord", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"), clean(F.col("edge_text")).alias("label"))
-        edge = edge.join(ends("a"), ["image_id", "a_id"]).join(ends("b"), ["image_id", "b_id"]).join(base, "image_id")
-        yes = ranked_in_pool(tried(edge, self.seed, q, "ord", limit=self.limit), self.labels, "label", _keys(F.col("label")))
-        yes = yes.withColumns({"correct": F.array("label"), "wrong": diverse(F.col("order"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("a_told") | F.col("b_told"))})
+        labelled = edges_with_text(self.g)
+        edge = labelled.select("image_id", "ord", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"), clean(F.col("edge_text")).alias("label"))
+        yes = drawn(edge.join(ends("a"), ["image_id", "a_id"]).join(ends("b"), ["image_id", "b_id"]), self.seed, q, "ord")
         # any ordered pair without a label between them; the pairs of a graph come from its own row
-        named = edges_with_text(self.g).groupBy("image_id", F.col("subject_id").alias("a_id")).agg(F.collect_set("object_id").alias("named"))
-        two = self.context.filter(F.size("shown") >= 2).select("image_id", "paper_id", "hint", "shown", F.explode("shown").alias("x")).withColumn("a_id", F.col("x.id"))
-        two = two.join(named, ["image_id", "a_id"], "left").withColumn("shut", F.array_append(F.coalesce("named", F.array().cast("array<string>")), F.col("a_id")))
-        two = two.select("image_id", "paper_id", "hint", "x", F.explode(F.slice(F.array_sort(F.transform(F.filter("shown", lambda y: ~F.array_contains("shut", y["id"])), lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")))), 1, attempts(self.limit))).alias("p"))
-        two = two.select("image_id", "paper_id", "hint", F.col("x.id").alias("a_id"), F.col("x.text").alias("a"), F.col("x.told").alias("a_told"), F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"))
-        no = tried(two, self.seed, q, "a_id", "b_id", limit=self.limit)
-        some = labels.agg(F.max_by("label", key(self.seed, q, F.col("label"))).alias("like"), F.count("*").alias("n"))
-        no = ranked_in_pool(no.join(some.filter("n >= 4"), F.lit(True)), self.labels, "like", _keys(F.col("like")))
-        no = no.withColumns({"correct": F.array().cast("array<string>"), "wrong": diverse(F.col("order"), 4), "metadata": _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=F.col("a_told") | F.col("b_told"))})
-        return self._or_unanswerable(q, yes, no)
+        named = labelled.groupBy("image_id", F.col("subject_id").alias("a_id")).agg(F.collect_set("object_id").alias("named"))
+        two = self.context.join(labelled.select("image_id"), "image_id", "left_semi").select("image_id", "shown", F.explode("shown").alias("x")).withColumn("a_id", F.col("x.id"))
+        two = two.join(named, ["image_id", "a_id"], "left").withColumn("shut", F.array_append(F.coalesce("named", F.array().cast(STRINGS)), F.col("a_id")))
+        others = F.transform(F.filter("shown", lambda y: ~F.array_contains("shut", y["id"])), lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")))
+        two = two.select("image_id", "x", F.explode(F.slice(F.array_sort(others), 1, attempts(self.limit))).alias("p"))
+        two = two.select("image_id", F.col("x.id").alias("a_id"), F.col("x.text").alias("a"), F.col("x.told").alias("a_told"), F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"))
+        no = drawn(two, self.seed, q, "a_id", "b_id")
+        first = self.labels.select("size", "slices").first()
+        if first is None or first["size"] < 4:
+            yes, no = yes.limit(0), no.limit(0)
+        told = F.col("a_told") | F.col("b_told")
+
+        def finish_yes(rows: DataFrame) -> DataFrame:
+            rows = in_pool(self._with_context(rows), self.labels, lambda pool: reduced(ranked(F.col("label"), pool, F.col("hint"), _keys(F.col("label")))))
+            return rows.withColumns({"correct": F.array("label"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=told)})
+
+        def finish_no(rows: DataFrame) -> DataFrame:
+            # a label to rank by is drawn for each try
+            luck = number(key(self.seed, q, F.col("image_id"), F.col("attempt"), "like"))
+            rows = self._with_context(rows).withColumn("slice", F.pmod(luck, F.lit(first["slices"] if first else 1)).cast("int")).join(self.labels.select("slice", "texts"), "slice").drop("slice")
+            rows = rows.withColumn("like", F.get("texts", F.pmod(luck, F.size("texts")).cast("int"))).drop("texts")
+            rows = in_pool(rows, self.labels, lambda pool: reduced(ranked(F.col("like"), pool, F.col("hint"), _keys(F.col("like")))))
+            meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=told)
+            return rows.withColumns({"correct": F.array().cast(STRINGS), "wrong": diverse(F.col("found"), 4), "metadata": meta})
+
+        return self._or_unanswerable(q, yes, no, finish_yes, finish_no)
 
     def multihop(self) -> DataFrame:
-        """Longest unique paths first, at top level before within containers."""
+        """Longest unique paths first, at top level before within containers; a path in several containers is of
+        the least one."""
         q = "relation_multihop_multiselect"
         usable = self.entities.select("image_id", "id")
         top = top_level(self.g).join(usable, ["image_id", "id"], "left_semi").select("image_id", F.lit("").alias("scope"), "id")
-        inside = neighbours(self.g, "contains", forward=False).join(usable, ["image_id", "id"], "left_semi").select("image_id", F.col("neighbour").alias("scope"), "id")
-        paths = unique_multihop(self.g, top.unionByName(inside))
-        members = top.unionByName(inside).groupBy("image_id", "scope").agg(F.collect_set("id").alias("members"))
-        rows = paths.join(members, ["image_id", "scope"]).join(self.context, "image_id")
-        text_of = F.map_from_entries(F.transform(F.array_distinct(F.transform("shown", lambda s: F.struct(s["id"], F.struct(s["text"], s["told"], s["refs"])))), lambda x: x))
-        rows = rows.withColumn("of", text_of)
+        inside = neighbours(self.g, "contains", forward=False).join(usable, ["image_id", "id"], "left_semi").select("image_id", F.col("neighbour").alias("scope"), "id").distinct()
+        scopes = materialized(top.unionByName(inside))
+        paths = materialized(unique_multihop(self.g, scopes))
+        boxed = shared_container(self.g, paths.filter("scope <> ''")).withColumnRenamed("container", "scope")
+        paths = paths.filter("scope = ''").unionByName(paths.filter("scope <> ''").join(boxed, ["image_id", "path", "scope"], "left_semi"))
+        members = scopes.groupBy("image_id", "scope").agg(F.collect_set("id").alias("members"))
+        rows = self._with_context(paths.join(members, ["image_id", "scope"]), "shown", "ready", "keys")
+        rows = rows.withColumn("of", F.map_from_entries(F.transform("shown", lambda s: F.struct(s["id"], s))))
         shown = lambda i: F.try_element_at("of", i)
         rows = rows.withColumns({"src_": shown(F.col("src")), "tgt_": shown(F.col("tgt")), "middle": F.slice("path", F.lit(2), F.size("path") - 2)}).filter("src_ is not null and tgt_ is not null")
-        rows = rows.withColumn("between", F.transform("middle", lambda i: shown(i)["text"])).filter(F.forall("between", lambda t: t.isNotNull()))
+        rows = rows.withColumn("mid", F.transform("middle", shown)).withColumn("between", F.transform("mid", lambda s: s["text"])).filter(F.forall("between", lambda t: t.isNotNull()))
         ends = F.concat_ws("\n", norm_key(F.col("src_.text")), norm_key(F.col("tgt_.text")))
         rows = rows.filter(~F.arrays_overlap(F.concat("src_.refs", "tgt_.refs"), F.col("middle")) & ~F.exists("between", lambda t: F.contains(ends, norm_key(t))))
         rows = rows.withColumn("box", shown(F.col("scope"))).filter("scope = '' or box is not null")
         order = Window.partitionBy("image_id").orderBy(F.col("scope") != "", F.desc("hops"), key(self.seed, q, F.col("image_id"), F.col("scope")), "src", "tgt")
-        rows = rows.withColumn("attempt", F.row_number().over(order) - 1)  # all paths are tried here
-        least = F.greatest(F.lit(1), 4 - F.size("between"))
-        like, shut = F.get("between", F.lit(0)), F.transform(F.array_union("between", F.array("src_.text", "tgt_.text")), norm_key)
-        of = lambda texts: F.filter("ready", lambda r: F.array_contains(texts, r["text"]))
-        near = F.transform(F.filter("shown", lambda s: F.array_contains("members", s["id"]) & ~F.array_contains("path", s["id"])), lambda s: s["text"])
-        rows = rows.withColumn("picked", diverse(ranked(like, of(near), F.col("hint"), shut), least, like))
-        wide = F.transform(F.filter("shown", lambda s: ~F.array_contains("path", s["id"])), lambda s: s["text"])
-        rows = rows.withColumn("picked", F.concat("picked", diverse(ranked(like, of(wide), F.col("hint"), F.concat(shut, F.transform("picked", norm_key))), least - F.size("picked"), like)))
-        rows = ranked_in_pool(rows.withColumn("like", like), self.nodes, "like", F.concat(shut, F.col("keys"), F.transform("picked", norm_key)))
-        rows = rows.withColumn("wrong", F.concat("picked", diverse(F.col("order"), least - F.size("picked"), like)))
-        room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("between") + 2)) - F.size("between")
-        meta = _meta(
-            used_disambiguation=F.col("src_.told") | F.col("tgt_.told"), path_scope=F.when(F.col("scope") == "", "top_level_only").otherwise("container"), path_unique=F.lit(True), src_id=F.col("src"), src_display=F.col("src_.text"),
-            tgt_id=F.col("tgt"), tgt_display=F.col("tgt_.text"), path_node_ids=F.to_json("path"), intermediate_node_ids=F.to_json("middle"), intermediate_displays=F.to_json("between"), scope_container=F.col("box.text"), scope_container_id=F.nullif("scope", F.lit("")),
-        )
-        rows = rows.withColumns({"correct": F.col("between"), "wrong": F.slice("wrong", F.lit(1), room), "a": F.col("src_.text"), "b": F.col("tgt_.text"), "c": F.col("box.text"), "metadata": meta})
-        multi = F.size("correct") > 1
-        made = [assemble(rows.filter(f"scope {op} ''"), self.seed, q, "L2", f"relation_multihop_{name}", multi, self.limit) for op, name in (("=", "top"), ("<>", "container"))]
-        return made[0].unionByName(made[1].join(made[0].select("image_id").distinct(), "image_id", "left_anti"))
+        paths = materialized(rows.withColumn("attempt", F.row_number().over(order) - 1).drop("of"))  # all paths are tried here
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = self._wanting(paths, low).filter(F.col("attempt") >= low)
+            rows = rows.filter(F.col("attempt") < high) if not low else rows
+            least = F.greatest(F.lit(1), 4 - F.size("between"))
+            like, shut = F.get("between", F.lit(0)), F.transform(F.array_union("between", F.array("src_.text", "tgt_.text")), norm_key)
+            of = lambda texts: F.filter("ready", lambda r: F.array_contains(texts, r["text"]))
+            near = F.transform(F.filter("shown", lambda s: F.array_contains("members", s["id"]) & ~F.array_contains("path", s["id"])), lambda s: s["text"])
+            rows = rows.withColumn("picked", diverse(ranked(like, of(near), F.col("hint"), shut, near=True), least))
+            wide = F.transform(F.filter("shown", lambda s: ~F.array_contains("path", s["id"])), lambda s: s["text"])
+            rows = rows.withColumn("picked", F.concat("picked", diverse(ranked(like, of(wide), F.col("hint"), F.concat(shut, F.transform("picked", norm_key)), near=True), least - F.size("picked"))))
+            rows = in_pool(rows, self.nodes, lambda pool: reduced(ranked(like, pool, F.col("hint"), F.concat(shut, F.col("keys"), F.transform("picked", norm_key)), near=True)))
+            wrong = F.concat("picked", diverse(F.col("found"), least - F.size("picked")))
+            room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("between") + 2)) - F.size("between")
+            told = F.col("src_.told") | F.col("tgt_.told") | F.exists("mid", lambda s: s["told"])
+            meta = _meta(
+                used_disambiguation=told, path_scope=F.when(F.col("scope") == "", "top_level_only").otherwise("local_container"), path_unique=F.lit(True), src_id=F.col("src"), src_display=F.col("src_.text"),
+                tgt_id=F.col("tgt"), tgt_display=F.col("tgt_.text"), path_node_ids=F.to_json("path"), intermediate_node_ids=F.to_json("middle"), intermediate_displays=F.to_json("between"), scope_container=F.col("box.text"), scope_container_id=F.nullif("scope", F.lit("")),
+            )
+            rows = rows.withColumns({"correct": F.col("between"), "wrong": F.slice(wrong, F.lit(1), room), "a": F.col("src_.text"), "b": F.col("tgt_.text"), "c": F.col("box.text"), "metadata": meta})
+            multi = F.size("correct") > 1
+            made = [assemble(rows.filter(f"scope {op} ''"), self.seed, q, "L2", f"relation_multihop_{name}", multi) for op, name in (("=", "top"), ("<>", "container"))]
+            return made[0].unionByName(made[1])
+
+        return self._tried(make, q)
 
     def conflict(self) -> DataFrame:
         q = "relation_conflict_mcq"
         ends = lambda side: self.entities.select("image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side))
         said = self.g.relations.join(ends("subject"), ["image_id", "subject_id"]).join(ends("object"), ["image_id", "object_id"])
         said = said.select("image_id", "ord", F.concat_ws(" ", "subject", "predicate", "object").alias("text"), "is_conflict")
-        all_ = said.groupBy("image_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"]).alias("all"))
-        rows = said.filter("is_conflict").select("image_id", "text").distinct().join(all_, "image_id").join(self.g.graphs, "image_id")
-        rows = tried(rows, self.seed, q, "text", limit=self.limit)
-        others = F.array_sort(F.transform(F.filter("all", lambda t: norm_key(t) != norm_key(F.col("text"))), lambda t: F.struct(key(self.seed, q, F.col("image_id"), t).alias("k"), t.alias("text"))))
-        rows = rows.withColumns({"correct": F.array("text"), "wrong": F.slice(others["text"], 1, 3), "metadata": F.create_map().cast("map<string,string>")})
-        return assemble(rows, self.seed, q, "L3", limit=self.limit)
+        said = said.groupBy("image_id", norm_key(F.col("text")).alias("k")).agg(F.min_by("text", "ord").alias("text"), F.bool_or("is_conflict").alias("is_conflict"))
+        all_ = materialized(said.groupBy("image_id").agg(F.array_sort(F.collect_list("text")).alias("all")))
+        cast = materialized(drawn(said.filter("is_conflict").select("image_id", "text"), self.seed, q, "text"))
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = at_tries(self._wanting(cast, low), low, high, self.limit > 1).join(all_, "image_id").join(self.g.graphs, "image_id")
+            others = F.array_sort(F.transform(F.filter("all", lambda t: t != F.col("text")), lambda t: F.struct(key(self.seed, q, F.col("image_id"), F.col("attempt"), t).alias("k"), t.alias("text"))))
+            return assemble(rows.withColumns({"correct": F.array("text"), "wrong": F.slice(others["text"], 1, 3), "metadata": F.create_map().cast(NOTHING)}), self.seed, q, "L3")
+
+        return self._tried(make, q)
 
     def summary(self) -> DataFrame:
         q = "function_summary_open"
-        say = SAY[q]
-        pick = F.pmod(F.conv(F.substring(key(self.seed, q, F.col("image_id"), "phrase"), 1, 8), 16, 10).cast("long"), F.lit(len(say))).cast("int")
         empty = F.array().cast("array<struct<label:string,text:string>>")
-        return self.g.graphs.filter("summary_text <> ''").select(
-            "image_id", "paper_id", F.lit("L3").alias("level"), F.lit(q).alias("question_type"), F.element_at(F.array(*map(F.lit, say)), pick + 1).alias("question"), empty.alias("options"), F.array("summary_text").alias("answer"), F.array("summary_text").alias("answer_text"),
-            F.lit(None).cast("array<int>").alias("correct_option_indices"), F.lit("open").alias("answer_type"), F.create_map().cast("map<string,string>").alias("metadata"),
-        )
+        cast = self.g.graphs.filter("summary_text <> ''")
+
+        def make(low: int, high: int) -> DataFrame:
+            rows = self._wanting(cast, low).withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+            return rows.select(
+                "image_id", "paper_id", "attempt", F.lit("L3").alias("level"), F.lit(q).alias("question_type"), _said(self.seed, q, SAY[q]).alias("question"), empty.alias("options"), F.array("summary_text").alias("answer"),
+                F.array("summary_text").alias("answer_text"), F.lit(None).cast("array<int>").alias("correct_option_indices"), F.lit("open").alias("answer_type"), F.create_map().cast(NOTHING).alias("metadata"),
+            )
+
+        return self._tried(make, q)
 
     def registry(self) -> dict[str, Callable[[], DataFrame]]:
         """All names; a forced unanswerable type is the same with a ratio of 1."""
-        sure = lambda name: lambda: getattr(Generator(self.g, self.seed, 1.0, self.limit), name)()
+
+        def sure(name: str) -> DataFrame:
+            ratio, self.unanswerable = self.unanswerable, 1.0
+            try:
+                return getattr(self, name)()
+            finally:
+                self.unanswerable = ratio
+
         abstain = {"successor": "successor_abstain", "containment": "containment_abstain", "edge_label": "edge_label"}
         return {
             "element_presence_mcq": self.presence, "element_absence_mcq": self.absence, "relation_successor_hidden_abstain_mcq": self.successor_abstain, "relation_successor_multiselect": self.successor_multi,
             "relation_containment_hidden_abstain_mcq": self.containment_abstain, "relation_containment_multiselect": self.containment_multi, "relation_edge_label_hidden_abstain_mcq": self.edge_label,
             "relation_multihop_multiselect": self.multihop, "relation_conflict_mcq": self.conflict, "function_summary_open": self.summary,
-            **{f"relation_{k}_mcq": getattr(self, v) for k, v in abstain.items()}, **{f"relation_unanswerable_{k}_mcq": sure(v) for k, v in abstain.items()},
+            **{f"relation_{k}_mcq": getattr(self, v) for k, v in abstain.items()}, **{f"relation_unanswerable_{k}_mcq": lambda v=v: sure(v) for k, v in abstain.items()},
         }
 
-    def generate(self, types: list[str]) -> DataFrame:
-        """Questions of all types that are known; others are skipped."""
+    def generate(self, types: list[str] | None = None) -> DataFrame:
+        """Questions of all types that are known (none named: of all names); others are skipped."""
         known = self.registry()
-        return reduce(DataFrame.unionByName, [known[t]() for t in types if t in known])
+        made = [known[t]() for t in (types or known) if t in known]
+        if not made:
+            raise ValueError(f"no known question type in {types}")
+        return reduce(DataFrame.unionByName, made)
+
+
+def dataset(g: Graphs, types: list[str] | None = None, split: tuple[float, float, float] | None = (0.8, 0.1, 0.1), seed: int = 42, unanswerable: float = 0.5, limit: int = 1) -> DataFrame:
+    """The questions of all graphs with their split; without ratios all are of one split, `all`.
+
+    Every split has a generator of its own, so no option of one split is taken from the texts of another.
+    """
+    types = types or [t for t in TYPES if t != "relation_conflict_mcq"]
+    if split is None:
+        return Generator(g, seed, unanswerable, limit).generate(types).withColumn("split", F.lit("all"))
+    parts = materialized(splits(g, *split, seed))
+    made = []
+    for name in ("train", "val", "test"):
+        own = parts.filter(F.col("split") == name).select("image_id")
+        part = Graphs(*[x.join(own, "image_id", "left_semi") for x in (g.graphs, g.entities, g.relations)])
+        made.append(Generator(part, seed, unanswerable, limit).generate(types).withColumn("split", F.lit(name)))
+    return reduce(DataFrame.unionByName, made)
 
 
 def summarize(questions: DataFrame) -> DataFrame:
@@ -318,3 +456,10 @@ def summarize(questions: DataFrame) -> DataFrame:
     rows = questions.select("image_id", *[F.coalesce(c, F.lit("UNKNOWN")).alias(c) for c in ("level", "question_type", "answer_type")])
     sets = rows.groupingSets([["level"], ["question_type"], ["answer_type"], []], "level", "question_type", "answer_type")
     return sets.agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("graphs"))
+
+
+def summary_lines(counts: DataFrame) -> DataFrame:
+    """group, name, n of summarize() in the order in which a report prints them."""
+    kinds = ("level", "question_type", "answer_type")
+    group = F.coalesce(*[F.when(F.col(k).isNotNull(), k) for k in kinds], F.lit("all"))
+    return counts.select(group.alias("group"), F.coalesce(*kinds, F.lit("")).alias("name"), "n").orderBy("group", "name")

@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, domains, keywords, norm_key, score, signature
-from ..operators import display, graph, paths, questions, rank, replies, validate
+from ..operators import display, graph, paths, questions, rank, replies, samples, validate
 from ..sources import annotations, tables
-from .sql import oracle_sql
+from ..sources.shared import materialized
+from . import question_sql, sql
 
 __all__ = ["oracle_sql", "queries"]
 
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql() | question_sql.oracle_sql()
+
+
 ALL_TYPES = {
     "q_presence": "presence", "q_absence": "absence", "q_successor_abstain": "successor_abstain", "q_successor_multi": "successor_multi", "q_containment_abstain": "containment_abstain",
     "q_containment_multi": "containment_multi", "q_edge_label": "edge_label", "q_multihop": "multihop", "q_conflict": "conflict", "q_summary": "summary",
@@ -44,31 +50,37 @@ def _scores(g: annotations.Graphs) -> DataFrame:
     return two.select("image_id", "id", "candidate_id", own.alias("score"))
 
 
-def _targets(g: annotations.Graphs) -> DataFrame:
+def _targets(g: annotations.Graphs, near: bool) -> DataFrame:
     """Every entity with the ranking of the other texts of its graph."""
-    texts = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_set(clean(F.col("text")))).alias("texts")).select("image_id", rank.prepared(F.col("texts")).alias("ready"))
-    rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(texts, "image_id").join(graph.domain_hints(g), "image_id")
-    return rows.withColumn("order", rank.ranked(F.col("text"), F.col("ready"), F.col("domains"), F.array(norm_key(F.col("text")))))
+    texts = g.entities.groupBy("image_id", "norm_text").agg(F.min(clean(F.col("text"))).alias("text")).groupBy("image_id").agg(F.collect_list("text").alias("texts"))
+    rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(texts.select("image_id", rank.prepared(F.col("texts")).alias("ready")), "image_id").join(graph.domain_hints(g), "image_id")
+    return rows.withColumn("order", rank.ranked(F.col("text"), F.col("ready"), F.col("domains"), F.array(norm_key(F.col("text"))), near))
 
 
 def _ranked(g: annotations.Graphs) -> DataFrame:
-    return _targets(g).select("image_id", "id", F.array_join("order", "|").alias("ranking"))
+    return _targets(g, False).select("image_id", "id", F.array_join(rank.texts(F.col("order")), "|").alias("ranking"))
 
 
 def _diverse(g: annotations.Graphs) -> DataFrame:
-    return _targets(g).select("image_id", "id", F.array_join(rank.diverse(F.col("order"), 3, F.col("text")), "|").alias("picked"))
+    return _targets(g, True).select("image_id", "id", F.array_join(rank.diverse(F.col("order"), 3), "|").alias("picked"))
 
 
 def _display(g: annotations.Graphs) -> DataFrame:
     return display.display_map(g).select("image_id", "id", "display_text", "usable", "used_disambiguation", F.array_join(F.array_sort("referenced_ids"), ",").alias("referenced_ids"))
 
 
-def _questions(method: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q = getattr(questions.Generator(tables.order_graphs(spark, sf_dir)), method)()
-        return q.withColumn("metadata", F.to_json("metadata"))
+def _flat(q: DataFrame, *more: str) -> DataFrame:
+    """Questions with every list as text."""
+    options = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit(". "), o["text"])), "|")
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    return q.select(
+        "image_id", "paper_id", "level", "question_type", "question", options.alias("options"), F.array_join("answer", ",").alias("answer"), F.array_join("answer_text", "|").alias("answer_text"),
+        F.array_join(F.transform("correct_option_indices", lambda i: i.cast("string")), ",").alias("correct_option_indices"), "answer_type", meta.alias("metadata"), *more,
+    )
 
-    return query
+
+def _questions(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _flat(getattr(questions.Generator(tables.order_graphs(spark, sf_dir)), method)())
 
 
 def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +89,15 @@ def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
 
 
 def _verdicts(g: annotations.Graphs) -> DataFrame:
-    return validate.verdicts(*_every_question(g)).groupBy("question_type", "ok", "reason").agg(F.count("*").alias("n"))
+    """Verdicts over all questions as they are made, and over the same with faults put in by turns."""
+    q, context = _every_question(g)
+    turn = F.when(F.col("answer_type") == "open", 0).otherwise(F.pmod("image_id", F.lit(6)))
+    texts = F.transform("options", lambda o, i: F.struct(o["label"].alias("label"), F.when((turn == 1) & (i == 0), F.get("options", F.lit(1))["text"]).otherwise(o["text"]).alias("text")))
+    labels = F.transform("options", lambda o, i: F.struct(F.when((turn == 2) & (i == 0), "B").otherwise(o["label"]).alias("label"), o["text"].alias("text")))
+    spoiled = q.withColumn("correct_option_indices", F.when(turn == 3, F.array(F.lit(7))).otherwise(F.col("correct_option_indices"))).withColumn("answer", F.when(turn == 4, F.array(F.lit("F"))).otherwise(F.col("answer")))
+    spoiled = spoiled.withColumn("options", F.when(turn == 1, texts).when(turn == 2, labels).when(turn == 5, F.slice("options", 1, 1)).otherwise(F.col("options")))
+    both = q.withColumn("spoiled", F.lit(False)).unionByName(spoiled.withColumn("spoiled", F.lit(True)))
+    return validate.verdicts(both, context).groupBy("question_type", "spoiled", "ok", "reason").agg(F.count("*").alias("n"))
 
 
 def _negative(g: annotations.Graphs) -> DataFrame:
@@ -112,6 +132,38 @@ def _prompts(rows: DataFrame) -> DataFrame:
     return replies.prompts(rows.withColumn("question", F.concat(F.lit("Which one is "), "sample_id", F.lit("?")))).select("sample_id", "prompt")
 
 
+def _kept(build: Callable[[annotations.Graphs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Over graph tables that are made once: for queries that use them several times."""
+    return lambda spark, sf_dir: build(annotations.Graphs(*map(materialized, vars(tables.order_graphs(spark, sf_dir)).values())))
+
+
+def _both_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to single questions and, of the same models, to those with several right options."""
+    return tables.replies(spark, sf_dir).unionByName(tables.multi_replies(spark, sf_dir))
+
+
+def _shared(g: annotations.Graphs) -> DataFrame:
+    """The least container of each shortest path of two hops over all predicates within one."""
+    p = paths.shortest(g, hops=2).filter("hops = 2").select("image_id", "path")
+    return paths.shared_container(g, p).withColumn("path", F.array_join("path", ">"))
+
+
+def _probes(g: annotations.Graphs) -> DataFrame:
+    """Ends of relations and ids that are none."""
+    return g.relations.select("image_id", F.explode(F.array("subject_id", F.concat("object_id", F.lit("x")), "object_id")).alias("id")).distinct()
+
+
+def _sample_ids(rows: DataFrame) -> DataFrame:
+    x = rows.withColumn("question", F.concat(F.lit("Which \"one\" is "), "sample_id", F.lit("?")))
+    return x.select("sample_id", replies.sample_id(F.col("model"), F.col("sample_id"), F.col("question_type"), F.col("question"), F.col("options"), F.col("gold"), F.col("answer_type")).alias("key"))
+
+
+def _dataset(g: annotations.Graphs) -> DataFrame:
+    """Questions that take options from pools, of three splits."""
+    made = questions.dataset(g, ["element_presence_mcq", "relation_edge_label_hidden_abstain_mcq", "function_summary_open"])
+    return _flat(made, "split")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     g = graph
     relations = ["image_id", "ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"]
@@ -132,7 +184,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predecessors": _orders(lambda x: g.neighbours(x, forward=False).select("image_id", "id", "neighbour")),
         "children": _orders(lambda x: g.neighbours(x, "contains").select("image_id", "id", "neighbour")),
         "parents": _orders(lambda x: g.neighbours(x, "contains", forward=False).select("image_id", "id", "neighbour")),
-        "connected_neighbors": _orders(lambda x: g.neighbours(x, "connects_to").select("image_id", "id", "neighbour")),
+        "connected_neighbors": lambda spark, d: g.neighbours(tables.event_graphs(spark, d), "connects_to").select("image_id", "id", "neighbour"),
+        "neighbours_of_two_predicates": lambda spark, d: g.neighbours(tables.event_graphs(spark, d), {"connects_to", "contains"}, forward=False).select("image_id", "id", "neighbour"),
+        "has_entity": _orders(lambda x: g.has_entity(x, _probes(x))),
         "pairs_by_predicate": _orders(lambda x: g.pairs(x, "flows_to", include_conflict=True)),
         "unique_successor": _orders(g.unique_neighbour),
         "unique_predecessor": _orders(lambda x: g.unique_neighbour(x, forward=False)),
@@ -144,20 +198,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "node_pool": _orders(g.node_pool),
         "edge_label_pool": _orders(g.edge_label_pool),
         "top_level": _orders(lambda x: g.top_level(x).select("image_id", "id")),
-        "root_flow": _orders(lambda x: g.root_flow(x).select("image_id", "id")),
-        "shortest_path_le4": _orders(lambda x: _path(paths.shortest(x)).withColumn("hops", F.col("hops").cast("long"))),
-        "has_path": _orders(lambda x: paths.shortest(x).groupBy("image_id").agg(F.count("*").alias("pairs"))),
-        "unique_multihop_pairs": _orders(lambda x: _path(paths.unique_multihop(x)).select("image_id", "src", "tgt", "path")),
-        "main_flow": _orders(lambda x: paths.main_flow(x).withColumn("flow", F.array_join("flow", ">"))),
+        "root_flow": _kept(lambda x: g.root_flow(x).select("image_id", "id")),
+        "shortest_path_le4": _kept(lambda x: _path(paths.shortest(x)).withColumn("hops", F.col("hops").cast("long"))),
+        "has_path": _kept(lambda x: paths.shortest(x).groupBy("image_id").agg(F.count("*").alias("pairs"))),
+        "unique_multihop_pairs": _kept(lambda x: _path(paths.unique_multihop(x)).select("image_id", "src", "tgt", "path")),
+        "main_flow": _kept(lambda x: paths.main_flow(x).withColumn("flow", F.array_join("flow", ">"))),
         "text_signature": _orders(_signatures),
         "candidate_scores": _orders(_scores),
         "ranked_candidates": _orders(_ranked),
         "diverse_top_k": _orders(_diverse),
-        "display_map": _orders(_display),
+        "display_map": _kept(_display),
         "validation_verdicts": _orders(_verdicts),
         "summary_grouping_sets": _orders(lambda x: questions.summarize(_every_question(x)[0])),
         "negative_relation_pairs": _orders(_negative),
         "split_assignment": _orders(g.splits),
+        "dataset_by_split": _kept(_dataset),
+        "shared_container": _kept(_shared),
+        "presence_sample": _orders(samples.presence_entity),
+        "absence_sample": _orders(lambda x: samples.absence_text(x, g.node_pool(x))),
+        "successor_sample": _orders(samples.successor_target),
+        "containment_sample": _orders(samples.containment_target),
+        "edge_label_sample": _orders(samples.edge_label_target),
+        "conflict_sample": _orders(samples.conflict_target),
+        "negative_relation_sample": _orders(lambda x: samples.negative_relation(x, "flows_to")),
+        "multihop_pair_sample": _kept(lambda x: _path(samples.multihop_pair(x)).withColumn("hops", F.col("hops").cast("long"))),
+        "sample_keys": _replies(_sample_ids),
         "prompts": _replies(_prompts),
         "parse_abstain": _replies(lambda r: r.select("sample_id", replies.abstains(F.col("raw_output")).alias("abstains"))),
         "parse_stage1_single": _replies(lambda r: r.select("sample_id", replies.stated_letter(F.col("raw_output")).alias("letter"))),
@@ -168,6 +233,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "score_single": _replies(lambda r: _scored(r).select("sample_id", "correct")),
         "score_multi_f1": _replies(lambda r: _scored(r).select("sample_id", "correct", "f1_units"), tables.multi_replies),
         "metrics_by_model": _replies(lambda r: replies.metrics_by_model(_scored(r))),
+        "metrics_with_multi_select": _replies(lambda r: replies.metrics_by_model(_scored(r)), _both_replies),
+        "token_usage": _replies(replies.token_usage),
         "metrics_by_level": _replies(lambda r: replies.metrics_by(_scored(r), "level")),
         "metrics_by_qtype": _replies(lambda r: replies.metrics_by(_scored(r), "question_type")),
         "stage_counts": _replies(lambda r: replies.stage_counts(_scored(r))),

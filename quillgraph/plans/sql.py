@@ -29,8 +29,8 @@ flow AS (SELECT * FROM rel WHERE predicate = 'flows_to' AND NOT is_conflict),
 holds AS (SELECT * FROM rel WHERE predicate = 'contains' AND NOT is_conflict)
 """
 
-TOP = """, top AS (SELECT * FROM ent WHERE NOT EXISTS (SELECT 1 FROM holds h WHERE h.image_id = ent.image_id AND h.object_id = ent.id)),
-root AS (SELECT * FROM top t WHERE NOT EXISTS (SELECT 1 FROM flow f JOIN top u ON u.image_id = f.image_id AND u.id = f.subject_id WHERE f.image_id = t.image_id AND f.object_id = t.id))
+TOP = """, inside AS MATERIALIZED (SELECT DISTINCT image_id, object_id id FROM holds), top AS MATERIALIZED (SELECT ent.* FROM ent ANTI JOIN inside USING (image_id, id)),
+fed AS MATERIALIZED (SELECT DISTINCT f.image_id, f.object_id id FROM flow f JOIN top u ON u.image_id = f.image_id AND u.id = f.subject_id), root AS MATERIALIZED (SELECT top.* FROM top ANTI JOIN fed USING (image_id, id))
 """
 
 PATHS = """, walk AS (SELECT image_id, subject_id src, object_id tgt, [subject_id, object_id] path, [ord] ords, 1 hops FROM flow
@@ -153,7 +153,6 @@ def oracle_sql() -> dict[str, str]:
         "predecessors": edges.format("object_id", "subject_id", "flow"),
         "children": edges.format("subject_id", "object_id", "holds"),
         "parents": edges.format("object_id", "subject_id", "holds"),
-        "connected_neighbors": edges.format("subject_id", "object_id", "rel") + " WHERE predicate = 'connects_to' AND NOT is_conflict",
         "pairs_by_predicate": "SELECT image_id, subject_id, object_id FROM rel WHERE predicate = 'flows_to'",
         "unique_successor": unique.format("subject_id", "object_id", "flow"),
         "unique_predecessor": unique.format("object_id", "subject_id", "flow"),
@@ -182,31 +181,64 @@ def oracle_sql() -> dict[str, str]:
       ranks AS (SELECT t.image_id, t.id, c.shown, {SCORE} AS score FROM sd t JOIN cand c ON t.image_id = c.image_id AND t.norm_text <> c.norm_text JOIN hint h ON h.image_id = t.image_id)
       SELECT ent.image_id, ent.id, coalesce(string_agg(r.shown, '|' ORDER BY score DESC, r.shown), '') ranking FROM ent LEFT JOIN ranks r ON r.image_id = ent.image_id AND r.id = ent.id GROUP BY ent.image_id, ent.id"""
     found["display_map"] = GRAPHS + DISPLAY + "SELECT image_id, id, CASE WHEN alone THEN shown WHEN told_ok THEN phrase END display_text, alone OR told_ok usable, told_ok used_disambiguation, CASE WHEN told_ok THEN array_to_string(list_sort(refs), ',') ELSE '' END referenced_ids FROM shown_map"
-    found["split_assignment"] = GRAPHS + ", h AS (SELECT image_id, row_number() OVER (ORDER BY md5('42|' || image_id), image_id) i, count(*) OVER () k FROM (SELECT DISTINCT image_id FROM ent)) SELECT image_id, CASE WHEN i <= floor(k * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(k * 0.8::DOUBLE) + floor(k * 0.1::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM h"
+    found["split_assignment"] = GRAPHS + ", h AS (SELECT image_id, row_number() OVER (ORDER BY md5('42|' || image_id), image_id) i, count(*) OVER () k FROM (SELECT DISTINCT image_id FROM ent)) SELECT image_id, CASE WHEN i <= floor(k * 0.8::DOUBLE) THEN 'train' WHEN i <= floor(k * 0.8::DOUBLE) + floor(k * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM h"
     events = "WITH x AS (SELECT user_id image_id, event_type s, lead(event_type) OVER w o, row_number() OVER w ord FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), rel AS (SELECT image_id, ord, s subject_id, o object_id FROM x WHERE o IS NOT NULL AND o <> s)"
+    found["connected_neighbors"] = events + "SELECT image_id, subject_id id, object_id neighbour FROM rel WHERE ord % 4 = 3"
+    found["neighbours_of_two_predicates"] = events + "SELECT image_id, object_id id, subject_id neighbour FROM rel WHERE ord % 4 = 3"
+    found["has_entity"] = GRAPHS + "SELECT DISTINCT image_id, unnest([subject_id, object_id]) id FROM rel"
+    found["shared_container"] = GRAPHS + """, two AS (SELECT DISTINCT a.image_id, a.subject_id x, a.object_id y, b.object_id z FROM flow a JOIN flow b ON a.image_id = b.image_id AND a.object_id = b.subject_id AND b.object_id <> a.subject_id
+        WHERE NOT EXISTS (SELECT 1 FROM flow d WHERE d.image_id = a.image_id AND d.subject_id = a.subject_id AND d.object_id = b.object_id)), held AS (SELECT DISTINCT image_id, subject_id box, object_id id FROM holds)
+      SELECT two.image_id, x || '>' || y || '>' || z AS path, min(p.box) AS container FROM two JOIN held p ON p.image_id = two.image_id AND p.id = x JOIN held q ON q.image_id = two.image_id AND q.id = y AND q.box = p.box JOIN held r ON r.image_id = two.image_id AND r.id = z AND r.box = p.box GROUP BY two.image_id, x, y, z"""
+    pick = "{0} QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY md5('42|{1}|' || image_id || '|' || {2}), {3}) = 1"
+    found["presence_sample"] = GRAPHS + pick.format("SELECT image_id, ord, id, text FROM ent WHERE norm_text <> ''", "presence", "ord", "ord")
+    found["absence_sample"] = GRAPHS + """, np AS (SELECT key, arg_min(shown, (image_id, ord)) AS text FROM (SELECT *, lower(shown) key FROM ent) WHERE key <> '' GROUP BY key), o AS (SELECT *, row_number() OVER (ORDER BY key) - 1 place, count(*) OVER () k FROM np),
+      s AS (SELECT DISTINCT image_id, ('0x' || substr(md5('42|absence|' || image_id), 1, 8))::BIGINT luck FROM ent) SELECT s.image_id, arg_min(o.text, (place - luck % k + k) % k) AS text FROM s, o WHERE NOT EXISTS (SELECT 1 FROM ent e WHERE e.image_id = s.image_id AND e.norm_text = o.key) GROUP BY s.image_id"""
+    found["successor_sample"] = GRAPHS + pick.format("SELECT * FROM (" + unique.format("subject_id", "object_id", "flow") + ")", "successor", "id", "id")
+    found["containment_sample"] = GRAPHS + pick.format("SELECT image_id, neighbour container, id child FROM (" + unique.format("object_id", "subject_id", "holds") + ")", "containment", "id", "id")
+    found["edge_label_sample"] = GRAPHS + pick.format("SELECT image_id, ord, subject_id, object_id, edge_text FROM rel WHERE edge_text <> '' AND NOT is_conflict", "edge_label", "ord", "ord")
+    found["conflict_sample"] = GRAPHS + pick.format("SELECT image_id, ord, subject_id, object_id FROM rel WHERE is_conflict", "conflict", "ord", "ord")
+    negative = "SELECT a.image_id, a.id subject_id, b.id object_id FROM ent a JOIN ent b ON a.image_id = b.image_id AND a.id <> b.id WHERE NOT EXISTS (SELECT 1 FROM rel r WHERE r.image_id = a.image_id AND r.subject_id = a.id AND r.object_id = b.id AND r.predicate = 'flows_to')"
+    found["negative_relation_sample"] = GRAPHS + pick.format(f"SELECT * FROM ({negative})", "negative flows_to", "subject_id || '|' || object_id", "subject_id, object_id")
+    every = PATHS.replace("FROM flow", "FROM loose").replace("JOIN flow", "JOIN loose").replace(", walk AS", ", loose AS (SELECT * FROM rel WHERE NOT is_conflict), walk AS")
+    near = "SELECT image_id, src, tgt, path, hops FROM walk QUALIFY row_number() OVER (PARTITION BY image_id, src, tgt ORDER BY hops, ords) = 1"
+    found["multihop_pair_sample"] = GRAPHS + every + pick.format(f"SELECT image_id, src, tgt, array_to_string(path, '>') AS path, hops::BIGINT hops FROM ({near}) WHERE hops >= 2", "multihop", "src || '|' || tgt", "src, tgt")
     found["event_relations"] = events + "SELECT * FROM rel"
     found["edge_exists"] = events + "SELECT DISTINCT image_id, object_id subject_id, subject_id object_id FROM rel a WHERE EXISTS (SELECT 1 FROM rel b WHERE b.image_id = a.image_id AND b.subject_id = a.object_id AND b.object_id = a.subject_id)"
     found["hierarchy_children"] = "SELECT n_regionkey image_id, 'r' || n_regionkey id, 'n' || n_nationkey neighbour FROM nation UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey"
     options = "chr(10) || ".join(f"'{'ABCD'[i]}. {p}' || " for i, p in enumerate(PHRASES)).removesuffix(" || ")
     found["prompts"] = f"SELECT o_orderkey sample_id, 'Question: Which one is ' || o_orderkey || '?' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE chr(10) || chr(10) || 'Options:' || chr(10) || {options} END prompt FROM orders"
-    rows = {
-        "parse_abstain": "SELECT sample_id, abstains FROM s1", "parse_stage1_single": "SELECT sample_id, letter1 letter FROM s3", "parse_stage2_substring": "SELECT sample_id, letter2 letter FROM s3", "parse_cascade": "SELECT sample_id, parse_action, letters, parse_stage FROM parsed",
-        "score_single": "SELECT sample_id, correct FROM scored", "metrics_by_level": "SELECT model, level, count(*) n, sum(units)::BIGINT units FROM u WHERE units IS NOT NULL GROUP BY ALL",
-        "metrics_by_qtype": "SELECT model, question_type, count(*) n, sum(units)::BIGINT units FROM u WHERE units IS NOT NULL GROUP BY ALL",
-        "stage_counts": "SELECT model, parse_stage, count(*) n FROM u WHERE error IS NULL AND parse_stage IS NOT NULL GROUP BY ALL",
-        "metrics_by_model": f"""SELECT model, count(*) n,
+    quoted = lambda x: f"'\"' || {x} || '\"'"
+    opts = ", ".join(f'["{"ABCD"[i]}", "{p}"]' for i, p in enumerate(PHRASES))
+    body = "'{\"ans\": ' || " + quoted("gold") + " || ', \"opts\": [" + opts + "], \"q\": \"Which \\\"one\\\" is ' || sample_id || '?\"}'"
+    metrics = lambda multi: f"""SELECT model, count(*) n,
           sum(CASE WHEN parse_action = 'abstained' THEN 0 ELSE units END) FILTER (closed AND parse_action <> 'invalid' AND NOT is_unanswerable) / count(*) FILTER (closed AND parse_action <> 'invalid' AND NOT is_unanswerable) / {UNITS} answerable_correct_rate,
           sum((parse_action = 'abstained')::INT) FILTER (closed AND parse_action <> 'invalid' AND NOT is_unanswerable) / count(*) FILTER (closed AND parse_action <> 'invalid' AND NOT is_unanswerable) answerable_false_abstain_rate,
           sum((parse_action = 'abstained')::INT) FILTER (closed AND parse_action <> 'invalid' AND is_unanswerable) / count(*) FILTER (closed AND parse_action <> 'invalid' AND is_unanswerable) unanswerable_correct_abstain_rate,
           sum((parse_action <> 'abstained')::INT) FILTER (closed AND parse_action <> 'invalid' AND is_unanswerable) / count(*) FILTER (closed AND parse_action <> 'invalid' AND is_unanswerable) unanswerable_hallucination_rate,
           sum((error IS NOT NULL OR parse_action = 'invalid')::INT) FILTER (error IS NOT NULL OR closed) / count(*) FILTER (error IS NOT NULL OR closed) invalid_response_rate,
-          NULL::DOUBLE multihop_f1, sum(units) FILTER (error IS NULL AND answer_type = 'open') / count(units) FILTER (error IS NULL AND answer_type = 'open') / {UNITS} l3_open_score,
-          coalesce(sum(prompt_tokens), 0)::BIGINT prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT completion_tokens FROM u GROUP BY model""",
+          {multi} multihop_f1, sum(units) FILTER (error IS NULL AND answer_type = 'open') / count(units) FILTER (error IS NULL AND answer_type = 'open') / {UNITS} l3_open_score,
+          coalesce(sum(prompt_tokens), 0)::BIGINT prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT completion_tokens"""
+    rows = {
+        "sample_keys": f"SELECT sample_id, model || '::' || sample_id || '::' || question_type || '::' || substr(md5({body}), 1, 8) AS key FROM r",
+        "token_usage": "SELECT model, count(*) FILTER (prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL) counted, coalesce(sum(prompt_tokens), 0)::BIGINT prompt_tokens, coalesce(sum(completion_tokens), 0)::BIGINT completion_tokens FROM r GROUP BY model",
+        "parse_abstain": "SELECT sample_id, abstains FROM s1", "parse_stage1_single": "SELECT sample_id, letter1 letter FROM s3", "parse_stage2_substring": "SELECT sample_id, letter2 letter FROM s3", "parse_cascade": "SELECT sample_id, parse_action, letters, parse_stage FROM parsed",
+        "score_single": "SELECT sample_id, correct FROM scored", "metrics_by_level": "SELECT model, level, count(*) n, sum(units)::BIGINT units FROM u WHERE units IS NOT NULL GROUP BY ALL",
+        "metrics_by_qtype": "SELECT model, question_type, count(*) n, sum(units)::BIGINT units FROM u WHERE units IS NOT NULL GROUP BY ALL",
+        "stage_counts": "SELECT model, parse_stage, count(*) n FROM u WHERE error IS NULL AND parse_stage IS NOT NULL GROUP BY ALL",
+        "metrics_by_model": metrics("NULL::DOUBLE") + " FROM u GROUP BY model",
     }
     found |= {k: REPLIES + v for k, v in rows.items()}
     parsed = "SELECT sample_id, parse_action, array_to_string(letters, ',') letters, parse_stage FROM parsed"
     found["parse_multi"], found["parse_multi_fixed"] = MULTI + parsed, MULTI_FIXED + parsed
     found["score_multi_f1"] = MULTI + f", s AS (SELECT *, len(list_intersect(coalesce(letters, []), gold)) hits, len(coalesce(letters, [])) + len(gold) both_ FROM parsed) SELECT sample_id, (parse_action = 'selected' AND list_sort(letters) = list_sort(gold))::BIGINT correct, CASE WHEN parse_action = 'selected' AND hits > 0 THEN floor(hits * 2 * {UNITS} / both_) ELSE 0 END::BIGINT f1_units FROM s"
+    # the same replies as ones to questions with several right options, beside the single ones
+    multi = MULTI.replace("WITH r0", "r0m").replace("r0m AS (", ", r0m AS (").replace("FROM r0)", "FROM r0m)").replace("r0.k", "r0m.k").replace("FROM r0 LEFT", "FROM r0m LEFT").replace("parsed AS (", "parsed_m AS (")
+    multi += """, sm AS (SELECT *, len(list_intersect(coalesce(letters, []), gold)) hits, len(coalesce(letters, [])) + len(gold) both_ FROM parsed_m),
+      um AS (SELECT u.model, u.error, u.is_unanswerable, u.prompt_tokens, u.completion_tokens, sm.parse_action, 'multi_select' answer_type, u.error IS NULL closed,
+        CASE WHEN u.error IS NULL THEN CASE WHEN sm.parse_action = 'selected' AND sm.hits > 0 THEN floor(sm.hits * 2 * """ + str(UNITS) + """ / sm.both_) ELSE 0 END::BIGINT END units FROM sm JOIN u USING (sample_id)),
+      every AS (SELECT model, error, is_unanswerable, prompt_tokens, completion_tokens, parse_action, answer_type, closed, units FROM u UNION ALL SELECT model, error, is_unanswerable, prompt_tokens, completion_tokens, parse_action, answer_type, closed, units FROM um) """
+    f1 = "answer_type = 'multi_select' AND closed AND parse_action <> 'invalid'"
+    found["metrics_with_multi_select"] = REPLIES + multi + metrics(f"sum(units) FILTER ({f1}) / count(*) FILTER ({f1}) / {UNITS}") + " FROM every GROUP BY model"
     found["cache_last_wins"] = "SELECT user_id AS key, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
     found["pending_work"] = "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')"
     return found

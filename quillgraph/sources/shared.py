@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is set: on one machine a temporary folder, on a cluster one
+    beside the warehouse, which is shared as well."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        own = tempfile.mkdtemp(prefix="quillgraph-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
+        sc.setCheckpointDir(own)
+        found = sc.getCheckpointDir()
+    return found
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back: what follows is planned by itself and
-    does not compute it again. A folder of our own is made only where none is set."""
+    """df written to the shared folder and read back: what follows is planned by itself and does not compute it
+    again, and a lost executor takes nothing along."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-        folder = sc.getCheckpointDir()
-    path = f"{folder}/graphs/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graphs/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,11 +42,11 @@ def order_graphs(spark: SparkSession, sf_dir: str) -> Graphs:
 
 
 def event_graphs(spark: SparkSession, sf_dir: str) -> Graphs:
-    """A user is a graph of event types; consecutive events are parallel edges."""
+    """A user is a graph of event types; consecutive events are parallel edges, every fourth a plain connection."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id").repartition("user_id")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = events.select(F.col("user_id").alias("image_id"), F.col("event_type").alias("s"), F.lead("event_type").over(by_time).alias("o"), F.row_number().over(by_time).alias("ord"))
-    relations = e.filter("o is not null").select("image_id", "ord", F.col("s").alias("subject_id"), F.lit("flows_to").alias("predicate"), F.col("o").alias("object_id"), F.lit("").alias("edge_text"), F.lit(False).alias("is_conflict"))
+    relations = e.filter("o is not null").select("image_id", "ord", F.col("s").alias("subject_id"), F.when(F.col("ord") % 4 == 3, "connects_to").otherwise("flows_to").alias("predicate"), F.col("o").alias("object_id"), F.lit("").alias("edge_text"), F.lit(False).alias("is_conflict"))
     kinds = e.groupBy("image_id", "s").agg(F.min("ord").alias("ord"))
     entities = kinds.select("image_id", "ord", F.col("s").alias("id"), F.col("s").alias("text"), F.lit("Node").alias("type"))
     graphs = kinds.select("image_id").distinct().select("image_id", F.lit("events").alias("paper_id"), F.lit("").alias("summary_text"))
