@@ -43,11 +43,47 @@ def test_chi_square_quantile():
 
 def test_many_equal_vectors_come_by_id():
     ids = np.arange(1000)
-    vectors = np.tile([0.6, 0.8], (1000, 1))
-    got = ann.search_block(ids, vectors, np.array([500]), vectors[:1], 1.0, 20, 0.98)
+    vectors = np.tile([0.6, 0.8, 0.1], (1000, 1))
+    got = ann.search(ids, vectors, np.array([500]), vectors[:1], 20)
     assert [x[1] for x in got] == list(range(20))
 
 
+def test_recall_over_many_leaves_and_blocks(spark, monkeypatch):
+    """Clusters, a third of all rows equal, leaves of several blocks, queries of several blocks in a leaf."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 16), ("LEAF", 40), ("SAMPLE", 1500)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((30, 24))
+    v = centers[rng.integers(0, 30, 3000)] + 0.4 * rng.standard_normal((3000, 24))
+    v[::3] = v[0]
+    rows = [(i, [float(np.float32(c)) for c in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = {}, brute(rows)
+    for r in ann.nearest(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    vectors = np.array([r[1] for r in rows])
+    same = total = 0
+    for q, found in got.items():
+        found.sort()
+        assert [x[0] for x in found] == list(range(1, 21)) and found == sorted(found, key=lambda x: (-x[2], x[1]))
+        assert len({x[1] for x in found}) == 20 and q not in {x[1] for x in found}
+        least = np.sort(vectors[[i for i in want[q]]] @ vectors[q])[0]
+        same += sum(x[2] >= least - 1e-9 for x in found)
+        total += 20
+    assert set(got) == set(want) and same >= 0.9 * total
+    assert all(got[q][k][1] == want[q][k] for q in got if q % 3 == 0 for k in range(20))  # equal ones, by id
+
+
+def test_tree_places_every_point():
+    rng = np.random.default_rng(1)
+    points = rng.standard_normal((2000, ann.M_DIMS))
+    points[:700] = points[0]
+    tree = ann.Tree(points, 50)
+    leaf = tree.leaf_of(points)
+    assert leaf.min() == 0 and leaf.max() == tree.leaves - 1 and len(np.unique(leaf)) == tree.leaves
+    assert sorted(np.bincount(leaf))[-2] <= 50 and ann.Tree(points[:5], 50).leaf_of(points).max() == 0
+
+
 def test_warc(spark, sf):
     rows = [(1, "http://a/", "<html><head><title>T</title><script>x<b></script></head><body><p>A &amp;lt; B</p><!-- c --><a href='x'>l</a><br/>z&nbsp;&copy;</body></html>"), (2, None, None), (2, None, None), (3, "u", ""), (4, "u", "x < y " * 5000)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, block string")
