@@ -444,10 +444,36 @@ def test_personal_data(spark, documents):
         assert set(joined.split(",")) - {""} <= set(spans) and len(spans) == len(base) + r["n_added"]
 
 
-def test_reliabilities_tell_labelers_apart(spark):
-    rows = [(3, v, n) for v, n in ((7, 60), (3, 40), (5, 30), (1, 5), (0, 50), (2, 20), (4, 2))]
+def test_reliabilities_are_recovered(spark):
+    """Expectation-maximisation on votes drawn with known reliabilities."""
+    rng = np.random.default_rng(4)
+    prior, yes, no = 0.4, np.array([0.9, 0.75, 0.6, 0.7]), np.array([0.15, 0.3, 0.1, 0.2])
+    truth = rng.random(60_000) < prior
+    votes = (rng.random((60_000, 4)) < np.where(truth[:, None], yes, no)) @ (1 << np.arange(4))
+    rows = [(3, int(v), int(n)) for v, n in zip(*np.unique(votes, return_counts=True))]
     p = pii.reliabilities(spark.createDataFrame(rows, "kind int, votes int, n long")).first()["p"]
-    assert all(0 < x < 1 for x in (p["prior"], *p["yes"], *p["no"])) and p["yes"][0] > p["no"][0]
+    assert abs(p["prior"] - prior) < 0.05 and np.abs(np.array(p["yes"]) - yes).max() < 0.05 and np.abs(np.array(p["no"]) - no).max() < 0.05
+
+
+def test_added_spans_follow_their_context(spark):
+    """Spelled-out addresses and national numbers where the words around speak of them, not the same forms elsewhere."""
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for i in range(900):
+        mail, digits = f"user{i}", f"{200 + i % 700}-{100 + i % 800}-{1000 + i}"
+        said = [
+            (f"please write to {mail}@shop{i}.com or call +1 {digits} any day", []),
+            (f"please write to {mail} [at] shop{i}.com today", [("email", f"{mail} [at] shop{i}.com")]),
+            (f"lot {mail}@rack{i}.zz with +99999 {digits}1 in stock", []),
+            (f"call us by phone at {digits} today", [("phone", digits)]),
+            (f"serial {digits} on the shelf", []),
+        ][i % 5]
+        rows.append((i, f"{'x' * int(rng.integers(0, 9))} {said[0]}"))
+        want[i] = {f"{k}:{rows[-1][1].index(s)}:{rows[-1][1].index(s) + len(s)}" for k, s in said[1]}
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    base = {i: {f"{k}:{a}:{b}" for k, a, b in brute_spans(t)} for i, t in rows}
+    added = {r["doc_id"]: {x for x in r["spans"].split(",") if x} - base[r["doc_id"]] for r in got}
+    right = sum(len(added[i] & want[i]) for i in added)
+    assert right >= 0.9 * sum(map(len, want.values())) and right >= 0.9 * sum(map(len, added.values())), (right, sum(map(len, added.values())), sum(map(len, want.values())))
 
 
 def test_personal_data_of_edge_cases(edge, empty):
