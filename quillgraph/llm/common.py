@@ -39,14 +39,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def packed(docs: DataFrame, names: list[str] | None = None) -> F.Column:
-    """The columns of docs (or some of them) as one struct, whose fields can clash with no other name."""
-    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns if names is None else names)])
+def renamed(names: list[str]) -> list[F.Column]:
+    """Columns under names that clash with none of an operator's own."""
+    return [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)]
 
 
-def unpacked(names: list[str], row: str = "row") -> list[F.Column]:
-    """The columns that packed() held."""
-    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(names)]
+def restored(names: list[str]) -> list[F.Column]:
+    """The columns that renamed() put away, under their names."""
+    return [F.col(f"own_{i}").alias(c) for i, c in enumerate(names)]
 
 
 def words(text: str | F.Column) -> F.Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, saved, unpacked
+from .common import renamed, restored, saved
 
 LINES = 3
 
@@ -37,9 +37,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _decided(docs: DataFrame, names: list[str]) -> DataFrame:
-    """row (the columns in names), kept (the text that stays), n_lines and n_removed of each row of docs."""
+    """The columns in names, renamed, with kept (the text that stays), n_lines and n_removed of each row of docs."""
     marks = repeated_lines(docs).withColumnsRenamed({"d": "e", "h": "g"})
-    x = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"), packed(docs, names).alias("row"))
+    x = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.col("text").alias("t"), *renamed(names))
     x = x.join(marks, F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")), "left").withColumn("lines", _split("t"))
     # what stays is between the stretches: from the end of one to the start of the next
     end = F.concat("starts", F.array(F.size("lines")))
@@ -47,7 +47,7 @@ def _decided(docs: DataFrame, names: list[str]) -> DataFrame:
     kept = F.transform(F.filter(gaps, lambda g: g["a"] < g["b"]), lambda g: F.array_join(F.slice("lines", g["a"] + 1, g["b"] - g["a"]), "\n"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda a, n: a + n)
     return x.select(
-        "row",
+        *[f"own_{i}" for i in range(len(names))],
         F.when(F.col("starts").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias("kept"),
         F.coalesce(F.when(F.col("t").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
@@ -64,13 +64,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A null doc_id comes before all others.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
-    return _decided(docs, rest).select(*unpacked(rest), F.col("kept").alias("text"), "n_lines", "n_removed")
+    return _decided(docs, rest).select(*restored(rest), F.col("kept").alias("text"), "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed, n_chars set anew, and without documents that lost every line."""
-    x = _decided(docs, docs.columns).filter("n_removed = 0 or n_removed < n_lines")
-    anew = {"text": F.col("kept")}
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    x = _decided(docs, rest).filter("n_removed = 0 or n_removed < n_lines")
+    made = {"text": F.col("kept").alias("text")} | dict(zip(rest, restored(rest), strict=True))
     if "n_chars" in docs.columns:
-        anew["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
-    return x.select(*[anew[c].alias(c) if c in anew else old for c, old in zip(docs.columns, unpacked(docs.columns), strict=True)])
+        made["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return x.select(*[made[c] for c in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, saved, unpacked, words
+from .common import renamed, restored, saved, words
 
 #: A source is repeated three times at most; weights repeat along the sources by code point.
 MOST = 3
@@ -64,7 +64,7 @@ def _ranked(keys: DataFrame) -> DataFrame:
 
 
 def _mixed(docs: DataFrame, names: list[str], seed: str) -> DataFrame:
-    """row (the columns in names), size, source_size, target and copies of each row of docs."""
+    """The columns in names, renamed, with size, source_size, target and copies of each row of docs."""
     source, doc_id = F.col("source").cast("string"), F.col("doc_id").cast("long")
     h = F.xxhash64("text", F.col("text").isNull(), source, source.isNull(), doc_id.isNull())
     key = (F.coalesce(doc_id, F.lit(-1)).alias("d"), h.alias("h"))
@@ -72,11 +72,11 @@ def _mixed(docs: DataFrame, names: list[str], seed: str) -> DataFrame:
     keys = saved(keys.groupBy(*keys.columns).agg(F.count("*").alias("m")))
     # of equal rows each takes its own place among them
     place = F.row_number().over(Window.partitionBy("d", "h").orderBy(F.col("owner").asc_nulls_first()))
-    x = docs.select(*key, source.alias("owner"), packed(docs, names).alias("row")).join(_ranked(keys), ["d", "h"]).withColumn("at", F.col("before") + place)
+    x = docs.select(*key, source.alias("owner"), *renamed(names)).join(_ranked(keys), ["d", "h"]).withColumn("at", F.col("before") + place)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit(f"{seed}:"), "owner"), F.lit(f"{seed}|")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
     copies = F.floor(start + rate * F.col("at")) - F.floor(start + rate * (F.col("at") - 1))
-    return x.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return x.select(*[f"own_{i}" for i in range(len(names))], "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -90,10 +90,10 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     x = _mixed(docs, rest, seed)
-    return x.select(*unpacked(rest), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return x.select(*restored(rest), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs as often as it is emitted, with the columns of docs."""
     x = _mixed(docs, docs.columns, seed).filter("copies > 0")
-    return x.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*unpacked(docs.columns))
+    return x.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*restored(docs.columns))

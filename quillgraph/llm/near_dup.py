@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix64, packed, saved, unpacked, utf8
+from .common import chunks, give_back, mix64, renamed, restored, saved, utf8
 
 SHINGLE = 5
 BANDS = 40
@@ -293,5 +293,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that a smaller doc_id of their component represents; columns stay."""
     gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("d")).distinct()
-    x = docs.select(F.col("doc_id").cast("long").alias("d"), packed(docs).alias("row")).join(gone, "d", "left_anti")
-    return x.select(*unpacked(docs.columns))
+    x = docs.select(F.col("doc_id").cast("long").alias("d"), *renamed(docs.columns)).join(gone, "d", "left_anti")
+    return x.select(*restored(docs.columns))
