@@ -23,24 +23,25 @@ from .common import saved
 CAPACITY = 1024
 END = 2
 PACKER = 50_000
-#: Distinct chunks of text whose ids a worker keeps at once.
-CACHE = 1_500_000
+#: Chunks of text whose ids a worker has met since it last set the older ones aside; it keeps two such lots.
+CACHE = 340_000
 #: Marks that are tokens by themselves after a letter or between lines. What has no space before it goes by a
 #: key that starts with FIRST, marks and line breaks too, so it is not taken for the same with a space.
 CUTS = ("\n", ",", ".", ";", ":", "!", "?")
 FIRST = "\x00"
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, list] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer and ids (as little-endian bytes) of the chunks that it has met; kept while the worker lives."""
+    """The tokenizer and ids (as little-endian bytes) of the chunks that it has met, late and early ones; kept while
+    the worker lives."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = (tokenizer, {})
+        _encoders[path] = [tokenizer, {}, {}]
     return _encoders[path]
 
 
@@ -89,9 +90,10 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     before a closing mark after a letter. Texts with other white space beside a space are encoded whole, and so
     are those that hold the character FIRST themselves.
     """
-    tokenizer, known = _encoder(path)
-    if len(known) > CACHE:
-        known.clear()
+    own = _encoder(path)
+    if len(own[1]) > CACHE:
+        own[1:] = {}, own[1]
+    tokenizer, known, early = own
     if not known:
         known.update(zip([FIRST + c for c in CUTS], _ids(tokenizer, list(CUTS)), strict=True))
     split, found, new = [], [], set()
@@ -106,7 +108,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         found.append(got)
     words, plain, ended, made = set(), set(), [], {}
     for x in new:  # most are a word, or a word and a mark
-        if x.isalpha():
+        if x in early:
+            known[x] = early[x]
+        elif x.isalpha():
             words.add(x)
         elif x[-1:] in CUTS and x[:-1].isalpha():
             ended.append(x)
