@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, packed, unpacked, utf8
+from .common import give_back, renamed, restored, utf8
 
 ORDER = 3
 #: Texts start as if after white space.
@@ -163,8 +163,8 @@ def _escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(total == 0, shorter, np.where(counts > 0, counts / room, distinct / room * shorter))
 
 
-def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits_per_byte, and the columns named in extra.
+def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score, bits_per_byte, and the columns named in extra; text names the texts.
 
     score is the posterior of the winner under equal priors. `und` and score 0 where the text is null or has
     no letter, or no language was learned. Ties go to the language first by code point. Every row gets one
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, bounds = utf8(batch.column("_text"))
+            data, bounds = utf8(batch.column(text))
             ok = np.array(batch.column("_ok").to_pylist(), bool)
             n = batch.num_rows
             lang, best, rate = [UNDETERMINED] * n, np.zeros(n), np.zeros(n)
@@ -186,15 +186,16 @@ def predict(docs: DataFrame, model: Ppm, extra: tuple[str, ...] = ()) -> DataFra
                 post = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
                 for i in np.flatnonzero(ok):
                     lang[i], best[i], rate[i] = m.langs[win[i]], post[i], least[i] / max(1, bounds[i + 1] - bounds[i])
-            out = batch.drop_columns(["_text", "_ok"])
+            out = batch.drop_columns(["_ok"] if text in extra else [text, "_ok"])
             for name, values in (("lang_pred", pa.array(lang, pa.string())), ("score", pa.array(best)), ("bits_per_byte", pa.array(rate))):
                 out = out.append_column(name, values)
             yield out
             give_back()
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), *extra, F.col("text").alias("_text"), has_letter().alias("_ok"))
-    kinds = T.StructType([*rows.schema.fields[:-2], *T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double").fields])
-    return rows.mapInArrow(score, kinds)
+    given = list(dict.fromkeys([*extra, text]))  # texts go to Python and back once
+    rows = docs.select("doc_id", held_out().alias("held_out"), *given, has_letter(text).alias("_ok"))
+    kept = [f for f in rows.schema.fields if f.name != "_ok" and (f.name != text or text in extra)]
+    return rows.mapInArrow(score, T.StructType([*kept, *T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double").fields]))
 
 
 def language_id(docs: DataFrame, **parameters) -> DataFrame:
@@ -204,5 +205,7 @@ def language_id(docs: DataFrame, **parameters) -> DataFrame:
 
 def keep_identified(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the rows whose language is undetermined; all columns stay as they are."""
-    got = predict(docs.select("doc_id", "text", packed(docs).alias("row")), fit(docs, **parameters), extra=("row",))
-    return got.filter(F.col("lang_pred") != UNDETERMINED).select(*unpacked(docs.columns))
+    names = docs.columns
+    own = [f"own_{i}" for i in range(len(names))]
+    got = predict(docs.select("doc_id", *renamed(names)), fit(docs, **parameters), tuple(own), own[names.index("text")])
+    return got.filter(F.col("lang_pred") != UNDETERMINED).select(*restored(names))
