@@ -17,6 +17,8 @@ EMPTY_LABELS = ("", "none", "null", "n/a", "na", "-", "--")
 ENTITY = "struct<id:string,text:string,type:string>"
 RELATION = "struct<subject_id:string,predicate:string,object_id:string,edge_text:string,is_conflict:boolean,subject:string,object:string>"
 ANNOTATION = f"image_id string, paper_id string, summary string, summary_annotation struct<functional_summary:string>, paper_info struct<paper_id:string>, entities array<{ENTITY}>, relations array<{RELATION}>, _corrupt_record string"
+#: Questions in a file that is one JSON array.
+ARRAY_ROWS = 20_000
 OPTION = "struct<label:string,text:string>"
 QUESTION = (
     "image_id string, paper_id string, level string, question_type string, question string, answer_type string, answer string, answer_text string, "
@@ -34,9 +36,9 @@ class Graphs:
     relations: DataFrame
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of a folder (one JSON document in a file) with file; broken files are left out."""
-    raw = spark.read.schema(ANNOTATION).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations of a folder (one JSON document in a file, or in a line) with file; broken ones are left out."""
+    raw = spark.read.schema(ANNOTATION).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     rows = raw.option("pathGlobFilter", "*.json").json(path).withColumn("file", F.input_file_name())
     return rows.filter(F.col("_corrupt_record").isNull())
 
@@ -125,12 +127,24 @@ def pending(work: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def write_questions(questions: DataFrame, path: str, jsonl: bool = True) -> None:
-    """One folder per split: JSON lines, or JSON arrays (one a partition)."""
+    """One folder per split: JSON lines, or files of JSON arrays, of about ARRAY_ROWS questions each."""
     if jsonl:
         questions.write.mode("overwrite").partitionBy("split").json(path)
-    else:
-        rows = questions.groupBy("split").agg(F.to_json(F.collect_list(F.struct(*[c for c in questions.columns if c != "split"]))).alias("value"))
-        rows.write.mode("overwrite").partitionBy("split").text(path)
+        return
+    parts = max(1, -(-questions.count() // ARRAY_ROWS))
+    part = F.pmod(F.xxhash64("image_id", "question"), F.lit(parts))
+    rows = questions.groupBy("split", part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*[c for c in questions.columns if c != "split"]))).alias("value"))
+    rows.drop("part").write.mode("overwrite").partitionBy("split").text(path)
+
+
+def write_annotations(g: Graphs, path: str) -> None:
+    """Graphs as annotations, a JSON document a line: what scan(lines=True) reads."""
+    e = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "text", "type"))).alias("e"))
+    r = g.relations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"))).alias("r"))
+    pick = lambda array, *names: F.coalesce(F.transform(array, lambda x: F.struct(*[x[n].alias(n) for n in names])), F.array())
+    rows = g.graphs.join(e, "image_id", "left").join(r, "image_id", "left")
+    rows = rows.select("image_id", "paper_id", F.struct(F.col("summary_text").alias("text")).alias("summary"), pick("e", "id", "text", "type").alias("entities"), pick("r", "subject_id", "predicate", "object_id", "edge_text", "is_conflict").alias("relations"))
+    rows.write.mode("overwrite").json(path)
 
 
 def write_manifest(statistics: DataFrame, config: dict, path: str) -> None:
@@ -140,7 +154,7 @@ def write_manifest(statistics: DataFrame, config: dict, path: str) -> None:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, image (base64) of the image files in a folder, as they are."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path).select("path", F.base64("content").alias("image"))
-
-
+    """path, image (base64) and mime of the image files in a folder, as they are; other kinds count as PNG."""
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    mime = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path).select("path", F.base64("content").alias("image"), mime.alias("mime"))

@@ -1,26 +1,30 @@
 """Readers, graph operators, display, ranking, questions and parsing on hand-written graphs."""
 
+import hashlib
 import json
+import pathlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import display, graph, paths, rank, replies
-from quillgraph.operators.providers import TableReplies, family
-from quillgraph.sources import annotations
+from quillgraph.operators import display, evaluate, graph, paths, rank, replies
+from quillgraph.operators.providers import CallingProvider, TableReplies, family, pause, retriable
+from quillgraph.sources import annotations, tables
 from quillgraph.streaming import replies as stream
 
-NAMES = ["Raw Photo", "Fault Sorter", "Grain Worker", "Blur Worker", "Glare Worker", "Workers", "Sharp Photo", "Quiet Photo", "Crisp Photo", "Even Photo"]
-FLOWS = [(0, 1, ""), (1, 2, "grain"), (1, 3, "blur"), (1, 4, " N/A "), (2, 7, ""), (3, 8, ""), (4, 9, "none")]
+NAMES = ["Seed Store", "Mill", "Dough Mixer", "Proof Room", "Oven", "Shop Counter", "Bakery Hall", "Delivery Van"]
+FLOWS = [(0, 1, "grain sacks"), (1, 2, "flour"), (2, 3, " N/A "), (3, 4, ""), (4, 5, "loaves"), (4, 7, "none"), (1, 5, "bagged flour")]
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     path = tmp_path_factory.mktemp("annotations")
     relations = [{"subject_id": f"e{a}", "predicate": "flows_to", "object_id": f"e{b}", "edge_text": t, "is_conflict": False} for a, b, t in FLOWS]
-    relations += [{"subject_id": "e5", "predicate": "contains", "object_id": f"e{k}"} for k in (2, 3, 4)]
+    relations += [{"subject_id": "e6", "predicate": "contains", "object_id": f"e{k}"} for k in (2, 3, 4)] + [{"subject_id": "e5", "predicate": "connects_to", "object_id": "e7"}]
     relations += [{"subject_id": "e0", "predicate": "sees", "object_id": "e1"}, {"subject_id": "e0", "object_id": "e0"}, {"subject_id": "e0", "object_id": "e99"}]
-    doc = {"image_id": "a", "paper_id": "p", "summary": {"text": " Sorts photos. "}, "entities": [{"id": f"e{i}", "text": n, "type": "Odd" if i else "Node"} for i, n in enumerate(NAMES)], "relations": relations}
+    doc = {"image_id": "a", "paper_id": "p", "summary": {"text": " Bakes bread. "}, "entities": [{"id": f"e{i}", "text": n, "type": "Odd" if i else "Node"} for i, n in enumerate(NAMES)], "relations": relations}
     (path / "a.json").write_text(json.dumps(doc, indent=1))
     twin = {"image_id": "b", "summary": "plain", "entities": [{"text": " Gate "}, {"text": "gate"}, {"text": "Alpha"}, {"text": "Omega"}], "relations": [{"subject_id": "e2", "object_id": "e0"}, {"subject_id": "e1", "object_id": "e3"}]}
     (path / "b.json").write_text(json.dumps(twin))
@@ -39,19 +43,26 @@ def rows(df, where="image_id = 'a'"):
 
 
 def test_loader(g):
-    assert rows(g.graphs) == [("p", "Sorts photos.")] and rows(g.graphs, "image_id = 'b'") == [(None, "plain")]
-    assert g.relations.filter("image_id = 'a'").count() == 10 and g.entities.filter("image_id = 'a' and type = 'Node'").count() == 10
-    assert sorted(r["edge_text"] for r in graph.edges_with_text(g).collect()) == ["blur", "grain"]
+    assert rows(g.graphs) == [("p", "Bakes bread.")] and rows(g.graphs, "image_id = 'b'") == [(None, "plain")]
+    assert g.relations.filter("image_id = 'a'").count() == 11 and g.entities.filter("image_id = 'a' and type = 'Node'").count() == 8
+    assert sorted(r["edge_text"] for r in graph.edges_with_text(g).collect()) == ["bagged flour", "flour", "grain sacks", "loaves"]
 
 
 def test_graph(g):
-    assert [r[1] for r in rows(graph.neighbours(g).drop("ord")) if r[0] == "e1"] == ["e2", "e3", "e4"]
-    assert rows(graph.unique_neighbour(g)) == [("e0", "e1"), ("e2", "e7"), ("e3", "e8"), ("e4", "e9")]
-    assert [r[0] for r in rows(graph.top_level(g).select("image_id", "id"))] == ["e0", "e1", "e5", "e6", "e7", "e8", "e9"]
-    assert [r[0] for r in rows(graph.root_flow(g).select("image_id", "id"))] == ["e0", "e5", "e6", "e7", "e8", "e9"]
-    assert rows(paths.main_flow(g)) == [(["e0", "e1"],)]
-    assert ("e0", "e7", ["e0", "e1", "e2", "e7"], 3) in rows(paths.shortest(g))
-    assert len(rows(paths.unique_multihop(g))) == 9
+    assert [r[1] for r in rows(graph.neighbours(g).drop("ord")) if r[0] in ("e1", "e4")] == ["e2", "e5", "e5", "e7"]
+    assert rows(graph.unique_neighbour(g)) == [("e0", "e1"), ("e2", "e3"), ("e3", "e4")]
+    assert rows(graph.neighbours(g, ("connects_to", "contains")).select("image_id", "id", "neighbour")) == [("e5", "e7"), ("e6", "e2"), ("e6", "e3"), ("e6", "e4")]
+    assert [r[0] for r in rows(graph.top_level(g).select("image_id", "id"))] == ["e0", "e1", "e5", "e6", "e7"]
+    assert [r[0] for r in rows(graph.root_flow(g).select("image_id", "id"))] == ["e0", "e6", "e7"]
+    assert rows(paths.main_flow(g)) == [(["e0", "e1", "e5"],)]
+    found = rows(paths.shortest(g))
+    assert ("e0", "e5", ["e0", "e1", "e5"], 2) in found and ("e0", "e4", ["e0", "e1", "e2", "e3", "e4"], 4) in found
+    pairs = {r[:2] for r in rows(paths.unique_multihop(g).select("image_id", "src", "tgt"))}
+    assert len(pairs) == 12 and ("e1", "e7") in pairs and ("e1", "e5") not in pairs
+    within = paths.shared_container(g, paths.shortest(g).filter("hops = 2").select("image_id", "path"))
+    assert rows(within) == [(["e2", "e3", "e4"], "e6")]
+    ids = g.entities.sparkSession.createDataFrame([("a", "e1"), ("a", "zz"), ("b", "e3")], "image_id string, id string")
+    assert sorted(map(tuple, graph.has_entity(g, ids).collect())) == [("a", "e1"), ("b", "e3")]
 
 
 def test_display(g):
@@ -61,16 +72,42 @@ def test_display(g):
 
 def test_editor_reading(spark, folder):
     e = annotations.normalize_annotation_ui(annotations.scan(spark, folder))
-    assert rows(e.relations.select("image_id", "predicate").distinct()) == [("contains",), ("flows_to",)] and e.relations.filter("image_id = 'b'").count() == 0
+    assert rows(e.relations.select("image_id", "predicate").distinct()) == [("connects_to",), ("contains",), ("flows_to",)] and e.relations.filter("image_id = 'b'").count() == 0
 
 
 def test_ranking(spark):
-    df = spark.createDataFrame([("Fast Encoder", ["Slow Encoder", "slow encoder", "Tiny-Block", "", "X" * 100])], "t string, c array<string>")
+    df = spark.createDataFrame([("Fast Encoder", ["Tiny-Block", "Slow Encoder", "", "X" * 100])], "t string, c array<string>")
     hint = F.array(F.lit("unknown"))
-    got = df.select(rank.ranked(F.col("t"), rank.prepared(F.col("c")), hint, F.array().cast("array<string>")).alias("r")).first()["r"]
+    got = df.select(rank.texts(rank.ranked(F.col("t"), rank.prepared(F.col("c")), hint, F.array().cast("array<string>"))).alias("r")).first()["r"]
     assert got == ["Slow Encoder", "Tiny-Block"]
 
 
+def test_reduced_rankings_give_the_same_pick(spark):
+    """Against the rule itself, over many random rankings."""
+    rng = random.Random(3)
+    rows = [(i, [(float(k), f"t{k}", rng.choice("abc"), rng.choice("xyz")) for k in range(rng.randrange(0, 80))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, o array<struct<s:double,text:string,first:string,last:string>>")
+    for k in (1, 2, 3, 4):
+        got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", rank.diverse(F.col("o"), k).alias("a"), rank.diverse(rank.reduced(F.col("o")), k).alias("b")).collect()}
+        for i, order in rows:
+            out, firsts, lasts = [], set(), set()
+            for _, text, first, last in order:
+                if len(out) < k and (len(out) < max(1, k // 2) or first not in firsts or last not in lasts):
+                    out.append(text)
+                    firsts.add(first)
+                    lasts.add(last)
+            assert got[i] == (out, out)
+
+
+def test_ranking_in_a_large_pool(spark):
+    pool = spark.range(50_000).select(F.concat_ws(" ", F.element_at(F.array(*map(F.lit, ("red", "blue", "old"))), (F.col("id") % 3 + 1).cast("int")), F.concat(F.lit("part"), "id")).alias("text"))
+    ready = pool.agg(F.collect_list("text").alias("texts")).select(rank.prepared(F.col("texts")).alias("pool")).cache()
+    ready.count()
+    began = time.time()
+    picked = ready.select(rank.diverse(rank.reduced(rank.ranked(F.lit("red part17"), F.col("pool"), F.array(F.lit("unknown")), F.array(F.lit("red part17")), True)), 3)).first()[0]
+    assert len(picked) == 3 and time.time() - began < 5
+
+
 def test_parsing_quirks(spark):
     raws = ["The answer is B.", "I choose option b: yes, answer: (C)", "**D**", "A. or B.", "node amber gate", "It is amber gate", "no module is enclosed", None]
     options = [("A", "amber gate"), ("B", "silver loop")]
@@ -98,3 +135,109 @@ def test_providers(spark):
     known = spark.createDataFrame([("a", "x")], "key string, raw_output string")
     assert {r["key"]: r["error"] for r in TableReplies(known).replies(work).collect()} == {"a": None, "b": "no reply"}
     assert family("o3-mini") == "openai" and family("vendor/qwen-max") == "dashscope"
+
+
+def test_question_and_manifest_files(spark, tmp_path):
+    made = [{"image_id": str(i), "question": f"q{i}", "answer": ["A", "B"] if i % 2 else "A", "options": [{"label": "A", "text": "x"}], "level": "L1"} for i in range(7)]
+    (tmp_path / "in.json").write_text(json.dumps(made))
+    q = annotations.read_questions(spark, str(tmp_path / "in.json"))
+    assert q.count() == 7 and annotations.read_questions(spark, str(tmp_path / "in.json"), 3).count() == 3
+    assert {r["answer"] for r in q.collect()} == {"A", '["A", "B"]'}
+    split = q.withColumn("split", F.when(F.col("image_id") < "4", "train").otherwise("test"))
+    for jsonl in (True, False):
+        out = tmp_path / f"out{jsonl}"
+        annotations.write_questions(split, str(out), jsonl)
+        lines = [json.loads(x) for f in (out / "split=train").glob("part*") for x in f.read_text().splitlines()]
+        held = lines if jsonl else [r for part in lines for r in part]
+        assert sorted(r["question"] for r in held) == ["q0", "q1", "q2", "q3"]
+    annotations.write_manifest(spark.createDataFrame([("train", 4), ("test", 3)], "split string, n long"), {"seed": 42}, str(tmp_path / "manifest"))
+    (text,) = [f.read_text() for f in (tmp_path / "manifest").glob("part*")]
+    assert json.loads(text) == {"config": {"seed": "42"}, "statistics": [{"split": "train", "n": 4}, {"split": "test", "n": 3}]}
+
+
+def test_cache_files(spark, tmp_path):
+    lines = [{"key": "a", "v": 1}, {"key": "b", "error": "x"}, {"key": "a", "v": 2}, {"v": 0}]
+    (tmp_path / "cache.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nno json")
+    known = annotations.read_cache(spark, str(tmp_path / "cache.jsonl"))
+    assert {r["key"]: json.loads(r["value"]) for r in known.collect()} == {"a": lines[2], "b": lines[1]}
+    work = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    assert sorted(r["key"] for r in annotations.pending(work, known).collect()) == ["b", "c"]
+
+
+def test_editor_round_trip(spark, g, folder, tmp_path):
+    """What the editor saves it reads again."""
+    editor = annotations.normalize_annotation_ui(annotations.scan(spark, folder))
+    annotations.write_annotations(editor, str(tmp_path / "saved"))
+    again = annotations.normalize_annotation_ui(annotations.scan(spark, str(tmp_path / "saved"), lines=True))
+    for part in ("graphs", "entities", "relations"):
+        a, b = (sorted(map(str, getattr(x, part).collect())) for x in (editor, again))
+        assert a == b and a
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(b"\x89PNG")
+    (tmp_path / "y.txt").write_bytes(b"no")
+    (r,) = annotations.read_images(spark, str(tmp_path)).collect()
+    assert (r["image"], r["mime"]) == ("iVBORw==", "image/png")
+
+
+def test_keys_of_questions(spark):
+    options = [("A", 'x "y"'), ("B", "é")]
+    df = spark.createDataFrame([("i", 3, "t", 'say "hi" é', options, ["A", "B"], "multi_select"), ("i", 4, "t", "q", [], ["A"], "open")], "image string, idx int, kind string, q string, o array<struct<label:string,text:string>>, a array<string>, k string")
+    got = [r[0] for r in df.select(replies.sample_id(*[F.col(c) for c in df.columns])).collect()]
+    want = []
+    for _, idx, kind, q, o, a, k in df.collect():
+        text = json.dumps({"ans": a if k == "multi_select" else a[0], "opts": [list(x) for x in o], "q": q}, ensure_ascii=False, sort_keys=True)
+        want.append(f"i::{idx}::{kind}::{hashlib.md5(text.encode()).hexdigest()[:8]}")
+    assert got == want
+
+
+def test_metrics_document(spark, sf):
+    scored = replies.score(replies.parse(tables.replies(spark, sf).unionByName(tables.multi_replies(spark, sf))))
+    rates = {r["model"]: r for r in replies.metrics_by_model(scored).collect()}
+    for r in replies.metrics_document(scored).collect():
+        own = rates[r["model"]]
+        assert abs(r["multihop_f1"] - own["multihop_f1"]) <= 5e-5 and 0 < r["multihop_f1"] < 1
+        assert sum(r["parse_stage_counts"].values()) > 0 and set(r["by_level"]) == {"L1", "L2", "L3"}
+        assert abs(own["unanswerable_correct_abstain_rate"] + own["unanswerable_hallucination_rate"] - 1) < 1e-12
+
+
+def flaky(folder):
+    class Flaky(CallingProvider):
+        """Fails twice for one prompt, always and for good for another."""
+
+        def __init__(self, folder):
+            super().__init__(retries=3, base=0.001)
+            self.folder = folder
+
+        def call(self, model, prompt):
+            tries = pathlib.Path(self.folder) / prompt
+            n = len(tries.read_text()) if tries.exists() else 0
+            tries.write_text("x" * (n + 1))
+            if prompt == "slow" and n < 2:
+                raise TimeoutError("later")
+            if prompt == "bad":
+                raise ValueError("never")
+            return f"{model} on {prompt}", 3, 4
+
+    return Flaky(folder)
+
+
+def test_calls_are_tried_again(spark, tmp_path):
+    work = spark.createDataFrame([("1", "m", "fine"), ("2", "m", "slow"), ("3", "m", "bad")], "key string, model string, prompt string")
+    got = {r["key"]: r for r in flaky(str(tmp_path)).replies(work).collect()}
+    assert (got["1"]["raw_output"], got["1"]["prompt_tokens"], got["1"]["error"]) == ("m on fine", 3, None)
+    assert got["2"]["raw_output"] == "m on slow" and len((tmp_path / "slow").read_text()) == 3
+    assert got["3"]["raw_output"] is None and got["3"]["error"].startswith("ValueError") and len((tmp_path / "bad").read_text()) == 1
+    assert retriable(TimeoutError()) and not retriable(ValueError()) and pause(10, 4.0, 0.5) == 60.0
+
+
+def test_evaluation_calls_only_what_is_missing(spark, sf, tmp_path):
+    asked = tables.replies(spark, sf).select("sample_id", "model", "level", "question_type", "answer_type", "is_unanswerable", "gold", "options").withColumn("question", F.lit("Which?")).filter("sample_id < 40 and answer_type <> 'open'")
+    known = spark.createDataFrame([("x", "{}")], "key string, value string")
+    said = asked.select(evaluate.key().alias("key"), F.lit("The answer is A.").alias("raw_output"))
+    scored = evaluate.evaluate(asked, known, TableReplies(said))
+    assert scored.count() == asked.count() and {r["parse_stage"] for r in scored.collect()} == {"regex"}
+    cached = said.select("key", F.to_json(F.struct("key", F.lit("The answer is B.").alias("raw_output"))).alias("value")).limit(3)
+    again = evaluate.evaluate(asked, cached, TableReplies(said))
+    assert sum(r["parse_letters"] == ["B"] for r in again.collect()) == 3
