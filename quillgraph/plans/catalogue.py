@@ -88,9 +88,8 @@ def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
     return made.generate(questions.TYPES), made.context
 
 
-def _verdicts(g: annotations.Graphs) -> DataFrame:
-    """Verdicts over all questions as they are made, and over the same with faults put in by turns."""
-    q, context = _every_question(g)
+def _judged(q: DataFrame, context: DataFrame) -> DataFrame:
+    """Verdicts over questions as they are made, and over the same with faults put in by turns."""
     turn = F.when(F.col("answer_type") == "open", 0).otherwise(F.pmod("image_id", F.lit(6)))
     texts = F.transform("options", lambda o, i: F.struct(o["label"].alias("label"), F.when((turn == 1) & (i == 0), F.get("options", F.lit(1))["text"]).otherwise(o["text"]).alias("text")))
     labels = F.transform("options", lambda o, i: F.struct(F.when((turn == 2) & (i == 0), "B").otherwise(o["label"]).alias("label"), o["text"].alias("text")))
@@ -208,7 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ranked_candidates": _orders(_ranked),
         "diverse_top_k": _orders(_diverse),
         "display_map": _kept(_display),
-        "validation_verdicts": _orders(_verdicts),
+        "validation_verdicts": _orders(lambda x: _judged(*_every_question(x))),
         "summary_grouping_sets": _orders(lambda x: questions.summarize(_every_question(x)[0])),
         "negative_relation_pairs": _orders(_negative),
         "split_assignment": _orders(g.splits),
