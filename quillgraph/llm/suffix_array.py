@@ -13,6 +13,8 @@ and they can be dealt to shards by content:
    the leftmost-smaller substrings, found recursively, and two linear induction passes (bucket by bucket on
    arrays, or position by position where names are many). Permuted common prefixes with the preceding suffix
    then show the classes of equal strings; all but the earliest of a class are covered.
+   The pieces of an anchor with more than CROWD different ones would crowd a shard: their strings go to shards
+   one by one, each by its own content, after equal ones were combined within a batch.
 3. Covered positions of a document are merged and cut out.
 
 Anchors in very many documents (found in a bounded sample of documents: of a share over HOT_SHARE, or over
@@ -40,9 +42,12 @@ SAMPLE = 10_000
 HOT_SHARE, HOT_DOCS = 0.05, 200_000
 #: Bytes of text for each bucket of anchors, and of pieces for each shard.
 BUCKET_BYTES, SHARD_BYTES = 6 << 20, 1 << 20
+#: Different pieces of an anchor from which on its strings go to shards by themselves, each by its own content.
+CROWD = 4096
 #: Bytes of text that are combined before items leave a task.
 PART_BYTES = 4 << 20
 COVERED = 0x80
+CROWDED = -1
 
 
 PRIME = (1 << 31) - 1
@@ -260,8 +265,9 @@ def _unpacked(bodies: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in out]
 
 
-def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
-    """doc, start, size, gram (null: covered) of a bucket's items that are covered or need a shard."""
+def _resolve(frame: pd.DataFrame, crowd: int) -> pd.DataFrame:
+    """doc, start, size, gram (null: covered, CROWDED: one of very many) of a bucket's items that are covered or need
+    a shard."""
     short, content, doc, start, size = _unpacked(frame["body"].tolist())
     done = size >= COVERED
     gone = [(doc[done], start[done], size[done] - COVERED)]
@@ -274,7 +280,8 @@ def _resolve(frame: pd.DataFrame) -> pd.DataFrame:
     several = count[group] > 1
     gone.append((doc[several], start[several], size[several]))
     doc, start, size = (np.concatenate(x) for x in zip(*gone, strict=True))
-    gram = pd.array(np.concatenate([np.zeros(len(doc) - several.sum(), np.int64), short[several].astype(np.int64) * 0x100003 + int(frame["bucket"].iloc[0])]), dtype="Int64")
+    own = np.where(count[group] > crowd, CROWDED, short.astype(np.int64) * 0x100003 + int(frame["bucket"].iloc[0]))
+    gram = pd.array(np.concatenate([np.zeros(len(doc) - several.sum(), np.int64), own[several]]), dtype="Int64")
     gram[: len(doc) - int(several.sum())] = pd.NA
     give_back()
     return pd.DataFrame({"doc": doc, "start": start.astype(np.int64), "size": size.astype(np.int64) + LENGTH, "gram": gram})
@@ -478,6 +485,52 @@ def covered_strings(data: np.ndarray, bounds: np.ndarray, docs: np.ndarray, star
     return piece[begin], offset[begin], end - begin
 
 
+def _shard_rows(shard: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+    """One row for each shard with the items that come, in order of shard, and their bytes (from begin on in data);
+    none for shards below 0, which hold what is covered."""
+    edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    bodies = []
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
+        n = size[a:b]
+        at = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bodies.append(data[at].tobytes() if shard[a] >= 0 else b"")
+    list_of = lambda x: pa.ListArray.from_arrays(pa.array(np.append(edge, len(shard)).astype(np.int32)), pa.array(x))
+    return pa.RecordBatch.from_arrays([pa.array(shard[edge]), list_of(doc), list_of(start), list_of(size), pa.array(bodies, pa.binary())], ["shard", "docs", "starts", "sizes", "body"])
+
+
+def _strings(doc: np.ndarray, start: np.ndarray, size: np.ndarray, begin: np.ndarray, data: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """The strings of crowded pieces: the first of equal ones goes to a shard, by content, the later are covered."""
+    count = size - LENGTH + 1
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, start, begin = np.repeat(doc, count), np.repeat(start, count) + step, np.repeat(begin, count) + step
+    wide = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    places = [*range(0, LENGTH - 8, 8), LENGTH - 8]
+    h = np.zeros(len(begin), np.uint64)
+    for k in places:
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + wide[begin + k])
+    order = np.lexsort((start, doc, h))
+    h, doc, start, begin = h[order], doc[order], start[order], begin[order]
+    same = np.append(False, h[1:] == h[:-1])
+    for k in places:  # neighbours in order are compared, so unlike strings with one hash stay apart
+        same[1:] &= wide[begin[1:] + k] == wide[begin[:-1] + k]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+    gone = same & ((doc != doc[first]) | (start != start[first]))
+    shard = (h % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard[~same], kind="stable")
+    yield _shard_rows(*(x[~same][order] for x in (shard, doc, start, np.full(len(h), LENGTH), begin)), data)
+    if gone.any():
+        doc, start = doc[gone], start[gone]
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        edge = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))
+        end = start[np.append(edge[1:], True)] + LENGTH
+        doc, start = doc[edge], start[edge]
+        shard = -1 - doc % shards
+        order = np.argsort(shard, kind="stable")
+        shard, doc, start, size = shard[order], doc[order], start[order], (end - start)[order]
+        yield _shard_rows(shard, doc, start, size, start, data)
+
+
 def _cut(shards: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,17 +543,16 @@ def _cut(shards: int):
             if not len(row):
                 continue
             doc = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
-            shard = (mix64(gram.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((gram, shard))
-            doc, start, size, gram, shard, begin = (x[order] for x in (doc, start, size, gram, shard, all_bounds[row] + start))
-            edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            bodies = []
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
-                n = size[a:b]
-                at = np.repeat(begin[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                bodies.append(data[at].tobytes())
-            list_of = lambda x: pa.ListArray.from_arrays(pa.array(np.append(edge, len(shard)).astype(np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([pa.array(shard[edge]), list_of(doc), list_of(start), list_of(size), pa.array(bodies, pa.binary())], ["shard", "docs", "starts", "sizes", "body"])
+            begin = all_bounds[row] + start
+            crowded = np.flatnonzero(gram == CROWDED)
+            for at in range(0, len(crowded), 2000):
+                some = crowded[at : at + 2000]
+                yield from _strings(doc[some], start[some], size[some], begin[some], data, shards)
+            plain = np.flatnonzero(gram != CROWDED)
+            if len(plain):
+                shard = (mix64(gram[plain].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                order = np.lexsort((gram[plain], shard))
+                yield _shard_rows(shard[order], *(x[plain][order] for x in (doc, start, size, begin)), data)
             give_back()
 
     return cut
@@ -509,6 +561,8 @@ def _cut(shards: int):
 def _sorted_shard(frame: pd.DataFrame) -> pd.DataFrame:
     sizes = np.concatenate(frame["sizes"].to_list()).astype(np.int64)
     docs, starts = np.concatenate(frame["docs"].to_list()), np.concatenate(frame["starts"].to_list())
+    if frame["shard"].iloc[0] < 0:  # known to be covered
+        return pd.DataFrame({"doc": docs, "start": starts, "size": sizes})
     data = np.frombuffer(b"".join(frame["body"]), np.uint8)
     piece, offset, size = covered_strings(data, np.concatenate([[0], np.cumsum(sizes)]), docs, starts)
     give_back()
@@ -555,8 +609,8 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     total = some.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_BYTES))
-    found = saved(_dealt(some, buckets, _hot_grams(some)).groupBy("bucket").applyInPandas(_resolve, "doc long, start long, size long, gram long"))
+    buckets, crowd = max(16, -(-total // BUCKET_BYTES)), CROWD
+    found = saved(_dealt(some, buckets, _hot_grams(some)).groupBy("bucket").applyInPandas(lambda frame: _resolve(frame, crowd), "doc long, start long, size long, gram long"))
     open_ = found.filter("gram is not null")
     shards = max(8, -(-int(open_.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES))
     by_doc = open_.groupBy("doc").agg(F.collect_list(F.struct("start", "size", "gram")).alias("items"))

@@ -335,9 +335,11 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", ["no", "hot", "crowded"])
 def test_repeats(docs, hot, monkeypatch):
-    if hot:  # every anchor that two sampled documents share goes by its strings
+    if hot == "crowded":  # every anchor with two different pieces sends its strings to shards by themselves
+        monkeypatch.setattr(suffix_array, "CROWD", 1)
+    if hot == "hot":  # every anchor that two sampled documents share goes by its strings
         monkeypatch.setattr(suffix_array, "_hot_grams", lambda d: np.sort(np.concatenate([suffix_array.Texts(np.frombuffer(x, np.uint8), np.array([0, len(x)])).pieces()[0] for x in [(r["text"] or "").encode() for r in d.limit(60).collect()]] or [np.zeros(0, np.uint64)])))
     rows = {(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()}
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_array.dedup(docs).collect()}
