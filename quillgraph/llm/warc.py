@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entities that are resolved, in this order; `&amp;` comes last so that nothing is resolved twice.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named entities that are resolved, in this order, after numeric ones; `&amp;` comes last so that nothing is
+#: resolved twice.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Parts of a page that are no text, then other tags, then runs of white space.
 DROPPED = (r"(?is)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>")
 BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|nav|article|header|footer|title|tr|table)(?:\s[^>]*)?/?>"
@@ -33,12 +34,26 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", _urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.md5(body.cast("binary"))).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head, body).alias("block"))
 
 
+def _numbered(html: F.Column) -> F.Column:
+    """Numeric references (&#233; or &#xE9;) as their characters; numbers that are none stay."""
+
+    def resolved(part: F.Column, i: F.Column) -> F.Column:
+        digits, sixteen = F.regexp_extract(part, r"^([0-9]{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.coalesce(F.nullif(digits, F.lit("")).cast("long"), F.conv(F.nullif(sixteen, F.lit("")), 16, 10).cast("long"))
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(63)), 8, "0")), "UTF-32")
+        return F.when(i == 0, part).when(known, F.concat(char, F.regexp_replace(part, "^[0-9A-Za-z]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.when(F.contains(html, F.lit("&#")), F.array_join(F.transform(F.split(html, "&#", -1), resolved), "")).otherwise(html)
+
+
 def plain_text(html: F.Column) -> F.Column:
     """Text of a page: no comments, scripts, styles or tags; blocks on lines of their own; entities resolved."""
     for pattern in DROPPED:
         html = F.regexp_replace(html, pattern, " ")
     html = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, BREAKS, "\n"), TAG, ""), r"[\x20\x09\x0D]+", " ")
     html = F.regexp_replace(html, r" ?\n[ \n]*", "\n")
+    html = _numbered(html)
     for name, char in ENTITIES:
         html = F.replace(html, F.lit(name), F.lit(char))
     return F.regexp_replace(html, r"^[ \n]+|[ \n]+$", "")
@@ -47,7 +62,8 @@ def plain_text(html: F.Column) -> F.Column:
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response, with the columns of it that identify it.
 
-    `metadata` holds what the response said of itself (status, content type, length, digests, count of links);
+    `metadata` holds what the response said of itself (status, content type, length, digest, count of links, and every
+    header line as it stands);
     `conversion` holds the plain text. Both refer to the response and to its digests; a block without an
     empty line is all head, and its body is empty. Null blocks count as empty. Equal rows give equal records.
     """
@@ -60,10 +76,11 @@ def derive(records: DataFrame) -> DataFrame:
         _digest(block).alias("source_block_digest"),
     )
     x = x.withColumn("source_payload_digest", _digest(F.col("_body"))).withColumn("source_status", F.regexp_extract("_head", r"^HTTP/[0-9.]+ ([0-9]+)", 1))
-    x = x.withColumn("source_type", F.regexp_extract("_head", r"(?i)\ncontent-type: ([^\r\n]*)", 1))
+    x = x.withColumn("source_type", F.regexp_extract("_head", r"(?i)\ncontent-type:[\x20\t]*([^\r\n]*)", 1))
     meta = F.concat(
         F.lit("source-status: "), F.col("source_status"), F.lit("\r\nsource-content-type: "), F.col("source_type"), F.lit("\r\nsource-length: "), F.octet_length("_body").cast("string"),
-        F.lit("\r\nsource-payload-digest: "), F.col("source_payload_digest"), F.lit("\r\nlinks: "), F.regexp_count("_body", F.lit(r"(?i)<a\s")).cast("string"), F.lit("\r\n"),
+        F.lit("\r\nsource-payload-digest: "), F.col("source_payload_digest"), F.lit("\r\nlinks: "), F.regexp_count("_body", F.lit(r"(?i)<a\s")).cast("string"),
+        F.replace(F.regexp_extract("_head", r"(?s)^[^\r\n]*(.*)$", 1), F.lit("\r\n"), F.lit("\r\nsource-header: ")), F.lit("\r\n"),
     )
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),

@@ -85,18 +85,20 @@ def test_tree_places_every_point():
 
 
 def test_warc(spark, sf):
-    rows = [(1, "http://a/", "<html><head><title>T</title><script>x<b></script></head><body><p>A &amp;lt; B</p><!-- c --><a href='x'>l</a><br/>z&nbsp;&copy;</body></html>"), (2, None, None), (2, None, None), (3, "u", ""), (4, "u", "x < y " * 5000)]
+    rows = [(1, "http://a/", "<html><head><title>T</title><script>x<b></script></head><body><p>A &amp;lt; B</p><!-- c --><a href='x'>l</a><br/>z&nbsp;&copy;</body></html>"), (2, None, None), (2, None, None), (3, "u", ""), (4, "u", "x < y " * 5000), (5, "u", "caf&#233; &#x2014; &#8217;s &#55555; &#x110000; &#; &amp;#39; &#39;q&#39; &#128512;")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, block string")
     responses = warc.responses(pages)
     made = warc.derive(responses)
     got = {(r["page_id"], r["record_type"]): r for r in made.collect()}
-    assert made.count() == 10 and got[1, "conversion"]["block"] == "T\nA &lt; B\nl\nz ©"
+    assert made.count() == 12 and got[5, "conversion"]["block"] == "café — ’s &#55555; &#x110000; &#; &#39; 'q' \U0001f600" and got[1, "conversion"]["block"] == "T\nA &lt; B\nl\nz ©"
     assert "links: 1\r\n" in got[1, "metadata"]["block"] and got[3, "conversion"]["content_length"] == 0
     ids = {r["page_id"]: r["record_id"] for r in responses.collect()}
     assert all(r["refers_to"] == ids[k[0]] and r["source_status"] == "200" for k, r in got.items())
     text = warc.serialized(made).filter("record_id = '%s'" % got[1, "conversion"]["record_id"]).first()["warc"]
     head, body = text.split("\r\n\r\n", 1)
     assert head.startswith("WARC/1.1\r\nWARC-Type: conversion") and f"WARC-Refers-To: <{ids[1]}>" in head and len(body.encode()) == got[1, "conversion"]["content_length"] + 4
+    own = warc.derive(spark.createDataFrame([(9, "r", "u", "d", "HTTP/1.1 301 Moved\r\nDate: today\r\nCONTENT-TYPE:text/x\r\nETag: \"e\"\r\n\r\nbody")], "page_id long, record_id string, target_uri string, warc_date string, block string")).filter("record_type = 'metadata'").first()
+    assert (own["source_status"], own["source_type"]) == ("301", "text/x") and own["block"].endswith('\r\nsource-header: Date: today\r\nsource-header: CONTENT-TYPE:text/x\r\nsource-header: ETag: "e"\r\n')
     odd = warc.derive(spark.createDataFrame([(9, "r", "u", "d", "no head at all"), (10, "r", "u", "d", None)], "page_id long, record_id string, target_uri string, warc_date string, block string"))
     assert {(r["page_id"], r["source_status"]) for r in odd.collect()} == {(9, ""), (10, "")}
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
