@@ -18,6 +18,18 @@ def key() -> Column:
     return F.concat_ws("::", F.lit("pred"), F.col("model"), sample)
 
 
+def asked(questions: DataFrame, models: list[str]) -> DataFrame:
+    """Questions as files have them (read_questions), put to every model: the input of evaluate()."""
+    several = F.col("answer_type") == "multi_select"
+    gold = F.when(several, F.from_json("answer", "array<string>")).otherwise(F.array("answer"))
+    name = F.md5(F.concat_ws("|", "image_id", "question_type", "question").cast("binary"))
+    rows = questions.select(
+        name.alias("sample_id"), "level", "question_type", "question", "answer_type", (F.coalesce(F.size("correct_option_indices"), F.lit(-1)) == 0).alias("is_unanswerable"), gold.alias("gold"), "options",
+        F.explode(F.array(*map(F.lit, models))).alias("model"),
+    )
+    return rows
+
+
 def evaluate(questions: DataFrame, cache: DataFrame, provider: ReplyProvider, compat: bool = True) -> DataFrame:
     """questions (sample_id, model, level, question_type, question, answer_type, is_unanswerable, gold, options) with
     replies, parsed and scored.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import reply_norm
+from ..sources.annotations import json_string
 
 # The patterns of the cascade.
 ABSTAIN = (
@@ -32,20 +33,15 @@ def prompts(questions: DataFrame) -> DataFrame:
     return questions.withColumn("prompt", F.when(F.col("answer_type") == "open", head).otherwise(F.concat(head, F.lit("\n\nOptions:\n"), lines)))
 
 
-def _quoted(x: Column) -> Column:
-    """x as a JSON string, with characters beyond ASCII as they are."""
-    return F.when(x.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
-
-
 def sample_id(image: Column, idx: Column, kind: Column, question: Column, options: Column, answer: Column, answer_type: Column) -> Column:
     """Key of a question: image::idx::type::md5 of a JSON text of answer, options and question.
 
     The text has a blank after colons and commas; an answer that is no list of several is one string.
     """
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    answers = F.when(answer_type == "multi_select", listed(F.transform(answer, _quoted))).otherwise(_quoted(F.get(answer, F.lit(0))))
-    pairs = listed(F.transform(F.coalesce(options, F.array().cast("array<struct<label:string,text:string>>")), lambda o: listed(F.array(_quoted(o["label"]), _quoted(o["text"])))))
-    body = F.concat(F.lit('{"ans": '), answers, F.lit(', "opts": '), pairs, F.lit(', "q": '), _quoted(question), F.lit("}"))
+    answers = F.when(answer_type == "multi_select", listed(F.transform(answer, json_string))).otherwise(json_string(F.get(answer, F.lit(0))))
+    pairs = listed(F.transform(F.coalesce(options, F.array().cast("array<struct<label:string,text:string>>")), lambda o: listed(F.array(json_string(o["label"]), json_string(o["text"])))))
+    body = F.concat(F.lit('{"ans": '), answers, F.lit(', "opts": '), pairs, F.lit(', "q": '), json_string(question), F.lit("}"))
     return F.concat_ws("::", image, idx.cast("string"), kind, F.substring(F.md5(body.cast("binary")), 1, 8))
 
 

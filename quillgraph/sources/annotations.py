@@ -103,9 +103,10 @@ def normalize_annotation_ui(raw: DataFrame) -> Graphs:
     return Graphs(graphs, entities.withColumn("norm_text", norm_key(F.col("text"))), relations)
 
 
-def read_questions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Question files; answers that are lists come as JSON text. `limit` keeps the first ones, to try out."""
-    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path)
+def read_questions(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Question files (a JSON array in each, or an object a line); answers that are lists come as JSON text. `limit`
+    keeps the first ones, to try out."""
+    rows = spark.read.schema(QUESTION).option("multiLine", not lines).json(path)
     return rows.limit(limit) if limit else rows
 
 
@@ -126,6 +127,34 @@ def pending(work: DataFrame, cached: DataFrame) -> DataFrame:
     return work.join(done, "key", "left_anti")
 
 
+#: Metadata that is no text but a truth value, a number or a list.
+TYPED = ("used_disambiguation", "is_unanswerable", "path_unique", "successor_count", "child_count", "path_node_ids", "intermediate_node_ids", "intermediate_displays")
+
+
+def json_string(x: Column) -> Column:
+    """x as a JSON string, with characters beyond ASCII as they are."""
+    return F.when(x.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+
+
+def question_json(multi: Column) -> Column:
+    """A question as JSON text: answers of one choice and open ones are strings, of several choices lists; indices are
+    left out of open questions, and metadata where there is none."""
+    one = lambda c: F.when(multi, F.to_json(F.col(c))).otherwise(json_string(F.get(F.col(c), F.lit(0))))
+    field = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    entry = lambda e: F.concat(json_string(e["key"]), F.lit(": "), F.when(e["key"].isin(*TYPED), e["value"]).otherwise(json_string(e["value"])))
+    meta = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), entry), ", "), F.lit("}"))
+    texts = [field(c, json_string(F.col(c).cast("string"))) for c in ("image_id", "paper_id", "level", "question_type", "question", "answer_type")]
+    more = [field("answer", one("answer")), field("options", F.to_json("options")), field("answer_text", one("answer_text"))]
+    more += [F.when(F.col("correct_option_indices").isNotNull(), field("correct_option_indices", F.to_json("correct_option_indices"))), F.when(F.size("metadata") > 0, field("metadata", meta))]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *texts, *more), F.lit("}"))
+
+
+def write_dataset(questions: DataFrame, path: str) -> None:
+    """Questions of the generators, one JSON object a line, a folder per split."""
+    lines = questions.select("split", question_json(F.col("answer_type") == "multi_select").alias("value"))
+    lines.write.mode("overwrite").partitionBy("split").text(path)
+
+
 def write_questions(questions: DataFrame, path: str, jsonl: bool = True) -> None:
     """One folder per split: JSON lines, or files of JSON arrays, of about ARRAY_ROWS questions each."""
     if jsonl:
