@@ -240,5 +240,5 @@ def oracle_sql() -> dict[str, str]:
     f1 = "answer_type = 'multi_select' AND closed AND parse_action <> 'invalid'"
     found["metrics_with_multi_select"] = REPLIES + multi + metrics(f"sum(units) FILTER ({f1}) / count(*) FILTER ({f1}) / {UNITS}") + " FROM every GROUP BY model"
     found["cache_last_wins"] = "SELECT user_id AS key, event_type AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
-    found["pending_work"] = "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')"
+    found["pending_work"] = "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)"
     return found
