@@ -182,14 +182,15 @@ def reliabilities(patterns: DataFrame) -> DataFrame:
 
 def accepted_cells(candidates: DataFrame) -> DataFrame:
     """kind, votes and features of the cells (8192 at most) that the final classifier accepts."""
-    cells = candidates.groupBy("kind", "votes", *FEATURES).agg(F.count("*").alias("n"))
+    cells = saved(candidates.groupBy("kind", "votes", *FEATURES).agg(F.count("*").alias("n")))
     p = reliabilities(cells.groupBy("kind", "votes").agg(F.sum("n").alias("n")))
     x = cells.join(p, "kind").withColumn("c", F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), _chance(F.col("votes"), F.col("p")))))
     yes, no = F.sum(F.col("n") * F.col("c")), F.sum(F.col("n") * (1 - F.col("c")))
-    x = x.join(x.groupBy("kind").agg(yes.alias("ys"), no.alias("zs")), "kind")
+    made = saved(x.drop("p"))
+    x = made.join(made.groupBy("kind").agg(yes.alias("ys"), no.alias("zs")), "kind")
     odds = F.log(F.col("c") / (1 - F.col("c")))
     for name, values in FEATURES.items():
-        own = x.groupBy("kind", name).agg(yes.alias(f"y_{name}"), no.alias(f"z_{name}"))
+        own = made.groupBy("kind", name).agg(yes.alias(f"y_{name}"), no.alias(f"z_{name}"))
         x = x.join(own, ["kind", name])
         odds = odds + F.log((F.col(f"y_{name}") + 1) / (F.col("ys") + values)) - F.log((F.col(f"z_{name}") + 1) / (F.col("zs") + values))
     return x.filter(odds > 0).select("kind", "votes", *FEATURES)
