@@ -27,7 +27,7 @@ from .common import saved
 
 K = 20
 M_DIMS = 8
-CONFIDENCE = 0.95
+CONFIDENCE = 0.8
 #: Projected points that the tree is built from, about, points for a leaf of it, and of all points in a leaf.
 SAMPLE, SAMPLE_LEAF, LEAF = 65_536, 16, 512
 #: Points, and queries, that meet in one task.
@@ -92,8 +92,10 @@ def directions(n: int) -> np.ndarray:
     return np.random.default_rng(20).standard_normal((n + 1, M_DIMS))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of the k best points for each query, ties to the smaller vec_id."""
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, known: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(query_id, vec_id, score) of the k best points for each query, ties to the smaller vec_id; only of those that
+    are not worse than the query's k-th best so far (known), where it has one."""
+    known = np.full(len(queries), -np.inf) if known is None else np.where(np.isnan(known), -np.inf, known)
     out = []
     for at in range(0, len(queries), 256):
         rough = queries[at : at + 256] @ vectors.T
@@ -101,8 +103,10 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             row[ids == query_ids[q]] = -np.inf
             least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
             # products of matrices round by position, so what is near the last place is summed again, row by row
+            least = max(least, known[q])
             some = np.flatnonzero((row >= least - 1e-9 * (1 + abs(least))) & (row > -np.inf)) if np.isfinite(least) else np.flatnonzero(row > -np.inf)
             score = np.einsum("ij,j->i", vectors[some], queries[q])
+            some, score = some[score >= known[q]], score[score >= known[q]]
             top = np.lexsort((ids[some], -score))[:k]
             out += [(int(query_ids[q]), a, b) for a, b in zip(ids[some][top].tolist(), score[top].tolist())]
     return out
@@ -170,14 +174,14 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K, confidence: floa
                     order = np.argsort(near, kind="stable")[begin:end]
                     if kth is not None and not math.isnan(kth):  # equal vectors differ by rounding
                         order = order[near[order] <= limit * max(1e-9 * (square + most), square + most - 2 * kth)]
-                    out += [(query_id, leaf) for leaf in numbers[order].tolist()]
-                yield pd.DataFrame(out, columns=["query_id", "leaf"]).astype({"query_id": "int64", "leaf": "int32"})
+                    out += [(query_id, leaf, kth) for leaf in numbers[order].tolist()]
+                yield pd.DataFrame(out, columns=["query_id", "leaf", "kth"]).astype({"query_id": "int64", "leaf": "int32", "kth": "float64"})
 
         asked = queries.withColumn("kth", F.lit(None).cast("double"))
         if best is not None:
             kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
             asked = queries.join(kth, "query_id", "left")
-        visits = saved(asked.select("query_id", "q", "square", "kth").mapInPandas(route, "query_id long, leaf int"))
+        visits = saved(asked.select("query_id", "q", "square", "kth").mapInPandas(route, "query_id long, leaf int, kth double"))
         crowd = {r["leaf"]: -(-r["n"] // QUERY_BLOCK) for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
         if not crowd:
             break
@@ -185,13 +189,13 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K, confidence: floa
         own = points.select("vec_id", "v", "leaf").join(F.broadcast(sizes), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
         own = own.select("vec_id", "v", "leaf", "part", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"))
         come = visits.join(queries.select("query_id", "v"), "query_id").join(F.broadcast(sizes), "leaf").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int"))
-        come = come.select("query_id", "v", "leaf", "crowd", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"))
+        come = come.select("query_id", "v", "kth", "leaf", "crowd", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long"))).alias("part"))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             found = []
             if len(a) and len(b):
                 a = a.sort_values("vec_id")
-                found = search(a["vec_id"].to_numpy(np.int64), np.stack(a["v"].to_numpy()), b["query_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()), k)
+                found = search(a["vec_id"].to_numpy(np.int64), np.stack(a["v"].to_numpy()), b["query_id"].to_numpy(np.int64), np.stack(b["v"].to_numpy()), k, b["kth"].to_numpy(np.float64))
             return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         key = ["leaf", "part", "crowd"]
