@@ -352,30 +352,31 @@ def _induce(t: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tails: np.nda
 
 def _induce_one_by_one(t: np.ndarray, smaller: np.ndarray, heads: np.ndarray, tails: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The same, position by position: for alphabets with few suffixes a bucket."""
-    chars, small, n = t.tolist(), smaller.tolist(), len(t)
-    sa = [-1] * n
-    fill = tails.tolist()
-    for s in seeds[::-1].tolist():
-        c = chars[s]
-        fill[c] -= 1
-        sa[fill[c]] = s
-    fill = heads.tolist()
-    c = chars[n - 1]
+    n = len(t)
+    # the character before a suffix if the one-longer suffix is larger (smaller) than it, else -1; free places are -1
+    larger_before, smaller_before = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger_before[1:n] = np.where(smaller[:-1], -1, t[:-1])
+    smaller_before[1:n] = np.where(smaller[:-1], t[:-1], -1)
+    larger_before, smaller_before = larger_before.tolist(), smaller_before.tolist()
+    sa, fill = [-1] * n, tails.tolist()
+    for s, c in zip(seeds[::-1].tolist(), t[seeds[::-1]].tolist()):
+        at = fill[c] = fill[c] - 1
+        sa[at] = s
+    fill, c = heads.tolist(), int(t[n - 1])
     sa[fill[c]] = n - 1
     fill[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = chars[j]
-            sa[fill[c]] = j
-            fill[c] += 1
+    for x in sa:  # what is placed ahead comes up later in the same loop
+        c = larger_before[x]
+        if c >= 0:
+            at = fill[c]
+            sa[at] = x - 1
+            fill[c] = at + 1
     fill = tails.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = chars[j]
-            fill[c] -= 1
-            sa[fill[c]] = j
+    for x in reversed(sa):
+        c = smaller_before[x]
+        if c >= 0:
+            at = fill[c] = fill[c] - 1
+            sa[at] = x - 1
     return np.array(sa, np.int32)
 
 
