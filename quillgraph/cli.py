@@ -45,7 +45,10 @@ def generate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     made = materialized(questions.dataset(g, args.types or None, split, args.seed, args.unanswerable, args.max_per_type))
     annotations.write_dataset(made, f"{args.output}/questions")
     counts = made.groupBy("split", "level", "question_type", "answer_type").agg(F.count("*").alias("n"))
-    config = {"types": args.types or "default", "max_per_type": args.max_per_type, "seed": args.seed, "unanswerable": args.unanswerable, "split": args.split or "none"}
+    config = {
+        "types": args.types or "default", "max_per_type": args.max_per_type, "seed": args.seed,
+        "unanswerable": args.unanswerable, "split": args.split or "none",
+    }
     annotations.write_manifest(counts, config, f"{args.output}/manifest")
     return counts
 

@@ -24,7 +24,9 @@ def asked(questions: DataFrame, models: list[str]) -> DataFrame:
     gold = F.when(several, F.from_json("answer", "array<string>")).otherwise(F.array("answer"))
     name = F.md5(F.concat_ws("|", "image_id", "question_type", "question").cast("binary"))
     rows = questions.select(
-        name.alias("sample_id"), "level", "question_type", "question", "answer_type", (F.coalesce(F.size("correct_option_indices"), F.lit(-1)) == 0).alias("is_unanswerable"), gold.alias("gold"), "options",
+        name.alias("sample_id"), "level", "question_type", "question", "answer_type", (
+            F.coalesce(F.size("correct_option_indices"), F.lit(-1)) == 0
+        ).alias("is_unanswerable"), gold.alias("gold"), "options",
         F.explode(F.array(*map(F.lit, models))).alias("model"),
     )
     return rows

@@ -80,7 +80,9 @@ def text_counts(g: Graphs) -> DataFrame:
 
 def duplicate_texts(g: Graphs) -> DataFrame:
     """Groups of entities that share a text that is not empty."""
-    d = g.entities.filter("norm_text <> ''").groupBy("image_id", "norm_text").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "id")))["id"].alias("ids"))
+    d = g.entities.filter("norm_text <> ''").groupBy("image_id", "norm_text").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "id")))["id"].alias("ids"),
+    )
     return d.filter("n > 1")
 
 
@@ -98,8 +100,12 @@ def root_flow(g: Graphs) -> DataFrame:
 
 def keyword_counts(g: Graphs, k: int = 12) -> DataFrame:
     """The k most frequent words of the summary and entity texts; ties by first occurrence."""
-    texts = g.graphs.select("image_id", F.lit(-1).cast("long").alias("ord"), F.col("summary_text").alias("text")).unionByName(g.entities.select("image_id", F.col("ord").cast("long").alias("ord"), "text"))
-    words = texts.select("image_id", "ord", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).filter((F.length("word") >= 3) & ~F.col("word").isin(*STOPWORDS))
+    texts = g.graphs.select(
+        "image_id", F.lit(-1).cast("long").alias("ord"), F.col("summary_text").alias("text"),
+    ).unionByName(g.entities.select("image_id", F.col("ord").cast("long").alias("ord"), "text"))
+    words = texts.select(
+        "image_id", "ord", F.posexplode(tokens(F.col("text"))).alias("pos", "word"),
+    ).filter((F.length("word") >= 3) & ~F.col("word").isin(*STOPWORDS))
     n = words.groupBy("image_id", "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "first"))
     return n.withColumn("rank", rank).filter(F.col("rank") <= k).select("image_id", "word", "n", "rank")

@@ -30,18 +30,61 @@ LABELS = "ABCDEF"
 STRINGS = "array<string>"
 # The phrasings.
 SAY = {
-    "element_presence_mcq": ["Which of the following labels appears in the diagram?", "Which label can be found in this figure?", "Select the label that is present in the diagram."],
-    "element_absence_mcq": ["Which of the following labels does NOT appear in the diagram?", "Select the label that is absent from this figure.", "Which option cannot be found in the diagram?"],
-    "relation_successor_hidden_abstain_mcq": ['According to the arrows in the diagram, which module does "{a}" directly point to?', 'Which module is the direct target of the arrow leaving "{a}"?', 'Looking at the diagram, which module does the arrow from "{a}" lead to?'],
-    "relation_successor_multiselect": ['According to the arrows in the diagram, which modules does "{a}" directly point to? Select all that apply.', 'Which modules are direct targets of arrows leaving "{a}"? Select all that apply.', 'Looking at the diagram, which modules do the arrows from "{a}" lead to? Select all that apply.'],
-    "relation_containment_hidden_abstain_mcq": ['Which module is visually enclosed within the boundary of "{a}" in the diagram?', 'Looking at the diagram, which module is drawn inside the box labeled "{a}"?', 'Which module appears within the visual boundary of "{a}"?'],
-    "relation_containment_multiselect": ['Which modules are visually enclosed within the boundary of "{a}" in the diagram? Select all that apply.', 'Looking at the diagram, which modules are drawn inside the box labeled "{a}"? Select all that apply.', 'Which modules appear within the visual boundary of "{a}"? Select all that apply.'],
-    "relation_edge_label_hidden_abstain_mcq": ['What is the label on the edge from "{a}" to "{b}"?', 'Which text labels the relation from "{a}" to "{b}"?', 'Select the edge label between "{a}" and "{b}".'],
-    "relation_multihop_top": ['Considering only the top-level pipeline stages, select all intermediate stages on the unique path from "{a}" to "{b}".', 'Select all intermediate top-level stages on the unique flow path from "{a}" to "{b}".', 'On the unique path from "{a}" to "{b}", which top-level pipeline stages appear in between? Select all that apply.'],
-    "relation_multihop_container": ['Within "{c}", select all intermediate stages on the unique flow path from "{a}" to "{b}".', 'Inside "{c}", which main blocks appear as intermediate stages on the unique path from "{a}" to "{b}"? Select all that apply.'],
-    "relation_conflict_mcq": ["Which of the following relations is explicitly marked as conflicting?", "Select the relation that is annotated as a conflict.", "Which relation in the diagram is labeled as conflicting?"],
-    "function_summary_open": ["Briefly summarize the overall function or purpose of the diagram.", "What does this diagram describe at a high level?", "Provide a short summary of the system or process shown in the figure."],
-}
+    "element_presence_mcq": [
+        "Which of the following labels appears in the diagram?",
+        "Which label can be found in this figure?",
+        "Select the label that is present in the diagram.",
+    ],
+    "element_absence_mcq": [
+        "Which of the following labels does NOT appear in the diagram?",
+        "Select the label that is absent from this figure.",
+        "Which option cannot be found in the diagram?",
+    ],
+    "relation_successor_hidden_abstain_mcq": [
+        'According to the arrows in the diagram, which module does "{a}" directly point to?',
+        'Which module is the direct target of the arrow leaving "{a}"?',
+        'Looking at the diagram, which module does the arrow from "{a}" lead to?',
+    ],
+    "relation_successor_multiselect": [
+        'According to the arrows in the diagram, which modules does "{a}" directly point to? Select all that apply.',
+        'Which modules are direct targets of arrows leaving "{a}"? Select all that apply.',
+        'Looking at the diagram, which modules do the arrows from "{a}" lead to? Select all that apply.',
+    ],
+    "relation_containment_hidden_abstain_mcq": [
+        'Which module is visually enclosed within the boundary of "{a}" in the diagram?',
+        'Looking at the diagram, which module is drawn inside the box labeled "{a}"?',
+        'Which module appears within the visual boundary of "{a}"?',
+    ],
+    "relation_containment_multiselect": [
+        'Which modules are visually enclosed within the boundary of "{a}" in the diagram? Select all that apply.',
+        'Looking at the diagram, which modules are drawn inside the box labeled "{a}"? Select all that apply.',
+        'Which modules appear within the visual boundary of "{a}"? Select all that apply.',
+    ],
+    "relation_edge_label_hidden_abstain_mcq": [
+        'What is the label on the edge from "{a}" to "{b}"?',
+        'Which text labels the relation from "{a}" to "{b}"?',
+        'Select the edge label between "{a}" and "{b}".',
+    ],
+    "relation_multihop_top": [
+        'Considering only the top-level pipeline stages, select all intermediate stages on the unique path from "{a}" to "{b}".',
+        'Select all intermediate top-level stages on the unique flow path from "{a}" to "{b}".',
+        'On the unique path from "{a}" to "{b}", which top-level pipeline stages appear in between? Select all that apply.',
+    ],
+    "relation_multihop_container": [
+        'Within "{c}", select all intermediate stages on the unique flow path from "{a}" to "{b}".',
+        'Inside "{c}", which main blocks appear as intermediate stages on the unique path from "{a}" to "{b}"? Select all that apply.',
+    ],
+    "relation_conflict_mcq": [
+        "Which of the following relations is explicitly marked as conflicting?",
+        "Select the relation that is annotated as a conflict.",
+        "Which relation in the diagram is labeled as conflicting?",
+    ],
+    "function_summary_open": [
+        "Briefly summarize the overall function or purpose of the diagram.",
+        "What does this diagram describe at a high level?",
+        "Provide a short summary of the system or process shown in the figure.",
+    ],
+}
 
 #: The ten types; the registry's other names are further ways to make some of them. CHECKED are validated before
 #: they are given out, the others are not.
@@ -66,7 +109,10 @@ def context(g: Graphs) -> DataFrame:
     texts), hint."""
     d = display_map(g)
     one = F.struct("ord", "id", F.col("display_text").alias("text"), F.col("used_disambiguation").alias("told"), F.col("referenced_ids").alias("refs"))
-    rows = d.groupBy("image_id").agg(F.array_sort(F.collect_list(F.when(F.col("usable"), one))).alias("shown"), F.collect_set(F.lower("raw_text")).alias("keys"))
+    rows = d.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("usable"), one))).alias("shown"),
+        F.collect_set(F.lower("raw_text")).alias("keys"),
+    )
     texts = d.filter("usable").groupBy("image_id", norm_key(F.col("display_text")).alias("k")).agg(F.min("display_text").alias("text"))
     texts = texts.groupBy("image_id").agg(F.array_sort(F.collect_list("text")).alias("texts"))
     rows = rows.join(texts, "image_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast(STRINGS)))
@@ -110,13 +156,18 @@ def drawn(rows: DataFrame, seed: int, qtype: str, *parts: str) -> DataFrame:
 def at_tries(rows: DataFrame, low: int, high: int, again: bool = True) -> DataFrame:
     """Drawn candidates by the tries (attempt, from low up to but without high) that they are taken at, by turns;
     once each where another turn cannot come out otherwise (again is false)."""
-    turns = F.filter(F.sequence(F.lit(low), F.lit(high - 1)), lambda a: (a % F.col("candidates") == F.col("place")) & (F.lit(again) | (a < F.col("candidates"))))
+    turns = F.filter(
+        F.sequence(F.lit(low), F.lit(high - 1)),
+        lambda a: (a % F.col("candidates") == F.col("place")) & (F.lit(again) | (a < F.col("candidates"))),
+    )
     return rows.filter(F.col("place") < high).withColumn("attempt", F.explode(turns)).drop("place", "candidates")
 
 
 def _option_list(seed: int, qtype: str, correct: Column, wrong: Column) -> Column:
     """Options in the order of their keys, with labels."""
-    order = F.array_sort(F.transform(F.concat(correct, wrong), lambda t: F.struct(key(seed, qtype, F.col("image_id"), "option", t).alias("k"), t.alias("text"))))
+    order = F.array_sort(
+        F.transform(F.concat(correct, wrong), lambda t: F.struct(key(seed, qtype, F.col("image_id"), "option", t).alias("k"), t.alias("text")))
+    )
     return F.transform(order, lambda o, i: F.struct(F.substring(F.lit(LABELS), i + 1, F.lit(1)).alias("label"), o["text"].alias("text")))
 
 
@@ -141,7 +192,9 @@ def assemble(rows: DataFrame, seed: int, qtype: str, level: str, phrasing: str |
     right = F.filter(F.transform("options", lambda o, i: F.when(F.array_contains("correct", o["text"]), i)), lambda i: i.isNotNull())
     rows = rows.withColumn("correct_option_indices", right)
     none = F.size("correct") == 0
-    picked = lambda field: F.when(none, F.array(F.lit(UNKNOWN))).otherwise(F.transform("correct_option_indices", lambda i: F.get("options", i)[field]))
+    picked = lambda field: F.when(none, F.array(F.lit(UNKNOWN))).otherwise(
+        F.transform("correct_option_indices", lambda i: F.get("options", i)[field])
+    )
     return rows.select(
         "image_id", "paper_id", "attempt", F.lit(level).alias("level"), F.lit(qtype).alias("question_type"), text.alias("question"), "options", picked("label").alias("answer"), picked("text").alias("answer_text"),
         "correct_option_indices", F.when(F.col("multi"), "multi_select").otherwise("single_choice").alias("answer_type"), F.col("metadata").cast("map<string,string>").alias("metadata"),
@@ -202,7 +255,10 @@ class Generator:
         coin = F.substring(key(self.seed, qtype, F.col("image_id"), F.col("attempt"), "coin"), 1, 8) > cut
         return coin if self.unanswerable < 1 else F.lit(False)
 
-    def _or_unanswerable(self, qtype: str, yes: DataFrame, no: DataFrame, finish_yes: Callable[[DataFrame], DataFrame], finish_no: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def _or_unanswerable(
+        self, qtype: str, yes: DataFrame, no: DataFrame, finish_yes: Callable[[DataFrame], DataFrame],
+        finish_no: Callable[[DataFrame], DataFrame],
+    ) -> DataFrame:
         """A try makes an answerable question where its coin says so and there is one, else an unanswerable one."""
         yes, no = (materialized(x) for x in (yes, no))
 
@@ -220,8 +276,14 @@ class Generator:
 
         def make(low: int, high: int) -> DataFrame:
             rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "keys")
-            rows = in_pool(rows, self.nodes, lambda pool: reduced(ranked(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), near=True)))
-            return assemble(rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(used_disambiguation=F.col("told"))}), self.seed, q, "L1")
+            rows = in_pool(
+                rows, self.nodes,
+                lambda pool: reduced(ranked(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), near=True)),
+            )
+            return assemble(
+                rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(used_disambiguation=F.col("told"))}),
+                self.seed, q, "L1",
+            )
 
         return self._tried(make, q)
 
@@ -258,11 +320,15 @@ class Generator:
 
         def finish_yes(rows: DataFrame) -> DataFrame:
             meta = _meta(is_unanswerable=F.lit(False), used_disambiguation=F.col("told") | F.col("other_told"))
-            return self._with_context(rows, "ready").withColumns({"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": meta})
+            return self._with_context(rows, "ready").withColumns(
+                {"a": source, "correct": F.array(target), "wrong": self._other_nodes(target, 3, _keys(source, target)), "metadata": meta}
+            )
 
         def finish_no(rows: DataFrame) -> DataFrame:
             meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit(reason), used_disambiguation=F.col("told"))
-            return self._with_context(rows, "ready").withColumns({"a": F.col("text"), "correct": F.array().cast(STRINGS), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": meta})
+            return self._with_context(rows, "ready").withColumns(
+                {"a": F.col("text"), "correct": F.array().cast(STRINGS), "wrong": self._other_nodes(F.col("text"), 4, _keys(F.col("text"))), "metadata": meta}
+            )
 
         return self._or_unanswerable(q, yes, no, finish_yes, finish_no)
 
@@ -274,13 +340,18 @@ class Generator:
 
     def _multi(self, q: str, predicate: str, names: tuple[str, str, str]) -> DataFrame:
         """Entities with two usable neighbours at least; four of them are asked for at most."""
-        linked = self._linked(predicate, True).groupBy("image_id", "id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("other_text").alias("text"))))["text"].alias("all"))
+        linked = self._linked(predicate, True).groupBy("image_id", "id").agg(
+            F.array_sort(F.collect_list(F.struct("ord", F.col("other_text").alias("text"))))["text"].alias("all")
+        )
         rows = linked.filter(F.size("all") >= 2).join(self.entities.filter("usable >= 5").drop("refs"), ["image_id", "id"])
         cast = materialized(drawn(rows.withColumn("all", F.array_distinct("all")), self.seed, q, "id"))
 
         def make(low: int, high: int) -> DataFrame:
             rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "ready")
-            wrong = self._other_nodes(F.get("all", F.lit(0)), F.greatest(F.lit(1), 4 - F.size("all")), F.concat(_keys(F.col("text")), F.transform("all", norm_key)))
+            wrong = self._other_nodes(
+                F.get("all", F.lit(0)), F.greatest(F.lit(1), 4 - F.size("all")),
+                F.concat(_keys(F.col("text")), F.transform("all", norm_key)),
+            )
             rows = rows.withColumn("wrong", wrong).withColumn("correct", F.slice("all", 1, 4))
             room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("correct") + 2)) - F.size("correct")
             meta = _meta(**{"used_disambiguation": F.col("told"), names[0]: F.col("id"), names[1]: F.col("text"), names[2]: F.size("correct")})
@@ -297,7 +368,9 @@ class Generator:
     def edge_label(self) -> DataFrame:
         """Of graphs with a labelled edge: the label of an edge, or of a pair that has none; four labels at least are in the pool."""
         q = "relation_edge_label_hidden_abstain_mcq"
-        ends = lambda side: self.entities.select("image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side), F.col("told").alias(f"{side}_told"))
+        ends = lambda side: self.entities.select(
+            "image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side), F.col("told").alias(f"{side}_told"),
+        )
         labelled = edges_with_text(self.g)
         edge = labelled.select("image_id", "ord", F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id"), clean(F.col("edge_text")).alias("label"))
         yes = drawn(edge.join(ends("a"), ["image_id", "a_id"]).join(ends("b"), ["image_id", "b_id"]), self.seed, q, "ord")
@@ -305,9 +378,15 @@ class Generator:
         named = labelled.groupBy("image_id", F.col("subject_id").alias("a_id")).agg(F.collect_set("object_id").alias("named"))
         two = self.context.join(labelled.select("image_id"), "image_id", "left_semi").select("image_id", "shown", F.explode("shown").alias("x")).withColumn("a_id", F.col("x.id"))
         two = two.join(named, ["image_id", "a_id"], "left").withColumn("shut", F.array_append(F.coalesce("named", F.array().cast(STRINGS)), F.col("a_id")))
-        others = F.transform(F.filter("shown", lambda y: ~F.array_contains("shut", y["id"])), lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")))
+        others = F.transform(
+            F.filter("shown", lambda y: ~F.array_contains("shut", y["id"])),
+            lambda y: F.struct(key(self.seed, q, F.col("image_id"), F.col("x.id"), y["id"]).alias("k"), y.alias("y")),
+        )
         two = two.select("image_id", "x", F.explode(F.slice(F.array_sort(others), 1, attempts(self.limit))).alias("p"))
-        two = two.select("image_id", F.col("x.id").alias("a_id"), F.col("x.text").alias("a"), F.col("x.told").alias("a_told"), F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"))
+        two = two.select(
+            "image_id", F.col("x.id").alias("a_id"), F.col("x.text").alias("a"), F.col("x.told").alias("a_told"),
+            F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"),
+        )
         no = drawn(two, self.seed, q, "a_id", "b_id")
         first = self.labels.select("size", "slices").first()
         if first is None or first["size"] < 4:
@@ -316,12 +395,16 @@ class Generator:
 
         def finish_yes(rows: DataFrame) -> DataFrame:
             rows = in_pool(self._with_context(rows), self.labels, lambda pool: reduced(ranked(F.col("label"), pool, F.col("hint"), _keys(F.col("label")))))
-            return rows.withColumns({"correct": F.array("label"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=told)})
+            return rows.withColumns(
+                {"correct": F.array("label"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=told)}
+            )
 
         def finish_no(rows: DataFrame) -> DataFrame:
             # a label to rank by is drawn for each try
             luck = number(key(self.seed, q, F.col("image_id"), F.col("attempt"), "like"))
-            rows = self._with_context(rows).withColumn("slice", F.pmod(luck, F.lit(first["slices"] if first else 1)).cast("int")).join(self.labels.select("slice", "texts"), "slice").drop("slice")
+            rows = self._with_context(rows).withColumn(
+                "slice", F.pmod(luck, F.lit(first["slices"] if first else 1)).cast("int"),
+            ).join(self.labels.select("slice", "texts"), "slice").drop("slice")
             rows = rows.withColumn("like", F.get("texts", F.pmod(luck, F.size("texts")).cast("int"))).drop("texts")
             rows = in_pool(rows, self.labels, lambda pool: reduced(ranked(F.col("like"), pool, F.col("hint"), _keys(F.col("like")))))
             meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=told)
@@ -344,10 +427,14 @@ class Generator:
         rows = self._with_context(paths.join(members, ["image_id", "scope"]), "shown", "ready", "keys")
         rows = rows.withColumn("of", F.map_from_entries(F.transform("shown", lambda s: F.struct(s["id"], s))))
         shown = lambda i: F.try_element_at("of", i)
-        rows = rows.withColumns({"src_": shown(F.col("src")), "tgt_": shown(F.col("tgt")), "middle": F.slice("path", F.lit(2), F.size("path") - 2)}).filter("src_ is not null and tgt_ is not null")
+        rows = rows.withColumns(
+            {"src_": shown(F.col("src")), "tgt_": shown(F.col("tgt")), "middle": F.slice("path", F.lit(2), F.size("path") - 2)}
+        ).filter("src_ is not null and tgt_ is not null")
         rows = rows.withColumn("mid", F.transform("middle", shown)).withColumn("between", F.transform("mid", lambda s: s["text"])).filter(F.forall("between", lambda t: t.isNotNull()))
         ends = F.concat_ws("\n", norm_key(F.col("src_.text")), norm_key(F.col("tgt_.text")))
-        rows = rows.filter(~F.arrays_overlap(F.concat("src_.refs", "tgt_.refs"), F.col("middle")) & ~F.exists("between", lambda t: F.contains(ends, norm_key(t))))
+        rows = rows.filter(
+            ~F.arrays_overlap(F.concat("src_.refs", "tgt_.refs"), F.col("middle")) & ~F.exists("between", lambda t: F.contains(ends, norm_key(t)))
+        )
         rows = rows.withColumn("box", shown(F.col("scope"))).filter("scope = '' or box is not null")
         order = Window.partitionBy("image_id").orderBy(F.col("scope") != "", F.desc("hops"), key(self.seed, q, F.col("image_id"), F.col("scope")), "src", "tgt")
         paths = materialized(rows.withColumn("attempt", F.row_number().over(order) - 1).drop("of"))  # all paths are tried here
@@ -361,8 +448,17 @@ class Generator:
             near = F.transform(F.filter("shown", lambda s: F.array_contains("members", s["id"]) & ~F.array_contains("path", s["id"])), lambda s: s["text"])
             rows = rows.withColumn("picked", diverse(ranked(like, of(near), F.col("hint"), shut, near=True), least))
             wide = F.transform(F.filter("shown", lambda s: ~F.array_contains("path", s["id"])), lambda s: s["text"])
-            rows = rows.withColumn("picked", F.concat("picked", diverse(ranked(like, of(wide), F.col("hint"), F.concat(shut, F.transform("picked", norm_key)), near=True), least - F.size("picked"))))
-            rows = in_pool(rows, self.nodes, lambda pool: reduced(ranked(like, pool, F.col("hint"), F.concat(shut, F.col("keys"), F.transform("picked", norm_key)), near=True)))
+            rows = rows.withColumn(
+                "picked",
+                F.concat(
+                    "picked",
+                    diverse(ranked(like, of(wide), F.col("hint"), F.concat(shut, F.transform("picked", norm_key)), near=True), least - F.size("picked")),
+                ),
+            )
+            rows = in_pool(
+                rows, self.nodes,
+                lambda pool: reduced(ranked(like, pool, F.col("hint"), F.concat(shut, F.col("keys"), F.transform("picked", norm_key)), near=True)),
+            )
             wrong = F.concat("picked", diverse(F.col("found"), least - F.size("picked")))
             room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("between") + 2)) - F.size("between")
             told = F.col("src_.told") | F.col("tgt_.told") | F.exists("mid", lambda s: s["told"])
@@ -370,7 +466,12 @@ class Generator:
                 used_disambiguation=told, path_scope=F.when(F.col("scope") == "", "top_level_only").otherwise("local_container"), path_unique=F.lit(True), src_id=F.col("src"), src_display=F.col("src_.text"),
                 tgt_id=F.col("tgt"), tgt_display=F.col("tgt_.text"), path_node_ids=F.to_json("path"), intermediate_node_ids=F.to_json("middle"), intermediate_displays=F.to_json("between"), scope_container=F.col("box.text"), scope_container_id=F.nullif("scope", F.lit("")),
             )
-            rows = rows.withColumns({"correct": F.col("between"), "wrong": F.slice(wrong, F.lit(1), room), "a": F.col("src_.text"), "b": F.col("tgt_.text"), "c": F.col("box.text"), "metadata": meta})
+            rows = rows.withColumns(
+                {
+                    "correct": F.col("between"), "wrong": F.slice(wrong, F.lit(1), room), "a": F.col("src_.text"),
+                    "b": F.col("tgt_.text"), "c": F.col("box.text"), "metadata": meta,
+                }
+            )
             multi = F.size("correct") > 1
             made = [assemble(rows.filter(f"scope {op} ''"), self.seed, q, "L2", f"relation_multihop_{name}", multi) for op, name in (("=", "top"), ("<>", "container"))]
             return made[0].unionByName(made[1])
@@ -382,14 +483,24 @@ class Generator:
         ends = lambda side: self.entities.select("image_id", F.col("id").alias(f"{side}_id"), F.col("text").alias(side))
         said = self.g.relations.join(ends("subject"), ["image_id", "subject_id"]).join(ends("object"), ["image_id", "object_id"])
         said = said.select("image_id", "ord", F.concat_ws(" ", "subject", "predicate", "object").alias("text"), "is_conflict")
-        said = said.groupBy("image_id", norm_key(F.col("text")).alias("k")).agg(F.min_by("text", "ord").alias("text"), F.bool_or("is_conflict").alias("is_conflict"))
+        said = said.groupBy("image_id", norm_key(F.col("text")).alias("k")).agg(
+            F.min_by("text", "ord").alias("text"), F.bool_or("is_conflict").alias("is_conflict"),
+        )
         all_ = materialized(said.groupBy("image_id").agg(F.array_sort(F.collect_list("text")).alias("all")))
         cast = materialized(drawn(said.filter("is_conflict").select("image_id", "text"), self.seed, q, "text"))
 
         def make(low: int, high: int) -> DataFrame:
             rows = at_tries(self._wanting(cast, low), low, high, self.limit > 1).join(all_, "image_id").join(self.g.graphs, "image_id")
-            others = F.array_sort(F.transform(F.filter("all", lambda t: t != F.col("text")), lambda t: F.struct(key(self.seed, q, F.col("image_id"), F.col("attempt"), t).alias("k"), t.alias("text"))))
-            return assemble(rows.withColumns({"correct": F.array("text"), "wrong": F.slice(others["text"], 1, 3), "metadata": F.create_map().cast(NOTHING)}), self.seed, q, "L3")
+            others = F.array_sort(
+                F.transform(
+                    F.filter("all", lambda t: t != F.col("text")),
+                    lambda t: F.struct(key(self.seed, q, F.col("image_id"), F.col("attempt"), t).alias("k"), t.alias("text")),
+                )
+            )
+            return assemble(
+                rows.withColumns({"correct": F.array("text"), "wrong": F.slice(others["text"], 1, 3), "metadata": F.create_map().cast(NOTHING)}),
+                self.seed, q, "L3",
+            )
 
         return self._tried(make, q)
 
@@ -434,7 +545,10 @@ class Generator:
         return reduce(DataFrame.unionByName, made)
 
 
-def dataset(g: Graphs, types: list[str] | None = None, split: tuple[float, float, float] | None = (0.8, 0.1, 0.1), seed: int = 42, unanswerable: float = 0.5, limit: int = 1) -> DataFrame:
+def dataset(
+    g: Graphs, types: list[str] | None = None, split: tuple[float, float, float] | None = (0.8, 0.1, 0.1), seed: int = 42,
+    unanswerable: float = 0.5, limit: int = 1,
+) -> DataFrame:
     """The questions of all graphs with their split; without ratios all are of one split, `all`.
 
     Every split has a generator of its own, so no option of one split is taken from the texts of another.

@@ -40,7 +40,12 @@ def sample_id(image: Column, idx: Column, kind: Column, question: Column, option
     """
     listed = lambda items: F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
     answers = F.when(answer_type == "multi_select", listed(F.transform(answer, json_string))).otherwise(json_string(F.get(answer, F.lit(0))))
-    pairs = listed(F.transform(F.coalesce(options, F.array().cast("array<struct<label:string,text:string>>")), lambda o: listed(F.array(json_string(o["label"]), json_string(o["text"])))))
+    pairs = listed(
+        F.transform(
+            F.coalesce(options, F.array().cast("array<struct<label:string,text:string>>")),
+            lambda o: listed(F.array(json_string(o["label"]), json_string(o["text"]))),
+        )
+    )
     body = F.concat(F.lit('{"ans": '), answers, F.lit(', "opts": '), pairs, F.lit(', "q": '), json_string(question), F.lit("}"))
     return F.concat_ws("::", image, idx.cast("string"), kind, F.substring(F.md5(body.cast("binary")), 1, 8))
 
@@ -100,7 +105,10 @@ def judged(reply: Column, multi: bool) -> Column:
     action = F.get_json_object(obj, "$.action")
     action = F.coalesce(F.when(action.isin(*ACTIONS), action), F.lit("invalid"))
     if not multi:
-        return F.struct(action.alias("action"), F.when(action == "selected", F.get_json_object(obj, "$.letter")).alias("letter"), F.lit(None).cast("array<string>").alias("letters"))
+        return F.struct(
+            action.alias("action"), F.when(action == "selected", F.get_json_object(obj, "$.letter")).alias("letter"),
+            F.lit(None).cast("array<string>").alias("letters"),
+        )
     said = F.from_json(F.get_json_object(obj, "$.letters"), "array<string>")
     letters = F.array_distinct(F.filter(F.transform(F.coalesce(said, F.array().cast("array<string>")), F.upper), lambda x: F.contains(F.lit("ABCDEF"), x)))
     action = F.when((action == "selected") & (F.size(letters) == 0), "invalid").otherwise(action)
@@ -117,7 +125,9 @@ def parse(replies: DataFrame, compat: bool = True) -> DataFrame:
     text = F.array(option_hit(raw, F.col("options"), compat))
     many = stated_letters(raw, compat)
     x = replies.withColumn("_abstains", abstains(raw))
-    x = x.withColumn("_regex", F.when(multi, many).when(F.get(one, F.lit(0)).isNotNull(), one)).withColumn("_text", F.when(~multi & F.get(text, F.lit(0)).isNotNull(), text))
+    x = x.withColumn(
+        "_regex", F.when(multi, many).when(F.get(one, F.lit(0)).isNotNull(), one),
+    ).withColumn("_text", F.when(~multi & F.get(text, F.lit(0)).isNotNull(), text))
     x = x.withColumn("_judge", F.when(multi, judged(F.col("judge_reply"), True)).otherwise(judged(F.col("judge_reply"), False)))
     stage = F.when(F.col("_abstains"), "abstain_rule").when(F.col("_regex").isNotNull(), "regex").when(F.col("_text").isNotNull(), "substring").otherwise("judge")
     x = x.withColumn("parse_stage", stage)
@@ -198,7 +208,9 @@ def metrics_document(scored: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.typeName() for f in rates.schema.fields}
     rates = rates.select("model", *[F.round(c, 4).alias(c) if kinds[c] == "double" else F.col(c) for c in rates.columns if c not in ("model", "n")])
     for name, column in (("by_level", "level"), ("by_qtype", "question_type")):
-        part = metrics_by(scored, column).groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, F.round(F.col("units") / F.col("n") / UNITS, 4).alias("v"))))).alias(name))
+        part = metrics_by(scored, column).groupBy("model").agg(
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, F.round(F.col("units") / F.col("n") / UNITS, 4).alias("v"))))).alias(name)
+        )
         rates = rates.join(part, "model", "left")
     stages = stage_counts(scored).groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("parse_stage", "n"))).alias("parse_stage_counts"))
     return rates.join(stages, "model", "left")

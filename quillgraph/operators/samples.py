@@ -44,7 +44,9 @@ def absence_text(g: Graphs, pool: DataFrame, seed: int = SEED) -> DataFrame:
     rank = pool.select("key", "text", (F.row_number().over(_by_key()) - 1).alias("place"))
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("absence"), "image_id").cast("binary")), 1, 8), 16, 10).cast("long") % n
     sizes = present.groupBy("image_id").agg(F.count("*").alias("n"))
-    walk = sizes.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(n - 1)))).alias("step")).withColumn("place", (start + F.col("step")) % n)
+    walk = sizes.select(
+        "image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(n - 1)))).alias("step"),
+    ).withColumn("place", (start + F.col("step")) % n)
     absent = walk.join(rank, "place").join(present.withColumnRenamed("norm_text", "key"), ["image_id", "key"], "left_anti")
     return absent.groupBy("image_id").agg(F.min_by("text", "step").alias("text"))
 

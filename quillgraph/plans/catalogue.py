@@ -40,12 +40,18 @@ def _path(df: DataFrame) -> DataFrame:
 
 def _signatures(g: annotations.Graphs) -> DataFrame:
     x = graph.node_pool(g).withColumn("s", signature(F.col("text")))
-    return x.select("text", "s.token_count", "s.char_length", "s.has_hyphen", "s.suffix_type", F.array_join(F.array_sort("s.keywords"), " ").alias("keywords"), F.array_join(F.array_sort(domains(keywords(F.col("text")))), " ").alias("domains"))
+    return x.select(
+        "text", "s.token_count", "s.char_length", "s.has_hyphen", "s.suffix_type",
+        F.array_join(F.array_sort("s.keywords"), " ").alias("keywords"),
+        F.array_join(F.array_sort(domains(keywords(F.col("text")))), " ").alias("domains"),
+    )
 
 
 def _scores(g: annotations.Graphs) -> DataFrame:
     e = g.entities.select("image_id", "id", clean(F.col("text")).alias("text"))
-    two = e.join(e.withColumnsRenamed({"id": "candidate_id", "text": "candidate"}), "image_id").filter("id <> candidate_id").join(graph.domain_hints(g), "image_id")
+    two = e.join(
+        e.withColumnsRenamed({"id": "candidate_id", "text": "candidate"}), "image_id",
+    ).filter("id <> candidate_id").join(graph.domain_hints(g), "image_id")
     own = score(signature(F.col("text")), signature(F.col("candidate")), F.col("domains"), domains(keywords(F.col("candidate"))))
     return two.select("image_id", "id", "candidate_id", own.alias("score"))
 
@@ -53,7 +59,9 @@ def _scores(g: annotations.Graphs) -> DataFrame:
 def _targets(g: annotations.Graphs, near: bool) -> DataFrame:
     """Every entity with the ranking of the other texts of its graph."""
     texts = g.entities.groupBy("image_id", "norm_text").agg(F.min(clean(F.col("text"))).alias("text")).groupBy("image_id").agg(F.collect_list("text").alias("texts"))
-    rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(texts.select("image_id", rank.prepared(F.col("texts")).alias("ready")), "image_id").join(graph.domain_hints(g), "image_id")
+    rows = g.entities.select("image_id", "id", clean(F.col("text")).alias("text")).join(
+        texts.select("image_id", rank.prepared(F.col("texts")).alias("ready")), "image_id",
+    ).join(graph.domain_hints(g), "image_id")
     return rows.withColumn("order", rank.ranked(F.col("text"), F.col("ready"), F.col("domains"), F.array(norm_key(F.col("text"))), near))
 
 
@@ -66,7 +74,10 @@ def _diverse(g: annotations.Graphs) -> DataFrame:
 
 
 def _display(g: annotations.Graphs) -> DataFrame:
-    return display.display_map(g).select("image_id", "id", "display_text", "usable", "used_disambiguation", F.array_join(F.array_sort("referenced_ids"), ",").alias("referenced_ids"))
+    return display.display_map(g).select(
+        "image_id", "id", "display_text", "usable", "used_disambiguation",
+        F.array_join(F.array_sort("referenced_ids"), ",").alias("referenced_ids"),
+    )
 
 
 def _flat(q: DataFrame, *more: str) -> DataFrame:
@@ -75,7 +86,9 @@ def _flat(q: DataFrame, *more: str) -> DataFrame:
     meta = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
     return q.select(
         "image_id", "paper_id", "level", "question_type", "question", options.alias("options"), F.array_join("answer", ",").alias("answer"), F.array_join("answer_text", "|").alias("answer_text"),
-        F.array_join(F.transform("correct_option_indices", lambda i: i.cast("string")), ",").alias("correct_option_indices"), "answer_type", meta.alias("metadata"), *more,
+        F.array_join(
+            F.transform("correct_option_indices", lambda i: i.cast("string")), ",",
+        ).alias("correct_option_indices"), "answer_type", meta.alias("metadata"), *more,
     )
 
 
@@ -91,10 +104,18 @@ def _every_question(g: annotations.Graphs) -> tuple[DataFrame, DataFrame]:
 def _judged(q: DataFrame, context: DataFrame) -> DataFrame:
     """Verdicts over questions as they are made, and over the same with faults put in by turns."""
     turn = F.when(F.col("answer_type") == "open", 0).otherwise(F.pmod("image_id", F.lit(6)))
-    texts = F.transform("options", lambda o, i: F.struct(o["label"].alias("label"), F.when((turn == 1) & (i == 0), F.get("options", F.lit(1))["text"]).otherwise(o["text"]).alias("text")))
+    texts = F.transform(
+        "options", lambda o,
+        i: F.struct(o["label"].alias("label"), F.when((turn == 1) & (i == 0), F.get("options", F.lit(1))["text"]).otherwise(o["text"]).alias("text")),
+    )
     labels = F.transform("options", lambda o, i: F.struct(F.when((turn == 2) & (i == 0), "B").otherwise(o["label"]).alias("label"), o["text"].alias("text")))
-    spoiled = q.withColumn("correct_option_indices", F.when(turn == 3, F.array(F.lit(7))).otherwise(F.col("correct_option_indices"))).withColumn("answer", F.when(turn == 4, F.array(F.lit("F"))).otherwise(F.col("answer")))
-    spoiled = spoiled.withColumn("options", F.when(turn == 1, texts).when(turn == 2, labels).when(turn == 5, F.slice("options", 1, 1)).otherwise(F.col("options")))
+    spoiled = q.withColumn(
+        "correct_option_indices", F.when(turn == 3, F.array(F.lit(7))).otherwise(F.col("correct_option_indices")),
+    ).withColumn("answer", F.when(turn == 4, F.array(F.lit("F"))).otherwise(F.col("answer")))
+    spoiled = spoiled.withColumn(
+        "options",
+        F.when(turn == 1, texts).when(turn == 2, labels).when(turn == 5, F.slice("options", 1, 1)).otherwise(F.col("options")),
+    )
     both = q.withColumn("spoiled", F.lit(False)).unionByName(spoiled.withColumn("spoiled", F.lit(True)))
     return validate.verdicts(both, context).groupBy("question_type", "spoiled", "ok", "reason").agg(F.count("*").alias("n"))
 
@@ -123,7 +144,9 @@ def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as work; orders are their cached replies, four of five with an error."""
     work = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
-    cached = tables.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 5 != 0, '{"error": "x"}').otherwise("{}").alias("value"))
+    cached = tables.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 5 != 0, '{"error": "x"}').otherwise("{}").alias("value"),
+    )
     return annotations.pending(work, cached)
 
 
@@ -154,7 +177,13 @@ def _probes(g: annotations.Graphs) -> DataFrame:
 
 def _sample_ids(rows: DataFrame) -> DataFrame:
     x = rows.withColumn("question", F.concat(F.lit("Which \"one\" is "), "sample_id", F.lit("?")))
-    return x.select("sample_id", replies.sample_id(F.col("model"), F.col("sample_id"), F.col("question_type"), F.col("question"), F.col("options"), F.col("gold"), F.col("answer_type")).alias("key"))
+    return x.select(
+        "sample_id",
+        replies.sample_id(
+            F.col("model"), F.col("sample_id"), F.col("question_type"), F.col("question"), F.col("options"), F.col("gold"),
+            F.col("answer_type"),
+        ).alias("key"),
+    )
 
 
 def _dataset(g: annotations.Graphs) -> DataFrame:
@@ -177,14 +206,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "entity_lookup_last_wins": _orders(g.entity_lookup),
         "find_ids_exact": _orders(lambda x: g.find_ids(x, " Brand#11 ").select("image_id", "id")),
         "find_ids_substring": _orders(lambda x: g.find_ids(x, "and#2", exact=False).select("image_id", "id")),
-        "edge_exists": lambda spark, d: (lambda x: g.edge_exists(x, x.relations.select("image_id", F.col("object_id").alias("subject_id"), F.col("subject_id").alias("object_id")).distinct()))(tables.event_graphs(spark, d)),
+        "edge_exists": lambda spark, d: (
+            lambda x: g.edge_exists(
+                x,
+                x.relations.select("image_id", F.col("object_id").alias("subject_id"), F.col("subject_id").alias("object_id")).distinct(),
+            )
+        )(tables.event_graphs(spark, d)),
         "edge_text_first": _orders(g.first_edge_text),
         "successors": _orders(lambda x: g.neighbours(x).select("image_id", "id", "neighbour")),
         "predecessors": _orders(lambda x: g.neighbours(x, forward=False).select("image_id", "id", "neighbour")),
         "children": _orders(lambda x: g.neighbours(x, "contains").select("image_id", "id", "neighbour")),
         "parents": _orders(lambda x: g.neighbours(x, "contains", forward=False).select("image_id", "id", "neighbour")),
         "connected_neighbors": lambda spark, d: g.neighbours(tables.event_graphs(spark, d), "connects_to").select("image_id", "id", "neighbour"),
-        "neighbours_of_two_predicates": lambda spark, d: g.neighbours(tables.event_graphs(spark, d), {"connects_to", "contains"}, forward=False).select("image_id", "id", "neighbour"),
+        "neighbours_of_two_predicates": lambda spark, d: g.neighbours(
+            tables.event_graphs(spark, d), {"connects_to", "contains"}, forward=False,
+        ).select("image_id", "id", "neighbour"),
         "has_entity": _orders(lambda x: g.has_entity(x, _probes(x))),
         "pairs_by_predicate": _orders(lambda x: g.pairs(x, "flows_to", include_conflict=True)),
         "unique_successor": _orders(g.unique_neighbour),
@@ -228,7 +264,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_stage2_substring": _replies(lambda r: r.select("sample_id", replies.option_hit(F.col("raw_output"), F.col("options")).alias("letter"))),
         "parse_cascade": _replies(_parsed),
         "parse_multi": _replies(_parsed, tables.multi_replies),
-        "parse_multi_fixed": _replies(lambda r: replies.parse(r, compat=False).select("sample_id", "parse_action", F.array_join("parse_letters", ",").alias("letters"), "parse_stage"), tables.multi_replies),
+        "parse_multi_fixed": _replies(
+            lambda r: replies.parse(r, compat=False).select("sample_id", "parse_action", F.array_join("parse_letters", ",").alias("letters"), "parse_stage"),
+            tables.multi_replies,
+        ),
         "score_single": _replies(lambda r: _scored(r).select("sample_id", "correct")),
         "score_multi_f1": _replies(lambda r: _scored(r).select("sample_id", "correct", "f1_units"), tables.multi_replies),
         "metrics_by_model": _replies(lambda r: replies.metrics_by_model(_scored(r))),

@@ -66,7 +66,10 @@ def normalize(raw: DataFrame) -> Graphs:
     """Entities keep repeated ids; relations of unknown predicates or ends, and self-loops, are dropped."""
     graphs = raw.select("image_id", "paper_id", _summary().alias("summary_text"))
     e = raw.select("image_id", F.posexplode("entities").alias("ord", "e"))
-    entities = e.select("image_id", "ord", _id(F.col("ord"), F.col("e.id")).alias("id"), F.trim(F.coalesce("e.text", F.lit(""))).alias("text"), F.when(F.col("e.type").isin(*ENTITY_TYPES), F.col("e.type")).otherwise("Node").alias("type"))
+    entities = e.select(
+        "image_id", "ord", _id(F.col("ord"), F.col("e.id")).alias("id"), F.trim(F.coalesce("e.text", F.lit(""))).alias("text"),
+        F.when(F.col("e.type").isin(*ENTITY_TYPES), F.col("e.type")).otherwise("Node").alias("type"),
+    )
     r = raw.select("image_id", F.posexplode("relations").alias("ord", "r"))
     relations = r.select(
         "image_id", "ord", F.trim(F.coalesce("r.subject_id", F.lit(""))).alias("subject_id"), F.trim(F.coalesce("r.predicate", F.lit("flows_to"))).alias("predicate"),
@@ -78,8 +81,12 @@ def normalize(raw: DataFrame) -> Graphs:
 def clean_graphs(graphs: DataFrame, entities: DataFrame, relations: DataFrame) -> Graphs:
     entities = entities.withColumn("norm_text", norm_key(F.col("text")))
     ids = entities.select("image_id", "id").distinct()
-    kept = relations.filter(F.col("predicate").isin(*PREDICATES) & (F.col("subject_id") != F.col("object_id"))).withColumn("edge_text", label(F.col("edge_text")))
-    kept = kept.join(ids.withColumnRenamed("id", "subject_id"), ["image_id", "subject_id"], "left_semi").join(ids.withColumnRenamed("id", "object_id"), ["image_id", "object_id"], "left_semi")
+    kept = relations.filter(
+        F.col("predicate").isin(*PREDICATES) & (F.col("subject_id") != F.col("object_id"))
+    ).withColumn("edge_text", label(F.col("edge_text")))
+    kept = kept.join(
+        ids.withColumnRenamed("id", "subject_id"), ["image_id", "subject_id"], "left_semi",
+    ).join(ids.withColumnRenamed("id", "object_id"), ["image_id", "object_id"], "left_semi")
     return Graphs(graphs, entities, kept.select("image_id", "ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"))
 
 
@@ -97,7 +104,9 @@ def normalize_annotation_ui(raw: DataFrame) -> Graphs:
     entities = e.select("image_id", order.alias("ord"), F.concat(F.lit("e"), order).alias("id"), "text", kind.alias("type"))
     r = raw.select("image_id", F.posexplode("relations").alias("ord", "r")).join(ids_fit.filter("fit"), "image_id", "left_semi")
     relations = r.select(
-        "image_id", "ord", F.coalesce("r.subject_id", "r.subject", F.lit("")).alias("subject_id"), F.when(F.col("r.predicate").isin(*PREDICATES), F.col("r.predicate")).otherwise("flows_to").alias("predicate"),
+        "image_id", "ord", F.coalesce("r.subject_id", "r.subject", F.lit("")).alias("subject_id"), F.when(
+            F.col("r.predicate").isin(*PREDICATES), F.col("r.predicate"),
+        ).otherwise("flows_to").alias("predicate"),
         F.coalesce("r.object_id", "r.object", F.lit("")).alias("object_id"), F.trim(F.coalesce("r.edge_text", F.lit(""))).alias("edge_text"), F.coalesce("r.is_conflict", F.lit(False)).alias("is_conflict"),
     )
     return Graphs(graphs, entities.withColumn("norm_text", norm_key(F.col("text"))), relations)
@@ -128,7 +137,10 @@ def pending(work: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 #: Metadata that is no text but a truth value, a number or a list.
-TYPED = ("used_disambiguation", "is_unanswerable", "path_unique", "successor_count", "child_count", "path_node_ids", "intermediate_node_ids", "intermediate_displays")
+TYPED = (
+    "used_disambiguation", "is_unanswerable", "path_unique", "successor_count", "child_count", "path_node_ids",
+    "intermediate_node_ids", "intermediate_displays",
+)
 
 
 def json_string(x: Column) -> Column:
@@ -145,7 +157,10 @@ def question_json(multi: Column) -> Column:
     meta = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), entry), ", "), F.lit("}"))
     texts = [field(c, json_string(F.col(c).cast("string"))) for c in ("image_id", "paper_id", "level", "question_type", "question", "answer_type")]
     more = [field("answer", one("answer")), field("options", F.to_json("options")), field("answer_text", one("answer_text"))]
-    more += [F.when(F.col("correct_option_indices").isNotNull(), field("correct_option_indices", F.to_json("correct_option_indices"))), F.when(F.size("metadata") > 0, field("metadata", meta))]
+    more += [
+        F.when(F.col("correct_option_indices").isNotNull(), field("correct_option_indices", F.to_json("correct_option_indices"))),
+        F.when(F.size("metadata") > 0, field("metadata", meta)),
+    ]
     return F.concat(F.lit("{"), F.concat_ws(", ", *texts, *more), F.lit("}"))
 
 
@@ -162,17 +177,25 @@ def write_questions(questions: DataFrame, path: str, jsonl: bool = True) -> None
         return
     parts = max(1, -(-questions.count() // ARRAY_ROWS))
     part = F.pmod(F.xxhash64("image_id", "question"), F.lit(parts))
-    rows = questions.groupBy("split", part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*[c for c in questions.columns if c != "split"]))).alias("value"))
+    rows = questions.groupBy("split", part.alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*[c for c in questions.columns if c != "split"]))).alias("value")
+    )
     rows.drop("part").write.mode("overwrite").partitionBy("split").text(path)
 
 
 def write_annotations(g: Graphs, path: str) -> None:
     """Graphs as annotations, a JSON document a line: what scan(lines=True) reads."""
     e = g.entities.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "text", "type"))).alias("e"))
-    r = g.relations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"))).alias("r"))
+    r = g.relations.groupBy("image_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "subject_id", "predicate", "object_id", "edge_text", "is_conflict"))).alias("r")
+    )
     pick = lambda array, *names: F.coalesce(F.transform(array, lambda x: F.struct(*[x[n].alias(n) for n in names])), F.array())
     rows = g.graphs.join(e, "image_id", "left").join(r, "image_id", "left")
-    rows = rows.select("image_id", "paper_id", F.struct(F.col("summary_text").alias("text")).alias("summary"), pick("e", "id", "text", "type").alias("entities"), pick("r", "subject_id", "predicate", "object_id", "edge_text", "is_conflict").alias("relations"))
+    rows = rows.select(
+        "image_id", "paper_id", F.struct(F.col("summary_text").alias("text")).alias("summary"),
+        pick("e", "id", "text", "type").alias("entities"),
+        pick("r", "subject_id", "predicate", "object_id", "edge_text", "is_conflict").alias("relations"),
+    )
     rows.write.mode("overwrite").json(path)
 
 
@@ -186,4 +209,6 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, image (base64) and mime of the image files in a folder, as they are; other kinds count as PNG."""
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     mime = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path).select("path", F.base64("content").alias("image"), mime.alias("mime"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path).select(
+        "path", F.base64("content").alias("image"), mime.alias("mime"),
+    )

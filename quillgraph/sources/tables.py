@@ -17,27 +17,49 @@ def order_graphs(spark: SparkSession, sf_dir: str) -> Graphs:
 
     Everything is dealt by order once; the aggregate, the windows and the joins within an order keep to that.
     """
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount").repartition("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount",
+    ).repartition("l_orderkey")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    n = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"), F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"), F.max("l_discount").alias("d"))
+    n = lines.groupBy("l_orderkey", "l_partkey").agg(
+        F.min("l_linenumber").alias("ln"), F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"),
+        F.max("l_discount").alias("d"),
+    )
     n = n.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("ln", "l_partkey")))
     by_line = Window.partitionBy("l_orderkey").orderBy("rn")
     n = n.withColumn("next", F.lead("l_partkey").over(by_line)).withColumn("after", F.lead("l_partkey", 2).over(by_line))
     n = n.join(parts, n["l_partkey"] == parts["p_partkey"]).withColumn("image_id", F.col("l_orderkey"))
     node, brand = F.concat(F.lit("e"), F.col("l_partkey")), F.concat(F.lit("c"), F.replace("p_brand", F.lit("#"), F.lit("")))
     nodes = n.select("image_id", (F.col("rn") - 1).alias("ord"), node.alias("id"), F.col("p_name").alias("text"), F.lit("Node").alias("type"))
-    boxes = n.select("image_id", "p_brand", brand.alias("id")).distinct().withColumn("ord", F.lit(999) + F.row_number().over(Window.partitionBy("image_id").orderBy("p_brand")))
+    boxes = n.select("image_id", "p_brand", brand.alias("id")).distinct().withColumn(
+        "ord", F.lit(999) + F.row_number().over(Window.partitionBy("image_id").orderBy("p_brand")),
+    )
     entities = nodes.unionByName(boxes.select("image_id", "ord", "id", F.col("p_brand").alias("text"), F.lit("Container").alias("type")))
     text = F.when(F.col("rn") % 2 == 0, F.lower(F.concat_ws(" ", "rf", "ls"))).otherwise("none")
     to = lambda x: F.concat(F.lit("e"), F.col(x))
     made = F.array(
-        F.struct((F.col("rn") * 2).alias("ord"), node.alias("s"), F.lit("flows_to").alias("p"), to("next").alias("o"), text.alias("t"), (F.col("d") >= 0.09).alias("c")),
-        F.struct((F.col("rn") * 2 + 1).alias("ord"), node.alias("s"), F.lit("flows_to").alias("p"), F.when(F.col("rn") % 3 == 0, to("after")).alias("o"), text.alias("t"), (F.col("d") >= 0.09).alias("c")),
-        F.struct((F.col("rn") + 10000).alias("ord"), brand.alias("s"), F.lit("contains").alias("p"), node.alias("o"), F.lit("").alias("t"), F.lit(False).alias("c")),
+        F.struct(
+            (F.col("rn") * 2).alias("ord"), node.alias("s"), F.lit("flows_to").alias("p"), to("next").alias("o"),
+            text.alias("t"), (F.col("d") >= 0.09).alias("c"),
+        ),
+        F.struct(
+            (F.col("rn") * 2 + 1).alias("ord"), node.alias("s"), F.lit("flows_to").alias("p"),
+            F.when(F.col("rn") % 3 == 0, to("after")).alias("o"), text.alias("t"), (F.col("d") >= 0.09).alias("c"),
+        ),
+        F.struct(
+            (F.col("rn") + 10000).alias("ord"), brand.alias("s"), F.lit("contains").alias("p"), node.alias("o"),
+            F.lit("").alias("t"), F.lit(False).alias("c"),
+        ),
     )
     r = n.select("image_id", F.explode(made).alias("r")).filter("r.o is not null")
-    relations = r.select("image_id", "r.ord", F.col("r.s").alias("subject_id"), F.col("r.p").alias("predicate"), F.col("r.o").alias("object_id"), F.col("r.t").alias("edge_text"), F.col("r.c").alias("is_conflict"))
-    graphs = nodes.groupBy("image_id").agg(F.count("*").alias("k")).select("image_id", F.concat(F.lit("p"), F.col("image_id") % 97).alias("paper_id"), F.concat(F.lit("Order with "), F.col("k"), F.lit(" parts")).alias("summary_text"))
+    relations = r.select(
+        "image_id", "r.ord", F.col("r.s").alias("subject_id"), F.col("r.p").alias("predicate"), F.col("r.o").alias("object_id"),
+        F.col("r.t").alias("edge_text"), F.col("r.c").alias("is_conflict"),
+    )
+    graphs = nodes.groupBy("image_id").agg(F.count("*").alias("k")).select(
+        "image_id", F.concat(F.lit("p"), F.col("image_id") % 97).alias("paper_id"),
+        F.concat(F.lit("Order with "), F.col("k"), F.lit(" parts")).alias("summary_text"),
+    )
     return clean_graphs(graphs, entities, relations)
 
 
@@ -45,8 +67,15 @@ def event_graphs(spark: SparkSession, sf_dir: str) -> Graphs:
     """A user is a graph of event types; consecutive events are parallel edges, every fourth a plain connection."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id").repartition("user_id")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = events.select(F.col("user_id").alias("image_id"), F.col("event_type").alias("s"), F.lead("event_type").over(by_time).alias("o"), F.row_number().over(by_time).alias("ord"))
-    relations = e.filter("o is not null").select("image_id", "ord", F.col("s").alias("subject_id"), F.when(F.col("ord") % 4 == 3, "connects_to").otherwise("flows_to").alias("predicate"), F.col("o").alias("object_id"), F.lit("").alias("edge_text"), F.lit(False).alias("is_conflict"))
+    e = events.select(
+        F.col("user_id").alias("image_id"), F.col("event_type").alias("s"), F.lead("event_type").over(by_time).alias("o"),
+        F.row_number().over(by_time).alias("ord"),
+    )
+    relations = e.filter("o is not null").select(
+        "image_id", "ord", F.col("s").alias("subject_id"),
+        F.when(F.col("ord") % 4 == 3, "connects_to").otherwise("flows_to").alias("predicate"), F.col("o").alias("object_id"),
+        F.lit("").alias("edge_text"), F.lit(False).alias("is_conflict"),
+    )
     kinds = e.groupBy("image_id", "s").agg(F.min("ord").alias("ord"))
     entities = kinds.select("image_id", "ord", F.col("s").alias("id"), F.col("s").alias("text"), F.lit("Node").alias("type"))
     graphs = kinds.select("image_id").distinct().select("image_id", F.lit("events").alias("paper_id"), F.lit("").alias("summary_text"))
@@ -58,12 +87,24 @@ def hierarchy_graphs(spark: SparkSession, sf_dir: str) -> Graphs:
     region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
     n = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
     c = customer.join(n, customer["c_nationkey"] == n["n_nationkey"])
-    box = lambda df, id_, text, ord_: df.select(F.col("r_regionkey").alias("image_id"), ord_.cast("long").alias("ord"), id_.alias("id"), F.col(text).alias("text"), F.lit("Container").alias("type"))
+    box = lambda df, id_, text, ord_: df.select(
+        F.col("r_regionkey").alias("image_id"), ord_.cast("long").alias("ord"), id_.alias("id"), F.col(text).alias("text"),
+        F.lit("Container").alias("type"),
+    )
     r_id, n_id, c_id = (F.concat(F.lit(p), F.col(k)) for p, k in (("r", "r_regionkey"), ("n", "n_nationkey"), ("c", "c_custkey")))
-    entities = box(region, r_id, "r_name", F.lit(0)).unionByName(box(n, n_id, "n_name", F.col("n_nationkey") + 1)).unionByName(box(c, c_id, "c_name", F.col("c_custkey") + 1000).withColumn("type", F.lit("Node")))
-    edge = lambda df, s, o, ord_: df.select(F.col("r_regionkey").alias("image_id"), ord_.cast("long").alias("ord"), s.alias("subject_id"), F.lit("contains").alias("predicate"), o.alias("object_id"), F.lit("").alias("edge_text"), F.lit(False).alias("is_conflict"))
+    entities = box(region, r_id, "r_name", F.lit(0)).unionByName(box(n, n_id, "n_name", F.col("n_nationkey") + 1)).unionByName(
+        box(c, c_id, "c_name", F.col("c_custkey") + 1000).withColumn("type", F.lit("Node"))
+    )
+    edge = lambda df, s, o, ord_: df.select(
+        F.col("r_regionkey").alias("image_id"), ord_.cast("long").alias("ord"), s.alias("subject_id"),
+        F.lit("contains").alias("predicate"), o.alias("object_id"), F.lit("").alias("edge_text"),
+        F.lit(False).alias("is_conflict"),
+    )
     relations = edge(n, r_id, n_id, F.col("n_nationkey")).unionByName(edge(c, n_id, c_id, F.col("c_custkey") + 1000))
-    return clean_graphs(region.select(F.col("r_regionkey").alias("image_id"), F.lit("regions").alias("paper_id"), F.lit("").alias("summary_text")), entities, relations)
+    return clean_graphs(
+        region.select(F.col("r_regionkey").alias("image_id"), F.lit("regions").alias("paper_id"), F.lit("").alias("summary_text")),
+        entities, relations,
+    )
 
 
 PHRASES = ("amber gate", "silver loop", "crimson node", "violet path")
@@ -92,7 +133,10 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(open_, "open").otherwise("single_choice").alias("answer_type"), (k % 5 == 0).alias("is_unanswerable"), F.array(letter((k + F.col("o_custkey")) % 4)).alias("gold"), options.alias("options"), raw.alias("raw_output"),
         F.when(k % 97 == 0, "timeout").alias("error"), F.when(k % 13 != 0, k % 50).alias("prompt_tokens"), F.when(k % 13 != 0, k % 20).alias("completion_tokens"),
         F.when(k % 2 == 0, F.concat(F.lit('x {"action": "selected", "letter": "'), x, F.lit('"}'))).otherwise("no object").alias("judge_reply"),
-        F.when(open_ & (k % 3 != 0), F.struct((k % 3).alias("coverage"), (k % 2).alias("correctness"), (F.floor(k / 2) % 3).alias("hallucination"))).alias("open_judge"),
+        F.when(
+            open_ & (k % 3 != 0),
+            F.struct((k % 3).alias("coverage"), (k % 2).alias("correctness"), (F.floor(k / 2) % 3).alias("hallucination")),
+        ).alias("open_judge"),
     )
 
 
@@ -102,8 +146,16 @@ def multi_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("sample_id")
     kind = k % 6
     raw = (
-        F.when(kind == 0, "The correct options are A, B.").when(kind == 1, "The correct options are B and C.").when(kind == 2, "Answers: A, D\nI first thought the answers are B.")
+        F.when(kind == 0, "The correct options are A, B.").when(kind == 1, "The correct options are B and C.").when(
+            kind == 2, "Answers: A, D\nI first thought the answers are B.",
+        )
         .when(kind == 3, "The correct options are A because it is red.").when(kind == 4, "None of the given fit.").otherwise("Selected options: (B), (D) & E; sure")
     )
     gold = F.when(k % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("B"), F.lit("C"), F.lit("D")))
-    return o.withColumns({"raw_output": raw, "gold": gold, "answer_type": F.lit("multi_select"), "judge_reply": F.when(k % 2 == 0, '{"action": "selected", "letters": ["a", "AB", "C", "a"]}').otherwise('{"action": "nonsense"}'), "open_judge": F.lit(None).cast("struct<coverage:bigint,correctness:bigint,hallucination:bigint>")})
+    return o.withColumns(
+        {
+            "raw_output": raw, "gold": gold, "answer_type": F.lit("multi_select"),
+            "judge_reply": F.when(k % 2 == 0, '{"action": "selected", "letters": ["a", "AB", "C", "a"]}').otherwise('{"action": "nonsense"}'),
+            "open_judge": F.lit(None).cast("struct<coverage:bigint,correctness:bigint,hallucination:bigint>"),
+        }
+    )
