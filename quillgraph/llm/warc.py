@@ -34,8 +34,9 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", _urn(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.md5(body.cast("binary"))).alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), F.concat(head, body).alias("block"))
 
 
-def _numbered(html: F.Column) -> F.Column:
-    """Numeric references (&#233; or &#xE9;) as their characters; numbers that are none stay."""
+def _numbered(html: F.Column, raw: F.Column) -> F.Column:
+    """Numeric references (&#233; or &#xE9;) as their characters; numbers that are none stay. raw tells whether there
+    can be any, so that html, which is costly, is made once."""
 
     def resolved(part: F.Column, i: F.Column) -> F.Column:
         digits, sixteen = F.regexp_extract(part, r"^([0-9]{1,7});", 1), F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
@@ -44,16 +45,17 @@ def _numbered(html: F.Column) -> F.Column:
         char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(63)), 8, "0")), "UTF-32")
         return F.when(i == 0, part).when(known, F.concat(char, F.regexp_replace(part, "^[0-9A-Za-z]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
 
-    return F.when(F.contains(html, F.lit("&#")), F.array_join(F.transform(F.split(html, "&#", -1), resolved), "")).otherwise(html)
+    return F.when(F.contains(raw, F.lit("&#")), F.array_join(F.transform(F.split(html, "&#", -1), resolved), "")).otherwise(html)
 
 
 def plain_text(html: F.Column) -> F.Column:
     """Text of a page: no comments, scripts, styles or tags; blocks on lines of their own; entities resolved."""
+    raw = html
     for pattern in DROPPED:
         html = F.regexp_replace(html, pattern, " ")
     html = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, BREAKS, "\n"), TAG, ""), r"[\x20\x09\x0D]+", " ")
     html = F.regexp_replace(html, r" ?\n[ \n]*", "\n")
-    html = _numbered(html)
+    html = _numbered(html, raw)
     for name, char in ENTITIES:
         html = F.replace(html, F.lit(name), F.lit(char))
     return F.regexp_replace(html, r"^[ \n]+|[ \n]+$", "")
