@@ -24,7 +24,7 @@ CAPACITY = 1024
 END = 2
 PACKER = 50_000
 #: Chunks of text whose ids a worker has met since it last set the older ones aside; it keeps two such lots.
-CACHE = 340_000
+CACHE = 500_000
 #: Marks that are tokens by themselves after a letter or between lines. What has no space before it goes by a
 #: key that starts with FIRST, marks and line breaks too, so it is not taken for the same with a space.
 CUTS = ("\n", ",", ".", ";", ":", "!", "?")
