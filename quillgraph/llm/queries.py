@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, avi, language_id, line_windows, mixing, near_dup, packing, pii, suffix_array, warc
+from . import alignment, ann, avi, language_id, line_windows, mixing, near_dup, packing, pii, suffix_array, warc
 from .common import table
 
 
@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -59,10 +65,15 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ppm_language_id, op2_warc_derivatives, op3_stable_projection_neighbours, op4_best_two_fit, op5_motion_jpeg,
         op6_min_max_near_duplicates, op7_three_line_windows, op8_systematic_mix, op9_suffix_array_dedup, op10_weak_supervision_pii,
+        op11_cross_tokenizer_alignment,
     )
     return {f.__name__: f for f in every}
 
