@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, avi, language_id, line_windows, mixing, near_dup, packing, pii, suffix_array, warc
+from . import alignment, ann, avi, collocations, html_text, language_id, line_windows, mixing, near_dup, packing, pii, suffix_array, warc
 from .common import table
 
 
@@ -69,11 +69,19 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), pieces_path())
 
 
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_ppm_language_id, op2_warc_derivatives, op3_stable_projection_neighbours, op4_best_two_fit, op5_motion_jpeg,
         op6_min_max_near_duplicates, op7_three_line_windows, op8_systematic_mix, op9_suffix_array_dedup, op10_weak_supervision_pii,
-        op11_cross_tokenizer_alignment,
+        op11_cross_tokenizer_alignment, op12_html_main_text, op13_phrase_collocations,
     )
     return {f.__name__: f for f in every}
 
@@ -142,5 +150,25 @@ _MIX_SQL = """
 """
 
 
+_COLLOCATIONS_SQL = r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[ \x09]+'), lambda x: x <> '') AS w FROM d),
+    e AS (SELECT lang, w, unnest(range(1, 5)) AS m FROM p),
+    g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM e WHERE len(w) >= m)),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 30),
+    s AS (SELECT lang, a, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c WHERE m > 2))),
+    o AS (SELECT lang, phrase, max(a) AS most FROM s GROUP BY ALL),
+    k AS (SELECT c.* FROM c LEFT JOIN o USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+    u AS (SELECT *, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM k)),
+    v AS (SELECT u.lang, u.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f)::HUGEINT)::BIGINT AS score
+        FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.x JOIN f y ON y.lang = u.lang AND y.phrase = u.y),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM v),
+    t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE nth = 1)
+    SELECT t.lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_derivatives": _warc_sql(), "op7_three_line_windows": _LINES_SQL, "op8_systematic_mix": _MIX_SQL}
+    return {"op13_phrase_collocations": _COLLOCATIONS_SQL, "op2_warc_derivatives": _warc_sql(), "op7_three_line_windows": _LINES_SQL, "op8_systematic_mix": _MIX_SQL}
