@@ -31,7 +31,9 @@ HEAD = 1 << 19
 #: Bits of a bitmap that every task holds.
 BITS = 1 << 26
 #: Bytes of text, words and keys that are worked on together.
-STRETCH, DISTINCT, KEYS = 4 << 20, 400_000, 2_000_000
+STRETCH, DISTINCT, KEYS = 4 << 20, 250_000, 1_000_000
+#: Keys that are handed on together.
+LOT = 65_536
 #: The first of two steps to a language's best phrases works on so many parts of each language.
 PARTS = 256
 
@@ -247,10 +249,12 @@ def counted(seqs: DataFrame, bits: np.ndarray | None, least: int) -> DataFrame:
         bits = None if shared is None else shared.value
         parts: list[np.ndarray] = []
 
-        def out() -> pa.RecordBatch:
-            ids, n = run_lengths(np.concatenate(parts))
+        def out() -> Iterator[pa.RecordBatch]:
+            ids = np.concatenate(parts)
             parts.clear()
-            return pa.RecordBatch.from_arrays([_keys(ids), pa.array(n)], ["key", "n"])
+            ids, n = run_lengths(ids)
+            for at in range(0, len(ids), LOT):
+                yield pa.RecordBatch.from_arrays([_keys(ids[at : at + LOT]), pa.array(n[at : at + LOT])], ["key", "n"])
 
         for batch in batches:
             for seq in batch.column("seq"):
@@ -258,10 +262,11 @@ def counted(seqs: DataFrame, bits: np.ndarray | None, least: int) -> DataFrame:
                 for low in range(0, len(s), KEYS):  # a stretch shows the next one's first words
                     parts += grams(s[low : low + KEYS + LONGEST - 1], bits, KEYS)
                     if sum(map(len, parts)) >= KEYS:
-                        yield out()
+                        yield from out()
                         give_back()
         if parts:
-            yield out()
+            yield from out()
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = None, 0
