@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
+from .shared import materialized
 
 # Fixed values.
 ENTITY_TYPES = ("Node", "Container")
@@ -36,11 +37,27 @@ class Graphs:
     relations: DataFrame
 
 
-def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Annotations of a folder (one JSON document in a file, or in a line) with file; broken ones are left out."""
+def scanned(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Annotations of a folder (one JSON document in a file, or in a line) with file and position, and the faults
+    (file, position, reason, start of the text) beside them.
+
+    The files are parsed once, into a table in the shared folder, which both read. A document is at fault if it is no
+    JSON object, has fields of other types than annotations, or has no entities at all.
+    """
     raw = spark.read.schema(ANNOTATION).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-    rows = raw.option("pathGlobFilter", "*.json").json(path).withColumn("file", F.input_file_name())
-    return rows.filter(F.col("_corrupt_record").isNull())
+    text = F.trim("_corrupt_record")
+    reason = F.when(F.col("_corrupt_record").isNotNull(), F.when(text == "", "empty").when(~text.startswith("{"), "no object").otherwise("no JSON, or fields of other types"))
+    reason = F.coalesce(reason, F.when(F.col("entities").isNull() & F.col("image_id").isNull(), "no annotation"))
+    rows = raw.option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_path"))
+    held = materialized(_in_order(spark, rows).withColumnRenamed("idx", "position").withColumn("reason", reason))
+    good = held.filter(F.col("reason").isNull()).drop("reason")
+    bad = held.filter(F.col("reason").isNotNull()).select("file", "position", "reason", F.substring("_corrupt_record", 1, 80).alias("start"))
+    return good, bad
+
+
+def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The annotations of scanned() without the faults."""
+    return scanned(spark, path, lines)[0]
 
 
 def read_annotations(spark: SparkSession, path: str) -> Graphs:
@@ -112,17 +129,45 @@ def normalize_annotation_ui(raw: DataFrame) -> Graphs:
     return Graphs(graphs, entities.withColumn("norm_text", norm_key(F.col("text"))), relations)
 
 
+def _in_order(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows with idx, their number from 0 on in order of file and place in it. Parts of files are counted first, so
+    every part is numbered by itself."""
+    place = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    sizes = place.groupBy("_file", "_block").agg(F.count("*").alias("_n"))  # a row for each part of a file
+    before = sizes.select("_file", "_block", (F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line"))
+    numbered = place.join(F.broadcast(before), ["_file", "_block"]).withColumn("idx", (F.col("_before") + own - 1).cast("long"))
+    return numbered.drop("_file", "_block", "_line", "_before")
+
+
 def read_questions(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
-    """Question files (a JSON array in each, or an object a line); answers that are lists come as JSON text. `limit`
-    keeps the first ones, to try out."""
-    rows = spark.read.schema(QUESTION).option("multiLine", not lines).json(path)
-    return rows.limit(limit) if limit else rows
+    """Question files (a JSON array in each, or an object a line) with idx, their place in all files; answers that are
+    lists come as JSON text. `limit` keeps the first ones."""
+    rows = _in_order(spark, spark.read.schema(QUESTION).option("multiLine", not lines).json(path))
+    return rows.filter(F.col("idx") < limit) if limit else rows
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (key, value): the last line of a key counts."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    return last_wins(lines.select(F.get_json_object("value", "$.key").alias("key"), "value", F.struct("file", "line").alias("ord")))
+    """JSON lines (key, value) of a file, or of a folder and all below it, as journals and append_cache() write them:
+    the last line of a key counts, by its time if it has one, then by file and place."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    at = F.coalesce(F.get_json_object("value", "$.at").cast("double"), F.lit(0.0))
+    place = F.struct(at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return last_wins(lines.select(F.get_json_object("value", "$.key").alias("key"), "value", place.alias("ord")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, on whatever file system it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return found.exists(place)
+
+
+def append_cache(replies: DataFrame, path: str) -> None:
+    """Adds replies (key and other columns) to a cache folder, as JSON lines with their time."""
+    at = F.unix_micros(F.current_timestamp()) / 1e6
+    names = [c for c in replies.columns if c != "key"]
+    replies.select(F.to_json(F.struct("key", *names, at.alias("at"))).alias("value")).write.mode("append").text(path)
 
 
 def last_wins(rows: DataFrame) -> DataFrame:
@@ -205,10 +250,19 @@ def write_manifest(statistics: DataFrame, config: dict, path: str) -> None:
     rows.select(F.create_map(*[F.lit(str(v)) for kv in config.items() for v in kv]).alias("config"), "statistics").write.mode("overwrite").json(path)
 
 
+def _mime() -> Column:
+    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return F.when(kind.isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """path, image (base64) and mime of the image files in a folder, as they are; other kinds count as PNG."""
-    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    mime = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").otherwise("image/png")
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path).select(
-        "path", F.base64("content").alias("image"), mime.alias("mime"),
+        "path", F.base64("content").alias("image"), _mime().alias("mime"),
     )
+
+
+def question_images(spark: SparkSession, path: str) -> DataFrame:
+    """image_id (the file's name), image (its bytes) and mime of the image files in a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp}").load(path)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("image_id"), F.col("content").alias("image"), _mime().alias("mime"))

@@ -2,15 +2,14 @@
 
 import hashlib
 import json
-import pathlib
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import display, evaluate, graph, paths, rank, replies
-from quillgraph.operators.providers import CallingProvider, TableReplies, family, pause, retriable
+from quillgraph.operators import display, graph, paths, rank, replies
+from quillgraph.operators.providers import TableReplies, family
 from quillgraph.sources import annotations, tables
 from quillgraph.streaming import replies as stream
 
@@ -141,7 +140,7 @@ def test_question_and_manifest_files(spark, tmp_path):
     made = [{"image_id": str(i), "question": f"q{i}", "answer": ["A", "B"] if i % 2 else "A", "options": [{"label": "A", "text": "x"}], "level": "L1"} for i in range(7)]
     (tmp_path / "in.json").write_text(json.dumps(made))
     q = annotations.read_questions(spark, str(tmp_path / "in.json"))
-    assert q.count() == 7 and annotations.read_questions(spark, str(tmp_path / "in.json"), 3).count() == 3
+    assert q.count() == 7 and [r["question"] for r in annotations.read_questions(spark, str(tmp_path / "in.json"), 3).orderBy("idx").collect()] == ["q0", "q1", "q2"]
     assert {r["answer"] for r in q.collect()} == {"A", '["A", "B"]'}
     split = q.withColumn("split", F.when(F.col("image_id") < "4", "train").otherwise("test"))
     for jsonl in (True, False):
@@ -155,6 +154,29 @@ def test_question_and_manifest_files(spark, tmp_path):
     assert json.loads(text) == {"config": {"seed": "42"}, "statistics": [{"split": "train", "n": 4}, {"split": "test", "n": 3}]}
 
 
+def test_limit_takes_the_first_by_file_and_place(spark, tmp_path):
+    for f, n in (("b", 300), ("a", 200), ("c", 5)):
+        (tmp_path / f"{f}.jsonl").write_text("".join(json.dumps({"image_id": f, "question": f"{f}{k}", "answer": "A"}) + "\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = annotations.read_questions(spark, str(tmp_path), 350, lines=True).orderBy("idx").select("question", "idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in got] == [(q, k) for k, q in enumerate([f"a{k}" for k in range(200)] + [f"b{k}" for k in range(150)])]
+
+
+def test_faults_of_a_scan(spark, folder, tmp_path):
+    good, bad = annotations.scanned(spark, folder)
+    assert sorted(r["image_id"] for r in good.collect()) == ["a", "b"]
+    (r,) = bad.collect()
+    assert (r["file"].rsplit("/", 1)[1], r["position"], r["reason"], r["start"]) == ("broken.json", 2, "no JSON, or fields of other types", "{nothing")
+    for name, text in (("1", "[1, 2]"), ("2", '{"image_id": "x", "entities": {"a": 1}}'), ("3", "{}"), ("4", '{"image_id": "y", "entities": []}'), ("5", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    good, bad = annotations.scanned(spark, str(tmp_path))
+    assert [r["image_id"] for r in good.collect()] == ["y"]
+    assert {r["file"].rsplit("/", 1)[1]: r["reason"] for r in bad.collect()}.keys() >= {"2.json", "3.json"}
+
+
 def test_cache_files(spark, tmp_path):
     lines = [{"key": "a", "v": 1}, {"key": "b", "error": "x"}, {"key": "a", "v": 2}, {"v": 0}]
     (tmp_path / "cache.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nno json")
@@ -200,44 +222,3 @@ def test_metrics_document(spark, sf):
         assert abs(r["multihop_f1"] - own["multihop_f1"]) <= 5e-5 and 0 < r["multihop_f1"] < 1
         assert sum(r["parse_stage_counts"].values()) > 0 and set(r["by_level"]) == {"L1", "L2", "L3"}
         assert abs(own["unanswerable_correct_abstain_rate"] + own["unanswerable_hallucination_rate"] - 1) < 1e-12
-
-
-def flaky(folder):
-    class Flaky(CallingProvider):
-        """Fails twice for one prompt, always and for good for another."""
-
-        def __init__(self, folder):
-            super().__init__(retries=3, base=0.001)
-            self.folder = folder
-
-        def call(self, model, prompt):
-            tries = pathlib.Path(self.folder) / prompt
-            n = len(tries.read_text()) if tries.exists() else 0
-            tries.write_text("x" * (n + 1))
-            if prompt == "slow" and n < 2:
-                raise TimeoutError("later")
-            if prompt == "bad":
-                raise ValueError("never")
-            return f"{model} on {prompt}", 3, 4
-
-    return Flaky(folder)
-
-
-def test_calls_are_tried_again(spark, tmp_path):
-    work = spark.createDataFrame([("1", "m", "fine"), ("2", "m", "slow"), ("3", "m", "bad")], "key string, model string, prompt string")
-    got = {r["key"]: r for r in flaky(str(tmp_path)).replies(work).collect()}
-    assert (got["1"]["raw_output"], got["1"]["prompt_tokens"], got["1"]["error"]) == ("m on fine", 3, None)
-    assert got["2"]["raw_output"] == "m on slow" and len((tmp_path / "slow").read_text()) == 3
-    assert got["3"]["raw_output"] is None and got["3"]["error"].startswith("ValueError") and len((tmp_path / "bad").read_text()) == 1
-    assert retriable(TimeoutError()) and not retriable(ValueError()) and pause(10, 4.0, 0.5) == 60.0
-
-
-def test_evaluation_calls_only_what_is_missing(spark, sf, tmp_path):
-    asked = tables.replies(spark, sf).select("sample_id", "model", "level", "question_type", "answer_type", "is_unanswerable", "gold", "options").withColumn("question", F.lit("Which?")).filter("sample_id < 40 and answer_type <> 'open'")
-    known = spark.createDataFrame([("x", "{}")], "key string, value string")
-    said = asked.select(evaluate.key().alias("key"), F.lit("The answer is A.").alias("raw_output"))
-    scored = evaluate.evaluate(asked, known, TableReplies(said))
-    assert scored.count() == asked.count() and {r["parse_stage"] for r in scored.collect()} == {"regex"}
-    cached = said.select("key", F.to_json(F.struct("key", F.lit("The answer is B.").alias("raw_output"))).alias("value")).limit(3)
-    again = evaluate.evaluate(asked, cached, TableReplies(said))
-    assert sum(r["parse_letters"] == ["B"] for r in again.collect()) == 3
