@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix64, saved, utf8
+from .common import chunks, give_back, mix64, numbered, saved, utf8
 
 LEAST = 30
 LONGEST = 4
@@ -92,16 +92,6 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """rows (lang, word, n) with id, from 1 on, the most frequent words first."""
-    order = [F.col("n").desc(), F.col("lang"), F.col("word")]
-    place = F.monotonically_increasing_id()
-    dealt = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("k")))
-    parts = dealt.groupBy("part").agg(F.count("*").alias("size"))  # one row for each partition
-    before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return dealt.join(F.broadcast(before), "part").select("lang", "word", "n", (F.col("before") + F.col("k") + 1).cast("int").alias("id"))
-
-
 def bitmap(positions: DataFrame) -> np.ndarray:
     """The bits at positions (column `at`, below BITS) as bytes."""
     bucket = F.floor(F.col("at") / 32768).alias("bucket")
@@ -336,7 +326,8 @@ def collocations(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     every = saved(word_counts(rows))
-    dictionary = saved(numbered(every.filter(F.col("n") >= least)))
+    frequent = numbered(every.filter(F.col("n") >= least), [F.col("n").desc(), F.col("lang"), F.col("word")], "id")
+    dictionary = saved(frequent.withColumn("id", F.col("id").cast("int")))
     seqs = sequences(rows, dictionary)
     pairs = saved(counted(seqs, None, least))
     longer = saved(counted(seqs, bitmap(_pair_bits(pairs)), least))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,27 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-        found = sc.getCheckpointDir()
-    return found
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def renamed(names: list[str]) -> list[F.Column]:
     """Columns under names that clash with none of an operator's own."""
-    return [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)]
+    return [F.col("`" + c.replace("`", "``") + "`").alias(f"own_{i}") for i, c in enumerate(names)]
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but for those with these names, in whatever case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 1 on, in order: sorted by ranges, so that no task has them all. Equal rows are
+    numbered too, in any order."""
+    place = F.monotonically_increasing_id()
+    dealt = saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_k")))
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # one row for each partition
+    before = parts.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_part", "_k", "_before")
 
 
 def restored(names: list[str]) -> list[F.Column]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, restored, saved
+from .common import others, renamed, restored, saved
 
 LINES = 3
 
@@ -55,7 +55,7 @@ def _decided(docs: DataFrame, names: list[str]) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the text that stays, and n_lines and n_removed (columns of docs with these two names are
+    """docs with the text that stays, and n_lines and n_removed (columns of docs with these two names, in whatever case, are
     replaced; other names of docs can be anything).
 
     Lines are what '\\n' separates, so an empty text has one line; a null text stays null and has none. A
@@ -63,15 +63,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id and text are one document: the first occurrence of each of their windows stays in all of them.
     A null doc_id comes before all others.
     """
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text")]
+    rest = others(docs, "n_lines", "n_removed", "text")
     return _decided(docs, rest).select(*restored(rest), F.col("kept").alias("text"), "n_lines", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages removed, n_chars set anew, and without documents that lost every line."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rest = others(docs, "text", "n_chars")
     x = _decided(docs, rest).filter("n_removed = 0 or n_removed < n_lines")
-    made = {"text": F.col("kept").alias("text")} | dict(zip(rest, restored(rest), strict=True))
-    if "n_chars" in docs.columns:
-        made["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    made = dict(zip(rest, restored(rest), strict=True))
+    for f in docs.schema.fields:
+        if f.name.lower() == "text":
+            made[f.name] = F.col("kept").alias(f.name)
+        elif f.name.lower() == "n_chars":
+            made[f.name] = F.length("kept").cast(f.dataType).alias(f.name)
     return x.select(*[made[c] for c in docs.columns])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import renamed, restored, saved, words
+from .common import others, renamed, restored, saved, words
 
 #: A source is repeated three times at most; weights repeat along the sources by code point.
 MOST = 3
@@ -80,15 +80,15 @@ def _mixed(docs: DataFrame, names: list[str], seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target, copies and taken (columns of docs with these names are replaced;
-    other names of docs can be anything).
+    """docs with size, source_size, target, copies and taken (columns of docs with these names, in whatever case, are
+    replaced; other names of docs can be anything).
 
     A null or wordless text has size 0 and is emitted at its source's rate, like any other. Null is a source
     of its own, last in order. Sources without words have target 0 and no copies. A null doc_id comes before
     all others. Rows that share doc_id, source and text are told apart by nothing, so which of them gets an
     extra copy does not change the result as a set of rows.
     """
-    rest = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    rest = others(docs, "size", "source_size", "target", "copies", "taken")
     x = _mixed(docs, rest, seed)
     return x.select(*restored(rest), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

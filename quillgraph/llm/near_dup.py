@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix64, renamed, restored, saved, utf8
+from .common import chunks, give_back, mix64, numbered, renamed, restored, saved, utf8
 
 SHINGLE = 5
 BANDS = 40
@@ -120,6 +120,16 @@ def band_hashes(sets: np.ndarray, starts: np.ndarray, bands: range) -> np.ndarra
     return out
 
 
+def _digest(text: bytes) -> bytes:
+    """A cryptographic digest of a text's words."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array([_digest(t) for t in batch.column("text").to_pylist()], pa.binary())], ["text", "digest"])
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, all_bounds = utf8(batch.column("text"))
@@ -128,7 +138,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, cut = data[b[0] : b[-1]], (b - b[0]).tolist()
             sets, bounds = shingle_sets(own, b - b[0])
             size = np.diff(bounds)
-            digests = [hashlib.blake2b(b" ".join(own[x:y].tobytes().lower().split()), digest_size=16).digest() for x, y in zip(cut[:-1], cut[1:])]
+            digests = [_digest(own[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:])]
             width = np.where(size > SMALL, BANDS, np.where(size > 0, BANDS + EXTRA, 0))
             ends = np.concatenate([[0], np.cumsum(width)])
             flat = np.zeros(ends[-1], np.uint64)
@@ -261,30 +271,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     A null text, or one without words, has no shingles and is linked with nothing. Rows that share a doc_id
-    are one document and get the same decision. A row without doc_id takes no part: component_id is null and
+    are one document and get the same decision (but for rows without words), also where their texts differ: what is linked with one of the texts
+    is linked with the document. A row without doc_id takes no part: component_id is null and
     it is kept. Ties need no rule, as a component's name is its smallest doc_id.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     signed = saved(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>"))
     some = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = saved(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    held = saved(some.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"]).selectExpr("doc_id id", "n_shingles n", "bands"))
+    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    several = saved(some.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).filter("digest <> other").drop("other"))
+    unlike = not several.isEmpty()  # a doc_id has texts of several classes, so it names none
+    classes = saved(numbered(classes, [F.col("rep"), F.col("digest")], "id") if unlike else classes.withColumn("id", F.col("rep")))
+    held = saved(some.join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest"]).selectExpr("id", "n_shingles n", "bands"))
     keys = held.select("id", "n", F.explode("bands").alias("h"))
     buckets = keys.groupBy("h").agg(F.min(F.struct("id", "n")).alias("pivot"), F.count("*").alias("m")).filter("m > 1")
     members = saved(keys.join(buckets, "h").select("h", "id", "n", "pivot"))
     fits = F.expr(f"100 * least(n, pivot.n) >= {PERCENT} * greatest(n, pivot.n)")
     pairs = members.filter(fits & (F.col("id") != F.col("pivot.id"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
     wanted = members.select("id").distinct()
-    texts = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi")
-    texts = saved(texts.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col("text").cast("binary")).alias("text")))
+    if unlike:
+        wanted = wanted.join(classes, "id")
+        texts = rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").select(F.col("text").cast("binary").alias("text")).filter("text is not null")
+        texts = texts.mapInArrow(_digested, "text binary, digest binary").join(wanted.select("id", "digest"), "digest")
+    else:
+        texts = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
+    texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")))
     one, two = texts.selectExpr("id a", "text ta"), texts.selectExpr("id b", "text tb")
     links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long"))
+    if unlike:
+        own = some.join(several.withColumnRenamed("digest", "least"), "doc_id").select("least", "digest").distinct()
+        a, b = classes.select(F.col("digest").alias("least"), F.col("id").alias("a")), classes.select("digest", F.col("id").alias("b"))
+        links = saved(links.unionByName(own.join(a, "least").join(b, "digest").select("a", "b")))
     first = components(links).withColumnRenamed("node", "id")
     labelled = members.join(first, "id", "left").select("h", "id", F.coalesce("component", "id").alias("comp"))
     dealt = _dealt(labelled, BLOCK).join(texts, "id")
     more = dealt.groupBy("h", "i", "j").applyInPandas(_blocks, "a long, b long")
     found = components(saved(links.unionByName(more)))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
+    named = classes.join(found, classes["id"] == found["node"], "left").select("digest", "rep", F.coalesce("component", "id").alias("class_component"))
+    if unlike:
+        named = named.join(named.groupBy("class_component").agg(F.min("rep").alias("least")), "class_component").select("digest", F.col("least").alias("class_component"))
+    named = named.select("digest", "class_component")
     out = signed.drop("bands").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -27,6 +27,8 @@ ROUNDS = 50
 LABELERS = 4
 #: Values that a feature of the classifier can take.
 FEATURES = {"size": 8, "left": 4, "right": 4}
+#: Parts of a text that are summed, and spans that are looked through, together.
+LOT = 128
 SPAN = "struct<start:int,end:int,span:string,before:string>"
 OPEN, CLOSE, STAND_IN = "\ue000", "\ue001", "\ue002"
 #: Gazetteers and context words of the labelers.
@@ -49,21 +51,53 @@ def _parts(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _lots(items: Column) -> Column:
+    """An array in slices of LOT items. What appends to an array, or looks through it, does so within a slice."""
+    count = F.ceil(F.size(items) / LOT).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(items, k * LOT + 1, F.lit(LOT))))
+
+
+def _starts(parts: Column) -> Column:
+    """Where each part starts: sums of lengths by slice, then within each."""
+    ints = F.array().cast("array<int>")
+    add = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found"))
+    upto = lambda lengths, at: F.aggregate(lengths, F.struct(at.alias("at"), ints.alias("found")), add, lambda acc: acc["found"])
+
+    def within(lots: Column) -> Column:
+        sums = F.transform(lots, lambda lot: F.aggregate(lot, F.lit(0), lambda a, p: a + F.length(p)))
+        return let(upto(sums, F.lit(0)), lambda first: F.flatten(F.transform(lots, lambda lot, k: upto(F.transform(lot, F.length), F.get(first, k)))))
+
+    return let(_lots(parts), within)
+
+
 def _spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, span, before, after>> of the matches, with the text just ahead and just behind."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.lit("").alias("last"), F.array().cast(f"array<{SPAN}>").alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        more = F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("span"), acc["last"].alias("before"))))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.right(part, F.lit(AROUND)).alias("last"), F.when(acc["inside"], more).otherwise(acc["found"]).alias("found"))
 
-    def found(parts: Column) -> Column:
-        spans = F.aggregate(parts, zero, step, lambda acc: acc["found"])
-        return F.transform(spans, lambda s, k: s.withField("after", F.left(F.coalesce(F.get(parts, 2 * k + 2), F.lit("")), F.lit(AROUND))))
+    def found(parts: Column, starts: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i % 2 == 1) & (i < F.size(parts)))
+        return F.transform(
+            at,
+            lambda i: F.struct(
+                F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("span"), F.right(F.get(parts, i - 1), F.lit(AROUND)).alias("before"),
+                F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(AROUND)).alias("after"),
+            ),
+        )
 
     # the parts are between and inside of the matches, by turns, and are made once
-    return F.get(F.transform(F.array(_parts(text, pattern)), found), F.lit(0))
+    return let(_parts(text, pattern), lambda parts: let(_starts(parts), lambda starts: found(parts, starts)))
+
+
+def _apart(more: Column, base: Column) -> Column:
+    """The spans of `more` that overlap none of `base`, which are in order and apart: slices of base first."""
+    meets = lambda m, s: (s["start"] < m["end"]) & (m["start"] < s["end"])
+    whole = lambda lot: F.struct(F.element_at(lot, 1)["start"].alias("start"), F.element_at(lot, -1)["end"].alias("end"))
+    none = lambda m, lots: ~F.exists(lots, lambda lot: meets(m, whole(lot)) & F.exists(lot, lambda s: meets(m, s)))
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(let(_lots(base), lambda lots: F.filter(more, lambda m: none(m, lots))))
 
 
 def _digits(x: Column) -> Column:
@@ -221,8 +255,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     x = docs.select(F.col("doc_id"), clean.alias("t"))
     found = _candidates(F.col("t"))
     x = x.select("doc_id", *[_voted(k, found[k]).alias(k) for k in KINDS], _voted("phone", _national(F.col("t")), AREAS).alias("national"), _voted("email", _spelled(F.col("t"))).alias("spelled"))
-    apart = lambda more, base: F.filter(more, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    x = saved(x.select("doc_id", F.concat(*KINDS, apart("national", "phone"), apart("spelled", "email")).alias("found")))
+    x = saved(x.select("doc_id", F.concat(*KINDS, _apart(F.col("national"), F.col("phone")), _apart(F.col("spelled"), F.col("email"))).alias("found")))
     cells = accepted_cells(x.select(F.explode("found").alias("s")).select("s.kind", "s.votes", *[f"s.{f}" for f in FEATURES])).collect()
     keys = F.array(*[F.lit(_cell(r)) for r in cells]).cast("array<int>")
     added = F.filter("found", lambda s: ~s["base"] & F.array_contains(keys, _cell(s)))

@@ -91,16 +91,17 @@ _UUID = "'urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' ||
 
 def _warc_sql() -> str:
     text = "body"
-    for pattern in warc.DROPPED:
+    for pattern in ("(?is)<!--.*?-->", "(?is)<script[^<>]*>.*?</script>", "(?is)<style[^<>]*>.*?</style>"):
         text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace(regexp_replace({text}, '{warc.BREAKS}', chr(10), 'g'), '{warc.TAG}', '', 'g'), '[\\x20\\x09\\x0D]+', ' ', 'g')"
+    blocks = "(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|nav|article|header|footer|title|tr|table)(?:\\s[^<>]*)?/?>"
+    text = f"regexp_replace(regexp_replace(regexp_replace({text}, '{blocks}', chr(10), 'g'), '<[^<>]*>', '', 'g'), '[\\x20\\x09\\x0D]+', ' ', 'g')"
     text = f"regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g')"
     digits, sixteen = "regexp_extract(p, '^([0-9]{1,7});', 1)", "regexp_extract(p, '^[xX]([0-9A-Fa-f]{1,6});', 1)"
     code = f"coalesce(try_cast({digits} AS BIGINT), try_cast('0x' || nullif({sixteen}, '') AS BIGINT))"
     known = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
     part = f"CASE WHEN i = 1 THEN p WHEN {known} THEN chr({code}::INT) || regexp_replace(p, '^[0-9A-Za-z]+;', '') ELSE '&#' || p END"
     text = f"array_to_string(list_transform(string_split({text}, '&#'), lambda p, i: {part}), '')"
-    for name, char in warc.ENTITIES:
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         text = "replace({}, '{}', '{}')".format(text, name, char.replace("'", "''"))
     text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
     crlf = "chr(13) || chr(10)"
@@ -112,7 +113,7 @@ def _warc_sql() -> str:
     WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce(url, '') AS u FROM pages),
     r AS (SELECT page_id, url AS target_uri, md5('response|' || coalesce(page_id::VARCHAR, '') || '|' || u || '|' || md5(html)) AS h,
         'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) AS head, html AS body FROM p),
-    s AS (SELECT page_id, {_UUID.format("h")} AS refers_to, target_uri, '{warc.DATE}' AS warc_date, body, head, '200' AS source_status, 'text/html; charset=utf-8' AS source_type,
+    s AS (SELECT page_id, {_UUID.format("h")} AS refers_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, body, head, '200' AS source_status, 'text/html; charset=utf-8' AS source_type,
         'sha256:' || sha256(head || {crlf} || {crlf} || body) AS source_block_digest, 'sha256:' || sha256(body) AS source_payload_digest FROM r),
     b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type, {meta} AS block FROM s
         UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', {text} FROM s),

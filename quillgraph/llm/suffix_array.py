@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix64, saved, utf8
+from .common import chunks, give_back, mix64, numbered, saved, utf8
 
 LENGTH = 100
 GRAM = 32
@@ -603,13 +603,22 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for every row of docs; with
     digest, kept_sha256 in its place.
 
-    Texts are UTF-8 bytes, null is empty; a text under LENGTH bytes keeps all. Rows that share a
-    doc_id are one document, so equal rows lose nothing to each other and the same to others; a row without doc_id is taken out
-    of all comparisons and keeps its bytes.
+    Texts are UTF-8 bytes, null is empty; a text under LENGTH bytes keeps all. Equal rows (same doc_id, same text) are one
+    document, so they lose nothing to each other and the same to others. Unlike texts under one doc_id are documents of
+    their own that follow each other in the order of their hashes. A row without doc_id is taken out of all comparisons
+    and keeps its bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    total = some.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    hashes = [f(F.xxhash64("text")).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+    per = some.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n"), *hashes)
+    total, unlike = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or(F.col("low") != F.col("high")), F.lit(False))).first()
+    if unlike:
+        each = numbered(some.select("doc_id", F.md5(F.col("text").cast("binary")).alias("h")).distinct(), [F.col("doc_id"), F.col("h")], "doc")
+        rows = saved(rows.withColumn("h", F.md5(F.col("text").cast("binary"))).join(each, ["doc_id", "h"], "left").select(F.col("doc_id").alias("own"), F.col("doc").alias("doc_id"), "text"))
+        some = rows.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    else:
+        rows = rows.withColumn("own", F.col("doc_id"))
     buckets, crowd = max(16, -(-total // BUCKET_BYTES)), CROWD
     found = saved(_dealt(some, buckets, _hot_grams(some)).groupBy("bucket").applyInPandas(lambda frame: _resolve(frame, crowd), "doc long, start long, size long, gram long"))
     open_ = found.filter("gram is not null")
@@ -620,7 +629,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     more = saved(cut.groupBy("shard").applyInPandas(_sorted_shard, "doc long, start long, size long"))
     gone = found.filter("gram is null").select("doc", "start", "size").unionByName(more)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("items"))
-    held = rows.join(gone, rows["doc_id"] == gone["doc"], "left").select("doc_id", "text", "items")
+    held = rows.join(gone, rows["doc_id"] == gone["doc"], "left").select(F.col("own").alias("doc_id"), "text", "items")
     kind = "kept_sha256 string" if digest else "kept binary"
     return held.mapInArrow(lambda batches: _removed(batches, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 #: resolved twice.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 #: Parts of a page that are no text, then other tags, then runs of white space.
-DROPPED = (r"(?is)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>")
-BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|nav|article|header|footer|title|tr|table)(?:\s[^>]*)?/?>"
-TAG = r"<[^>]*>"
+DROPPED = ((r"(?is)<!--.*?-->", "-->"), (r"(?is)<script[^<>]*>.*?</script>", "</script>"), (r"(?is)<style[^<>]*>.*?</style>", "</style>"))
+BREAKS = r"(?i)</?(?:p|br|div|h[1-6]|li|ul|ol|nav|article|header|footer|title|tr|table)(?:\s[^<>]*)?/?>"
+TAG = r"<[^<>]*>"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -48,11 +48,30 @@ def _numbered(html: F.Column, raw: F.Column) -> F.Column:
     return F.when(F.contains(raw, F.lit("&#")), F.array_join(F.transform(F.split(html, "&#", -1), resolved), "")).otherwise(html)
 
 
+def _without(html: F.Column, pattern: str, end: str) -> F.Column:
+    """html without the matches of a pattern that goes on to the next `end`. It is looked for only up to the last
+    `end`: behind it no match can end, and each start would be followed to the end of the page."""
+
+    if end == "-->":  # no letters, so there is a quicker way to what is behind the last one
+        behind = lambda h: F.length(F.substring_index(h, end, -1))
+        upto = lambda h: F.when(F.contains(h, F.lit(end)), F.length(h) - behind(h)).otherwise(0)
+    else:
+        upto = lambda h: F.length(F.regexp_extract(h, f"(?is)^.*{end}", 0))
+
+    def cut(x: F.Column) -> F.Column:
+        head, rest = x["whole"].substr(F.lit(1), x["upto"]), x["whole"].substr(x["upto"] + 1, F.length(x["whole"]))
+        return F.when(x["upto"] == 0, x["whole"]).otherwise(F.concat(F.regexp_replace(head, pattern, " "), rest))
+
+    pairs = F.transform(F.array(html), lambda h: F.struct(upto(h).alias("upto"), h.alias("whole")))
+    return F.get(F.transform(pairs, cut), F.lit(0))
+
+
 def plain_text(html: F.Column) -> F.Column:
-    """Text of a page: no comments, scripts, styles or tags; blocks on lines of their own; entities resolved."""
+    """Text of a page: no comments, scripts, styles or tags; blocks on lines of their own; entities resolved. Tags end
+    before the next `<`. The time grows with the page, whatever is left open in it."""
     raw = html
-    for pattern in DROPPED:
-        html = F.regexp_replace(html, pattern, " ")
+    for pattern, end in DROPPED:
+        html = F.when(F.contains(html, F.lit("<")), _without(html, pattern, end)).otherwise(html)
     html = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, BREAKS, "\n"), TAG, ""), r"[\x20\x09\x0D]+", " ")
     html = F.regexp_replace(html, r" ?\n[ \n]*", "\n")
     html = _numbered(html, raw)

@@ -1,4 +1,8 @@
+import time
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import ann, warc
 
@@ -102,3 +106,13 @@ def test_warc(spark, sf):
     odd = warc.derive(spark.createDataFrame([(9, "r", "u", "d", "no head at all"), (10, "r", "u", "d", None)], "page_id long, record_id string, target_uri string, warc_date string, block string"))
     assert {(r["page_id"], r["source_status"]) for r in odd.collect()} == {(9, ""), (10, "")}
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["<", "<!--", "<script>", "<script", "<p ", "</style>", "<script>x</script>", "<!---->"])
+def test_time_of_derivatives_grows_with_the_page(spark, mark):
+    """Whatever is left open in a page of five megabytes."""
+    page = spark.createDataFrame([(1,)], "page_id long").select("page_id", F.lit("u").alias("url"), F.repeat(F.lit(mark), 5_000_000 // len(mark)).alias("html"))
+    began = time.time()
+    assert warc.derive(warc.responses(page)).count() == 2
+    rows = {r["record_type"]: r["content_length"] for r in warc.derive(warc.responses(page)).collect()}
+    assert time.time() - began < 120 and set(rows) == {"metadata", "conversion"}
