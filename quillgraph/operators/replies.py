@@ -152,7 +152,7 @@ def score(parsed: DataFrame) -> DataFrame:
     return parsed.withColumns({"correct": F.when(closed, F.when(multi, exact).otherwise(single)).cast("long"), "f1_units": F.when(multi, units)})
 
 
-def _units() -> Column:
+def units() -> Column:
     """Score of a row that counts for levels and types, in UNITS; null if it counts for none."""
     j = F.col("open_judge")
     opened = F.when(j.isNotNull(), ((j["coverage"] + j["correctness"] + j["hallucination"]) * (UNITS // 6)).cast("long"))
@@ -166,7 +166,7 @@ def _rate(x: Column) -> Column:
 
 
 def metrics_by_model(scored: DataFrame) -> DataFrame:
-    x = scored.withColumn("u", _units())
+    x = scored.withColumn("u", units())
     fine = F.col("error").isNull()
     closed, valid = fine & (F.col("answer_type") != "open"), F.col("parse_action") != "invalid"
     yes = lambda c: c.cast("long")
@@ -193,7 +193,7 @@ def token_usage(replies: DataFrame) -> DataFrame:
 
 def metrics_by(scored: DataFrame, column: str) -> DataFrame:
     """model, column, n, units (their mean over UNITS is the score)."""
-    x = scored.withColumn("u", _units()).filter("u is not null")
+    x = scored.withColumn("u", units()).filter("u is not null")
     return x.groupBy("model", column).agg(F.count("*").alias("n"), F.sum("u").alias("units"))
 
 
