@@ -15,6 +15,7 @@ from .operators import evaluate as evaluation
 from .operators import questions
 from .operators.providers import ReplyProvider, TableReplies
 from .sources import annotations
+from .sources.images import encoded
 from .sources.journal import Journal
 from .sources.shared import materialized
 
@@ -81,7 +82,7 @@ def evaluate(spark: SparkSession, args: argparse.Namespace, provider: ReplyProvi
         provider = TableReplies(spark.read.schema("key string, raw_output string, prompt_tokens long, completion_tokens long").json(args.replies))
         judge = judge or provider
     cache = annotations.read_cache(spark, args.cache) if args.cache and annotations.exists(spark, args.cache) else spark.createDataFrame([], "key string, value string")
-    images = annotations.question_images(spark, args.images) if args.images else None
+    images = encoded(annotations.question_images(spark, args.images)) if args.images else None
     made = evaluation.evaluate(evaluation.asked(q, args.models), cache, provider, judge=judge, judge_model=args.judge_model, images=images, cache_path=args.cache)
     scored = materialized(made)
     scored.write.mode("overwrite").json(f"{args.output}/results")
