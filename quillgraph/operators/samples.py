@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
 from ..sources.annotations import Graphs
+from ..sources.shared import numbered
 from .graph import conflict_relations, edges_with_text, entity_lookup, select_relations, unique_neighbour
 from .paths import shortest
 
@@ -41,7 +42,7 @@ def absence_text(g: Graphs, pool: DataFrame, seed: int = SEED) -> DataFrame:
     n = pool.count()
     if not n:
         return present.select("image_id", F.lit("").alias("text")).limit(0)
-    rank = pool.select("key", "text", (F.row_number().over(_by_key()) - 1).alias("place"))
+    rank = numbered(pool.select("key", "text"), [F.col("key")], "place").withColumn("place", F.col("place") - 1)
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("absence"), "image_id").cast("binary")), 1, 8), 16, 10).cast("long") % n
     sizes = present.groupBy("image_id").agg(F.count("*").alias("n"))
     walk = sizes.select(
@@ -51,12 +52,6 @@ def absence_text(g: Graphs, pool: DataFrame, seed: int = SEED) -> DataFrame:
     return absent.groupBy("image_id").agg(F.min_by("text", "step").alias("text"))
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.orderBy("key")
-
-
 def _both_named(g: Graphs, pairs: DataFrame, a: str, b: str) -> DataFrame:
     named = entity_lookup(g).filter(norm_key(F.col("text")) != "").select("image_id", "id")
     return pairs.join(named.withColumnRenamed("id", a), ["image_id", a], "left_semi").join(named.withColumnRenamed("id", b), ["image_id", b], "left_semi")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,14 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/graphs/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 1 on, in order: sorted by ranges, so that no task has them all. Equal rows are
+    numbered too, in any order."""
+    place = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_k"))
+    dealt = materialized(dealt)
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_size"))  # one row for each partition
+    before = parts.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k") + 1).drop("_part", "_k", "_before")
