@@ -154,19 +154,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
 
 
-def similar(a: bytes, b: bytes) -> bool:
-    """Whether two texts are linked, by their words."""
-    x, y = shingles(a), shingles(b)
+def linked(x: set, y: set) -> bool:
+    """Whether the texts of two sets of shingles are linked."""
     if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
         return False
     common = len(x & y)
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ok = [similar(a, b) for a, b in zip(f["ta"], f["tb"], strict=True)]
-        yield f.loc[ok, ["a", "b"]]
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are linked; the shingles of a text that several rows in turn begin with are made once."""
+    last, x = None, set()
+    for batch in batches:
+        ids, others = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        ok = []
+        for i, a in enumerate(ids):
+            if a != last:
+                last, x = a, shingles(batch.column("ta")[i].as_py())
+            ok.append(linked(x, shingles(batch.column("tb")[i].as_py())))
+        kept = [(a, b) for a, b, fit in zip(ids, others, ok, strict=True) if fit]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([k for _, k in kept], pa.int64())], ["a", "b"])
     give_back()
 
 
@@ -218,10 +225,21 @@ def block_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], left
 
 
 def _blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    ids, comps = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64)
-    number: dict[tuple[bytes, ...], int] = {}
-    sets = [np.array([number.setdefault(s, len(number)) for s in shingles(t)], np.int64) for t in frame["text"]]
-    links = block_links(ids, comps, sets, np.flatnonzero(frame["block"] == frame["i"]), np.flatnonzero(frame["block"] == frame["j"]))
+    """Links between two blocks: found on hashes of shingles, each confirmed on the words of both texts. Should hashes
+    have misled, words decide alone."""
+    ids, comps, texts = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64), frame["text"].tolist()
+    left, right = np.flatnonzero(frame["block"] == frame["i"]), np.flatnonzero(frame["block"] == frame["j"])
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sets = []
+    for row, end in chunks(bounds):
+        hashes, cut = shingle_sets(np.frombuffer(b"".join(texts[row:end]), np.uint8), bounds[row : end + 1] - bounds[row])
+        sets += [hashes[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    links = block_links(ids, comps, sets, left, right)
+    of = dict(zip(ids.tolist(), texts, strict=True))
+    if not all(linked(shingles(of[a]), shingles(of[b])) for a, b in links):
+        number: dict[tuple[bytes, ...], int] = {}
+        sets = [np.array([number.setdefault(s, len(number)) for s in shingles(t)], np.int64) for t in texts]
+        links = block_links(ids, comps, sets, left, right)
     give_back()
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -298,7 +316,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts = rows.join(wanted, rows["doc_id"] == wanted["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
     texts = saved(texts.groupBy("id").agg(F.min("text").alias("text")))
     one, two = texts.selectExpr("id a", "text ta"), texts.selectExpr("id b", "text tb")
-    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(_verified, "a long, b long"))
+    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"))
     if unlike:
         own = some.join(several.withColumnRenamed("digest", "least"), "doc_id").select("least", "digest").distinct()
         a, b = classes.select(F.col("digest").alias("least"), F.col("id").alias("a")), classes.select("digest", F.col("id").alias("b"))
