@@ -118,18 +118,27 @@ def domain_hints(g: Graphs) -> DataFrame:
     return g.graphs.select("image_id").join(words, "image_id", "left").select("image_id", F.array_sort(hint).alias("domains"))
 
 
-def pool(texts: DataFrame) -> DataFrame:
-    """key, text of the distinct texts in (text, image_id, ord); the first spelling counts."""
-    rows = texts.select(clean(F.col("text")).alias("text"), "image_id", "ord").withColumn("key", F.lower("text")).filter("key <> ''")
-    return rows.groupBy("key").agg(F.min_by("text", F.struct("image_id", "ord")).alias("text"))
+def pool(texts: DataFrame, *by: str) -> DataFrame:
+    """key, text of the distinct texts in (text, image_id, ord); the first spelling counts. With `by`, a pool for each
+    value of these columns."""
+    rows = texts.select(*by, clean(F.col("text")).alias("text"), "image_id", "ord").withColumn("key", F.lower("text")).filter("key <> ''")
+    return rows.groupBy(*by, "key").agg(F.min_by("text", F.struct("image_id", "ord")).alias("text"))
+
+
+def node_texts(g: Graphs) -> DataFrame:
+    return g.entities.select("text", "image_id", "ord")
+
+
+def edge_label_texts(g: Graphs) -> DataFrame:
+    return g.relations.select(F.col("edge_text").alias("text"), "image_id", "ord")
 
 
 def node_pool(g: Graphs) -> DataFrame:
-    return pool(g.entities)
+    return pool(node_texts(g))
 
 
 def edge_label_pool(g: Graphs) -> DataFrame:
-    return pool(g.relations.select(F.col("edge_text").alias("text"), "image_id", "ord"))
+    return pool(edge_label_texts(g))
 
 
 def splits(g: Graphs, train: float = 0.8, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:

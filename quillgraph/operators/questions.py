@@ -20,7 +20,7 @@ from ..functions.text import clean, norm_key
 from ..sources.annotations import Graphs
 from ..sources.shared import materialized
 from .display import display_map
-from .graph import domain_hints, edge_label_pool, edges_with_text, neighbours, node_pool, splits, top_level
+from .graph import domain_hints, edge_label_texts, edges_with_text, neighbours, node_texts, pool, splits, top_level
 from .paths import shared_container, unique_multihop
 from .rank import best, diverse, prepared, ranked, reduced
 from .validate import UNKNOWN, keep_valid
@@ -120,25 +120,30 @@ def context(g: Graphs) -> DataFrame:
 
 
 def slices(pool: DataFrame) -> DataFrame:
-    """A pool (key, text) as rows of texts with about SLICE of them each; one row for small pools."""
-    size = pool.count()
-    n = max(1, -(-size // SLICE))
-    rows = pool.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("slice")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
-    return materialized(rows.select("slice", "texts", prepared(F.col("texts")).alias("pool"), F.lit(n).alias("slices"), F.lit(size).alias("size")))
+    """Pools (split, key, text) as rows of texts with about SLICE of them each; one row for a small pool."""
+    sizes = pool.groupBy("split").agg(F.count("*").alias("size"))  # a row for each split
+    sizes = sizes.withColumn("slices", F.greatest(F.ceil(F.col("size") / SLICE), F.lit(1)).cast("int"))
+    rows = pool.join(F.broadcast(sizes), "split").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
+    rows = rows.groupBy("split", "slice", "slices", "size").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    return materialized(rows.select("split", "slice", "texts", prepared(F.col("texts")).alias("pool"), "slices", "size"))
 
 
 def in_pool(rows: DataFrame, s: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
-    """rows (with image_id and attempt) and `found`: find(pool), a short ranking, over all slices of a pool."""
-    n = s.select("slices").first()
-    if n is None:
-        return rows.withColumn("found", F.array().cast("array<struct<s:double,text:string,first:string,last:string>>"))
-    dealt = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n[0] - 1)))).join(s.select("slice", "pool"), "slice")
-    dealt = dealt.withColumn("found", find(F.col("pool"))).drop("pool", "slice")
-    if n[0] == 1:
-        return materialized(dealt)
+    """rows (with image_id, attempt and split) and `found`: find(pool), a short ranking, over all slices of the pool of
+    their split."""
+    none = F.array().cast("array<struct<s:double,text:string,first:string,last:string>>")
+    counts = materialized(s.select("split", "slices").distinct())
+    most = counts.agg(F.max("slices")).first()[0]
+    if most is None:
+        return rows.withColumn("found", none)
+    if most == 1:
+        pool = F.coalesce("pool", F.array().cast(s.schema["pool"].dataType))
+        return materialized(rows.join(s.select("split", "pool"), "split", "left").withColumn("found", find(pool)).drop("pool"))
+    dealt = rows.join(F.broadcast(counts), "split").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    dealt = dealt.join(s.select("split", "slice", "pool"), ["split", "slice"]).withColumn("found", find(F.col("pool")))
     dealt = materialized(dealt.select("image_id", "attempt", "found"))
     merged = dealt.groupBy("image_id", "attempt").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    return rows.join(merged, ["image_id", "attempt"])
+    return rows.join(merged, ["image_id", "attempt"], "left").withColumn("found", F.coalesce("found", none))
 
 
 def attempts(limit: int) -> int:
@@ -213,19 +218,21 @@ NOTHING = "map<string,string>"
 
 
 class Generator:
-    """All types over the graphs of one split, whose pools hold the texts of that split only."""
+    """All types over all graphs at once. parts (image_id, split) names the split of each graph, one for all if there is
+    none; a split has pools of its own, which hold the texts of its graphs only."""
 
-    def __init__(self, g: Graphs, seed: int = 42, unanswerable: float = 0.5, limit: int = 1):
+    def __init__(self, g: Graphs, seed: int = 42, unanswerable: float = 0.5, limit: int = 1, parts: DataFrame | None = None):
         self.g = g = Graphs(*map(materialized, (g.graphs, g.entities, g.relations)))
         self.seed, self.limit = seed, limit
         self.unanswerable = min(1.0, max(0.0, unanswerable))
-        self.context = materialized(context(g).join(g.graphs, "image_id"))
-        self.nodes, self.labels = (slices(materialized(pool(g))) for pool in (node_pool, edge_label_pool))
+        split = (lambda x: x.join(parts, "image_id")) if parts is not None else (lambda x: x.withColumn("split", F.lit("all")))
+        self.context = materialized(split(context(g).join(g.graphs, "image_id")))
+        self.nodes, self.labels = (slices(materialized(pool(split(texts(g)), "split"))) for texts in (node_texts, edge_label_texts))
         e = self.context.select("image_id", F.size("texts").alias("usable"), F.explode("shown").alias("e"))
         self.entities = e.select("image_id", "usable", "e.id", F.col("e.text").alias("text"), F.col("e.told").alias("told"), F.col("e.refs").alias("refs"))
 
     def _with_context(self, rows: DataFrame, *columns: str) -> DataFrame:
-        return rows.join(self.context.select("image_id", "paper_id", "hint", *columns), "image_id")
+        return rows.join(self.context.select("image_id", "paper_id", "hint", "split", *columns), "image_id")
 
     def _tried(self, make: Callable[[int, int], DataFrame], qtype: str) -> DataFrame:
         """The first whole questions of each graph: make(low, high) gives those of some tries.
@@ -388,9 +395,9 @@ class Generator:
             F.col("p.y.id").alias("b_id"), F.col("p.y.text").alias("b"), F.col("p.y.told").alias("b_told"),
         )
         no = drawn(two, self.seed, q, "a_id", "b_id")
-        first = self.labels.select("size", "slices").first()
-        if first is None or first["size"] < 4:
-            yes, no = yes.limit(0), no.limit(0)
+        enough = self.labels.filter("size >= 4").select("split", "slices").distinct()
+        fit = self.context.select("image_id", "split").join(F.broadcast(enough), "split", "left_semi")
+        yes, no = (x.join(fit, "image_id", "left_semi") for x in (yes, no))
         told = F.col("a_told") | F.col("b_told")
 
         def finish_yes(rows: DataFrame) -> DataFrame:
@@ -402,9 +409,8 @@ class Generator:
         def finish_no(rows: DataFrame) -> DataFrame:
             # a label to rank by is drawn for each try
             luck = number(key(self.seed, q, F.col("image_id"), F.col("attempt"), "like"))
-            rows = self._with_context(rows).withColumn(
-                "slice", F.pmod(luck, F.lit(first["slices"] if first else 1)).cast("int"),
-            ).join(self.labels.select("slice", "texts"), "slice").drop("slice")
+            rows = self._with_context(rows).join(F.broadcast(enough), "split").withColumn("slice", F.pmod(luck, F.col("slices")).cast("int"))
+            rows = rows.join(self.labels.select("split", "slice", "texts"), ["split", "slice"]).drop("slice", "slices")
             rows = rows.withColumn("like", F.get("texts", F.pmod(luck, F.size("texts")).cast("int"))).drop("texts")
             rows = in_pool(rows, self.labels, lambda pool: reduced(ranked(F.col("like"), pool, F.col("hint"), _keys(F.col("like")))))
             meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=told)
@@ -551,18 +557,14 @@ def dataset(
 ) -> DataFrame:
     """The questions of all graphs with their split; without ratios all are of one split, `all`.
 
-    Every split has a generator of its own, so no option of one split is taken from the texts of another.
+    One generator makes those of all splits; pools are joined by split, so no option of one split is taken from the
+    texts of another.
     """
     types = types or [t for t in TYPES if t != "relation_conflict_mcq"]
     if split is None:
         return Generator(g, seed, unanswerable, limit).generate(types).withColumn("split", F.lit("all"))
     parts = materialized(splits(g, *split, seed))
-    made = []
-    for name in ("train", "val", "test"):
-        own = parts.filter(F.col("split") == name).select("image_id")
-        part = Graphs(*[x.join(own, "image_id", "left_semi") for x in (g.graphs, g.entities, g.relations)])
-        made.append(Generator(part, seed, unanswerable, limit).generate(types).withColumn("split", F.lit(name)))
-    return reduce(DataFrame.unionByName, made)
+    return Generator(g, seed, unanswerable, limit, parts).generate(types).join(parts, "image_id")
 
 
 def summarize(questions: DataFrame) -> DataFrame:
