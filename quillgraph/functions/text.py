@@ -75,6 +75,11 @@ def signature(x: Column) -> Column:
 
 def score(t: Column, c: Column, hint: Column, own: Column) -> Column:
     """How well a candidate with signature c goes with a target t in a graph of the domains hint."""
+    return score_sharing(t, c, hint, own, F.size(F.array_intersect(t["keywords"], c["keywords"])))
+
+
+def score_sharing(t: Column, c: Column, hint: Column, own: Column, shared: Column) -> Column:
+    """score() of a candidate with so many keywords in common with the target; it grows with their number."""
     known = (t["suffix_type"] != "other") & (c["suffix_type"] != "other")
     return (
         F.lit(0.0)
@@ -82,7 +87,7 @@ def score(t: Column, c: Column, hint: Column, own: Column) -> Column:
         - F.abs(t["char_length"] - c["char_length"]) * 0.08
         + F.when(t["has_hyphen"] == c["has_hyphen"], 0.8).otherwise(0.0)
         + F.when((t["suffix_type"] == c["suffix_type"]) & known, 2.5).when(known, 0.5).otherwise(0.0)
-        + F.size(F.array_intersect(t["keywords"], c["keywords"])) * 0.8
+        + shared * 0.8
         + F.when(F.arrays_overlap(hint, own), 1.5).otherwise(0.0)
         + F.when(c["token_count"] <= 6, 0.5).otherwise(-0.5)
     )

@@ -22,7 +22,7 @@ from ..sources.shared import materialized
 from .display import display_map
 from .graph import domain_hints, edge_label_texts, edges_with_text, neighbours, node_texts, pool, splits, top_level
 from .paths import shared_container, unique_multihop
-from .rank import best, diverse, prepared, ranked, reduced
+from .rank import diverse, found, indexed, prepared, ranked
 from .validate import UNKNOWN, keep_valid
 
 SLICE = 50_000
@@ -120,12 +120,15 @@ def context(g: Graphs) -> DataFrame:
 
 
 def slices(pool: DataFrame) -> DataFrame:
-    """Pools (split, key, text) as rows of texts with about SLICE of them each; one row for a small pool."""
+    """Pools (split, key, text) as rows of texts, and an index of them (pool), with about SLICE texts each; one row for a
+    small pool."""
     sizes = pool.groupBy("split").agg(F.count("*").alias("size"))  # a row for each split
     sizes = sizes.withColumn("slices", F.greatest(F.ceil(F.col("size") / SLICE), F.lit(1)).cast("int"))
     rows = pool.join(F.broadcast(sizes), "split").withColumn("slice", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int"))
-    rows = rows.groupBy("split", "slice", "slices", "size").agg(F.array_sort(F.collect_list("text")).alias("texts"))
-    return materialized(rows.select("split", "slice", "texts", prepared(F.col("texts")).alias("pool"), "slices", "size"))
+    texts = rows.groupBy("split", "slice", "slices", "size").agg(F.array_sort(F.collect_list("text")).alias("texts"))
+    made = texts.join(indexed(rows, "split", "slice"), ["split", "slice"], "left")
+    none = F.array().cast(made.schema["pool"].dataType)
+    return materialized(made.select("split", "slice", "texts", F.coalesce("pool", none).alias("pool"), "slices", "size"))
 
 
 def in_pool(rows: DataFrame, s: DataFrame, find: Callable[[Column], Column]) -> DataFrame:
@@ -285,7 +288,7 @@ class Generator:
             rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "keys")
             rows = in_pool(
                 rows, self.nodes,
-                lambda pool: reduced(ranked(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), near=True)),
+                lambda pool: found(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), near=True),
             )
             return assemble(
                 rows.withColumns({"correct": F.array("text"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(used_disambiguation=F.col("told"))}),
@@ -300,7 +303,7 @@ class Generator:
 
         def make(low: int, high: int) -> DataFrame:
             rows = self._with_context(at_tries(self._wanting(cast, low), low, high, self.limit > 1), "keys")
-            rows = in_pool(rows, self.nodes, lambda pool: best(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text")))))
+            rows = in_pool(rows, self.nodes, lambda pool: found(F.col("text"), pool, F.col("hint"), F.concat("keys", _keys(F.col("text"))), one=True))
             rows = rows.filter(F.size("found") > 0).select("image_id", "attempt", F.get("found", F.lit(0))["text"].alias("best"))
             rows = self._with_context(rows, "ready")
             wrong = diverse(ranked(F.col("best"), F.col("ready"), F.col("hint"), _keys(F.col("best")), near=True), 3)
@@ -401,7 +404,7 @@ class Generator:
         told = F.col("a_told") | F.col("b_told")
 
         def finish_yes(rows: DataFrame) -> DataFrame:
-            rows = in_pool(self._with_context(rows), self.labels, lambda pool: reduced(ranked(F.col("label"), pool, F.col("hint"), _keys(F.col("label")))))
+            rows = in_pool(self._with_context(rows), self.labels, lambda pool: found(F.col("label"), pool, F.col("hint"), _keys(F.col("label"))))
             return rows.withColumns(
                 {"correct": F.array("label"), "wrong": diverse(F.col("found"), 3), "metadata": _meta(is_unanswerable=F.lit(False), used_disambiguation=told)}
             )
@@ -412,7 +415,7 @@ class Generator:
             rows = self._with_context(rows).join(F.broadcast(enough), "split").withColumn("slice", F.pmod(luck, F.col("slices")).cast("int"))
             rows = rows.join(self.labels.select("split", "slice", "texts"), ["split", "slice"]).drop("slice", "slices")
             rows = rows.withColumn("like", F.get("texts", F.pmod(luck, F.size("texts")).cast("int"))).drop("texts")
-            rows = in_pool(rows, self.labels, lambda pool: reduced(ranked(F.col("like"), pool, F.col("hint"), _keys(F.col("like")))))
+            rows = in_pool(rows, self.labels, lambda pool: found(F.col("like"), pool, F.col("hint"), _keys(F.col("like"))))
             meta = _meta(is_unanswerable=F.lit(True), unanswerable_reason=F.lit("no_edge_label"), used_disambiguation=told)
             return rows.withColumns({"correct": F.array().cast(STRINGS), "wrong": diverse(F.col("found"), 4), "metadata": meta})
 
@@ -463,7 +466,7 @@ class Generator:
             )
             rows = in_pool(
                 rows, self.nodes,
-                lambda pool: reduced(ranked(like, pool, F.col("hint"), F.concat(shut, F.col("keys"), F.transform("picked", norm_key)), near=True)),
+                lambda pool: found(like, pool, F.col("hint"), F.concat(shut, F.col("keys"), F.transform("picked", norm_key)), near=True),
             )
             wrong = F.concat("picked", diverse(F.col("found"), least - F.size("picked")))
             room = F.least(F.lit(6), F.greatest(F.lit(4), F.size("between") + 2)) - F.size("between")
