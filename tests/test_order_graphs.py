@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillgraph.plans import catalogue
 from quillgraph.sources import tables
 
 
@@ -42,3 +43,9 @@ def test_tasks_grow_in_number(spark, sf, monkeypatch):
             assert len(sizes) >= lines / 100 and max(sizes) < 1000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_do_not_read_texts(spark, sf):
+    """What a text says is found for entities; the pairs only compare it."""
+    pairs = catalogue.queries()["candidate_scores"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "score" in pairs and "split(" not in pairs and "regexp" not in pairs
