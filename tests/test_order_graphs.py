@@ -2,8 +2,10 @@
 
 import pytest
 
+from quillgraph.operators import questions
 from quillgraph.plans import catalogue
 from quillgraph.sources import tables
+from quillgraph.sources.shared import materialized
 
 
 @pytest.fixture
@@ -49,3 +51,16 @@ def test_pairs_do_not_read_texts(spark, sf):
     """What a text says is found for entities; the pairs only compare it."""
     pairs = catalogue.queries()["candidate_scores"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "score" in pairs and "split(" not in pairs and "regexp" not in pairs
+
+
+def test_types_make_only_what_they_need(spark, sf):
+    made = questions.Generator(tables.order_graphs(spark, sf))
+    assert made.summary().count() and not {"context", "display", "nodes", "labels"} & set(vars(made)) and set(vars(made.g)) == {"_g", "graphs"}
+    assert made.conflict().count() and not {"context", "nodes", "labels"} & set(vars(made))
+
+
+def test_rows_of_graphs_stay_together(spark, sf):
+    """What joins or counts kept rows by graph has nothing to shuffle."""
+    kept = materialized(tables.order_graphs(spark, sf).entities)
+    plan = kept.groupBy("image_id", "norm_text").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and kept.count() == tables.order_graphs(spark, sf).entities.count()
