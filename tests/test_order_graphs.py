@@ -2,10 +2,10 @@
 
 import pytest
 
-from quillgraph.operators import questions
+from quillgraph.operators import display, graph, questions
 from quillgraph.plans import catalogue
 from quillgraph.sources import tables
-from quillgraph.sources.shared import materialized
+from quillgraph.sources.shared import ALL_KEYS, materialized
 
 
 @pytest.fixture
@@ -64,3 +64,38 @@ def test_rows_of_graphs_stay_together(spark, sf):
     kept = materialized(tables.order_graphs(spark, sf).entities)
     plan = kept.groupBy("image_id", "norm_text").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and kept.count() == tables.order_graphs(spark, sf).entities.count()
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lines_are_shuffled_once(spark, sf):
+    """All three tables come from kept rows that lie by graph, and the phrases of a graph meet in one shuffle."""
+    g = tables.order_graphs(spark, sf, kept=True)
+    for rows in vars(g).values():
+        assert not _shuffles(rows.repartition(8, "image_id"))
+    plain = tables.order_graphs(spark, sf)
+    for name in vars(g):
+        assert not getattr(g, name).exceptAll(getattr(plain, name)).count() and getattr(g, name).count() == getattr(plain, name).count()
+    spark.conf.set(ALL_KEYS, "false")
+    try:
+        assert _shuffles(display.display_map(g)) <= 1
+    finally:
+        spark.conf.unset(ALL_KEYS)
+
+
+def test_keeps_no_candidates(spark, sf, monkeypatch):
+    """Candidates and texts of a graph are made where they are ranked, and never written."""
+    kept = []
+    monkeypatch.setattr(questions, "materialized", lambda df: kept.append(df.columns) or materialized(df))
+    made = questions.Generator(tables.order_graphs(spark, sf, kept=True))
+    made.successor_abstain(), made.multihop()
+    assert not [c for c in kept if {"ready"} & set(c)]
+    assert not [c for c in kept if "options" in c and {"texts", "shown", "found", "mid"} & set(c)]
+
+
+def test_words_are_not_shuffled(spark, sf):
+    """Texts meet by graph once; their words, which are many more, stay where they are."""
+    g = tables.order_graphs(spark, sf, kept=True)
+    assert _shuffles(graph.keyword_counts(g)) <= 1
