@@ -116,3 +116,12 @@ def test_time_of_derivatives_grows_with_the_page(spark, mark):
     assert warc.derive(warc.responses(page)).count() == 2
     rows = {r["record_type"]: r["content_length"] for r in warc.derive(warc.responses(page)).collect()}
     assert time.time() - began < 120 and set(rows) == {"metadata", "conversion"}
+
+
+def test_plain_text_is_made_once(spark):
+    """No step of the text is computed twice, and a blank before a last line separator stays, as in the SQL."""
+    pages = {"a \u2028": "a \u2028", "\n a\t\tb \r\n\n c\r<p> d</p> ": "a b\nc\nd", "no tags  at all\t": "no tags at all", "<!-- x --><!-- open <SCRIPT>1</script >2</SCRIPT>z": "<!-- open z"}
+    text = spark.createDataFrame([(h,) for h in pages], "html string").select("html", warc.plain_text(F.col("html")).alias("t"))
+    assert dict(map(tuple, text.collect())) == pages
+    plan = text._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<!--.*?-->") <= 2  # with numeric references or without: one of two branches
