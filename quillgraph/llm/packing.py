@@ -9,6 +9,7 @@ matter to a packer, so it works on a histogram of them.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,19 +30,24 @@ CACHE = 500_000
 #: key that starts with FIRST, marks and line breaks too, so it is not taken for the same with a space.
 CUTS = ("\n", ",", ".", ";", ":", "!", "?")
 FIRST = "\x00"
+#: Line breaks that are no tokens by themselves: other white space, or an end of the text, is beside them.
+BESIDE = re.compile(r"\n(?:\s|\Z|(?<=\s\n)|(?<=\A\n))")
 
 _encoders: dict[str, list] = {}
 
 
 def _encoder(path: str):
-    """The tokenizer and ids (as little-endian bytes) of the chunks that it has met, late and early ones; kept while
-    the worker lives."""
+    """The tokenizer with which of its ids start with a space, and ids (as little-endian bytes) of the chunks that it
+    has met, late and early ones; kept while the worker lives."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _encoders[path] = [tokenizer, {}, {}]
+        vocabulary = tokenizer.get_vocab()
+        spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        spaced[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level tokens spell a space
+        _encoders[path] = [(tokenizer, spaced), {}, {}]
     return _encoders[path]
 
 
@@ -49,16 +55,17 @@ def _ids(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _word_ids(tokenizer, words: list[str]) -> list[bytes]:
-    """Ids of words of letters only, each with a space before it: as one text, of which each is a part."""
+def _word_ids(tokenizer, spaced: np.ndarray, words: list[str]) -> list[bytes]:
+    """Ids of words of letters only, each with a space before it: as one text, of which each is a part that starts with
+    its space."""
     out = []
     for at in range(0, len(words), 2000):
         some = words[at : at + 2000]
-        e = tokenizer.encode(" " + " ".join(some), add_special_tokens=False)
-        raw, starts = array("I", e.ids).tobytes(), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), prepend=-1)).tolist()
+        raw = _ids(tokenizer, [" " + " ".join(some)])[0]
+        starts = np.flatnonzero(spaced[np.frombuffer(raw, "<u4")]).tolist()
         if len(starts) == len(some):
             out += [raw[4 * x : 4 * y] for x, y in zip(starts, [*starts[1:], len(raw) // 4])]
-        else:  # a letter that is none to the tokenizer
+        else:
             out += _ids(tokenizer, [" " + w for w in some])
     return out
 
@@ -86,19 +93,22 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of every text as little-endian unsigned 32-bit numbers.
 
     The byte-level pre-tokenizer starts a new token at every space between two characters that are not white
-    space, so texts are cut there and each distinct chunk is encoded once; likewise at single line breaks and
-    before a closing mark after a letter. Texts with other white space beside a space are encoded whole, and so
+    space, so texts are cut there and each distinct chunk is encoded once; likewise at single line breaks
+    (where all of a text are such, before chunks are looked up) and before a closing mark after a letter. Texts with other white space beside a space are encoded whole, and so
     are those that hold the character FIRST themselves.
     """
     own = _encoder(path)
     if len(own[1]) > CACHE:
         own[1:] = {}, own[1]
-    tokenizer, known, early = own
+    (tokenizer, spaced), known, early = own
     if not known:
         known.update(zip([FIRST + c for c in CUTS], _ids(tokenizer, list(CUTS)), strict=True))
     split, found, new = [], [], set()
     for t in texts:
-        p = [] if FIRST in t else t.split(" ")
+        whole = FIRST in t
+        if not whole and "\n" in t and not BESIDE.search(t):
+            t = t.replace("\n", f" {FIRST}\n {FIRST}")
+        p = [] if whole else t.split(" ")
         if p:
             p[0] = FIRST + p[0]  # it has no space before it
         got = list(map(known.get, p))
@@ -112,6 +122,12 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             known[x] = early[x]
         elif x.isalpha():
             words.add(x)
+        elif x[:1] == FIRST and x[1:].isalpha():
+            plain.add(x)
+        elif x[:1] == FIRST and x[-1:] in CUTS and x[1:-1].isalpha():
+            ended.append(x)
+            if x[:-1] not in known:
+                plain.add(x[:-1])
         elif x[-1:] in CUTS and x[:-1].isalpha():
             ended.append(x)
             if x[:-1] not in known:
@@ -121,7 +137,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     for u in {u for units in made.values() for u in units or () if u not in known}:
         (words if u.isalpha() else plain).add(u)
     base = list(words)
-    known.update(zip(base, _word_ids(tokenizer, base), strict=True))
+    known.update(zip(base, _word_ids(tokenizer, spaced, base), strict=True))
     base = list(plain)
     for i in range(0, len(base), 20_000):
         some = base[i : i + 20_000]
