@@ -1,5 +1,7 @@
 """Graphs of orders: parts that are missing or repeated, and tasks that grow in number, not in size."""
 
+import re
+
 import pytest
 
 from quillgraph.operators import display, graph, questions
@@ -99,3 +101,25 @@ def test_words_are_not_shuffled(spark, sf):
     """Texts meet by graph once; their words, which are many more, stay where they are."""
     g = tables.order_graphs(spark, sf, kept=True)
     assert _shuffles(graph.keyword_counts(g)) <= 1
+
+
+def test_a_task_keeps_one_bucket(spark, sf):
+    """Also where nothing but the writing asks for buckets, so that a task does not grow with the table."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        files = materialized(tables.order_graphs(spark, sf, kept=True).relations).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({re.search(r"part-(\d+)", f)[1] for f in files}) == len(files) > 32
+
+
+@pytest.mark.parametrize("query", ["shortest_path_le4"])
+def test_joins_of_paths_stay_in_buckets(spark, sf, query):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalogue.queries()[query](spark, sf)
+        assert not _shuffles(found) and found.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
