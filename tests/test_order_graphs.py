@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from quillgraph.operators import display, graph, questions
+from quillgraph.operators import display, graph, paths, questions
 from quillgraph.plans import catalogue
 from quillgraph.sources import tables
 from quillgraph.sources.shared import ALL_KEYS, materialized
@@ -114,7 +114,7 @@ def test_a_task_keeps_one_bucket(spark, sf):
     assert len({re.search(r"part-(\d+)", f)[1] for f in files}) == len(files) > 32
 
 
-@pytest.mark.parametrize("query", ["shortest_path_le4"])
+@pytest.mark.parametrize("query", ["shortest_path_le4", "shared_container"])
 def test_joins_of_paths_stay_in_buckets(spark, sf, query):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -123,3 +123,18 @@ def test_joins_of_paths_stay_in_buckets(spark, sf, query):
         assert not _shuffles(found) and found.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_containers_of_paths_stay_in_buckets(spark, sf):
+    """Paths of two hops come from one kept table, so their containers need no shuffle."""
+    g = questions.Kept(tables.order_graphs(spark, sf, kept=True))
+    two = paths.shortest(g, hops=2, low=2)
+    assert two.count() and not two.exceptAll(paths.shortest(g, hops=2).filter("hops = 2")).count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set(ALL_KEYS, "false")
+    try:
+        assert not _shuffles(paths.shared_container(g, two.select("image_id", "path")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset(ALL_KEYS)
